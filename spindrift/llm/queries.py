@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import simhash
+from spindrift.llm import pieces, simhash, winnow
 from spindrift.llm.common import table
 
 
@@ -10,5 +10,17 @@ def op1_simhash(spark, sf_dir):
     return simhash.op1(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_winnowing(spark, sf_dir):
+    return winnow.op2(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    return pieces.op7(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_winnowing": op2_winnowing,
+    "op7_sentencepiece": op7_sentencepiece,
+}
 ORACLES: dict[str, str] = {}
