@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import pieces, simhash, winnow
+from spindrift.llm import mixing, pieces, simhash, winnow
 from spindrift.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_winnowing(spark, sf_dir):
     return winnow.op2(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.op4(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return pieces.op7(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op7_sentencepiece(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
+    "op4_mixing": op4_mixing,
     "op7_sentencepiece": op7_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
