@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, pieces, simhash, winnow
+from spindrift.llm import mixing, pieces, simhash, urlrules, warc, winnow
 from spindrift.llm.common import table
 
 
@@ -22,10 +22,23 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.op7(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.op9(table(spark, sf_dir, "pages"))
+
+
+def op10_urlrules(spark, sf_dir):
+    return urlrules.op10(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
     "op4_mixing": op4_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_warc": op9_warc,
+    "op10_urlrules": op10_urlrules,
+}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+    "op10_urlrules": urlrules.ORACLE,
 }
-ORACLES: dict[str, str] = {}
