@@ -23,8 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Parts whose ids a worker remembers: so many new ones, and as many that were used before those.
+REMEMBERED = 500_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -43,7 +43,9 @@ class Encoder:
         self.score = {p: m.get_score(i) for p, i in self.ids.items()}
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = [m.id_to_piece(i) for i in range(m.get_piece_size())]
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(m.get_piece_size())]
         self.fits: dict[tuple[str, str], bool] = {}
         self.tokens = ahocorasick.Automaton()
         for p in self.ids:
@@ -111,28 +113,29 @@ class Encoder:
             end -= len(p)
         return out[::-1]
 
-    def encode_part(self, part: str) -> tuple[list[int], str]:
-        if len(part) == 1:
-            i = self.ids.get(part)
-            ids = [i] if i is not None else [self.bytes[b] for b in part.encode("utf-8", "replace")]
-        else:
-            ids = [self.ids[p] for p in self.split(part)]
-        found = ids, ",".join(map(str, ids))
+    def encode_part(self, part: str) -> tuple[int, ...]:
+        """The ids of a part that is not among the new ones."""
+        found = self.older.get(part)
+        if found is None:
+            if len(part) == 1:
+                i = self.ids.get(part)
+                found = (i,) if i is not None else tuple(self.bytes[b] for b in part.encode("utf-8", "replace"))
+            else:
+                found = tuple([self.ids[p] for p in self.split(part)])
         if len(part) <= 64:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[part] = found
         return found
 
-    def encoded(self, text: str | None) -> list[tuple[list[int], str]]:
-        if not text:
-            return []
-        known, encode = self.known, self.encode_part
-        return [known.get(x) or encode(x) for x in self.parts.findall("▁" + text.replace(" ", "▁"))]
-
     def encode(self, text: str | None) -> list[int]:
         """Ids as the library gives them without begin, end or sampling; none for a null or empty text."""
-        return [i for ids, _ in self.encoded(text) for i in ids]
+        if not text:
+            return []
+        out: list[int] = []
+        for x in self.parts.findall("▁" + text.replace(" ", "▁")):
+            out += self.known.get(x) or self.encode_part(x)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -163,12 +166,12 @@ def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         own = encoder(path)
         for b in batches:
+            decimal = own.decimal
             n, ids_sha, text_sha = np.zeros(b.num_rows, np.int64), [], []
             for i, t in enumerate(b.column(1)):
-                parts = own.encoded(t.as_py())
-                ids = [x for p, _ in parts for x in p]
+                ids = own.encode(t.as_py())
                 n[i] = len(ids)
-                ids_sha.append(hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join([decimal[x] for x in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
