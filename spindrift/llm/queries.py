@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, pieces, simhash, urlrules, warc, winnow
+from spindrift.llm import langid, mixing, pieces, simhash, toxicity, urlrules, warc, winnow
 from spindrift.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op2_winnowing(spark, sf_dir):
     return winnow.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark, sf_dir):
+    return langid.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.op4(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return pieces.op7(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,9 @@ def op10_urlrules(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
+    "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_warc": op9_warc,
     "op10_urlrules": op10_urlrules,
