@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import langid, mixing, pieces, simhash, toxicity, urlrules, warc, winnow
+from spindrift.llm import langid, lattice, mixing, pieces, pii, simhash, toxicity, urlrules, warc, winnow
 from spindrift.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,10 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_lattice(spark, sf_dir):
+    return lattice.op8(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.op9(table(spark, sf_dir, "pages"))
 
@@ -43,8 +51,10 @@ QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_lattice": op8_lattice,
     "op9_warc": op9_warc,
     "op10_urlrules": op10_urlrules,
 }

@@ -79,7 +79,13 @@ def _second(rows: DataFrame) -> DataFrame:
     return rest.select("k0", "fp", "rep", "o", F.explode(F.sequence(F.lit(0), F.lit(33))).alias("i")).select("k0", (_variants(16, quarters) + 1).alias("k1"), "fp", "rep")
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row; a row may be several words."""
+    n = np.bitwise_count(a ^ b)
+    return n if n.ndim == 1 else n.sum(axis=1, dtype=np.int64)
+
+
+def forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges of a spanning forest of one group's link graph: each fingerprint is searched from once."""
     left, right = [], []
     todo = np.arange(len(fp))
@@ -87,7 +93,7 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndar
         queue, todo = [todo[0]], todo[1:]
         while queue and len(todo):
             at = queue.pop()
-            near = np.bitwise_count(fp[todo] ^ fp[at]) <= radius
+            near = _apart(fp[todo], fp[at]) <= radius
             if near.any():
                 hit, todo = todo[near], todo[~near]
                 left.append(np.full(len(hit), at))
@@ -96,7 +102,7 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndar
     return left, right
 
 
-def _links(k0, k1, fp, rep, radius):
+def links(k0, k1, fp, rep, radius):
     """Edges among sorted rows of whole groups."""
     n = len(fp)
     cuts = np.flatnonzero((k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])) + 1
@@ -110,11 +116,11 @@ def _links(k0, k1, fp, rep, radius):
         size = sizes[(sizes > d) & (sizes <= SMALL)]
         for o in range(SMALL - d):
             i = at[size > o + d] + o
-            near = np.bitwise_count(fp[i] ^ fp[i + d]) <= radius
+            near = _apart(fp[i], fp[i + d]) <= radius
             left.append(i[near])
             right.append(i[near] + d)
     for s, m in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        a, b = _forest(fp[s : s + m], radius)
+        a, b = forest(fp[s : s + m], radius)
         left += [x + s for x in a]
         right += [x + s for x in b]
     if not left:
@@ -156,14 +162,14 @@ def _matcher(radius: int, most: int):
             cut = int(last[-1]) + 1 if len(last) else 0
             whole, tail = [r[:cut] for r in rows], [r[cut:] for r in rows]
             if cut:
-                yield edges(*_links(*whole[:2], whole[2].view(np.uint64), whole[3], radius))
+                yield edges(*links(*whole[:2], whole[2].view(np.uint64), whole[3], radius))
             if len(tail[0]) > most and tail[1][0] == 0:
                 over = (tail[0][0], tail[1][0])
                 yield later(tail)
             else:
                 held = tail
         if held is not None and len(held[0]):
-            yield edges(*_links(*held[:2], held[2].view(np.uint64), held[3], radius))
+            yield edges(*links(*held[:2], held[2].view(np.uint64), held[3], radius))
 
     return run, ", ".join(f"{n} long" for n in names), kinds
 
