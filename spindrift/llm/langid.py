@@ -29,7 +29,9 @@ UNKNOWN = 1e-6
 #: Words up to this length are scored in bulk; longer ones step by step with rescaling.
 SHORT = 32
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Texts whose words are held at once.
+AT_ONCE = 256
 #: Documents of a lower score are rejected by the pipeline.
 LEAST = 0.5
 UND = "und"
@@ -138,6 +140,9 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """(text, language): log probability of all words of each text; texts without letters get zeros."""
+        return np.concatenate([np.zeros((0, len(self.langs))), *[self._scores(texts[s : s + AT_ONCE]) for s in range(0, len(texts), AT_ONCE)]])
+
+    def _scores(self, texts: list[str | None]) -> np.ndarray:
         if not hasattr(self, "rows") or len(self.rows) > REMEMBERED:
             self.rows, self.known = {}, np.empty((0, len(self.langs)))
         each = [words_of(t) for t in texts]
