@@ -83,7 +83,7 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_listing(spark, sf_dir):
-    return html.listing(view(spark, sf_dir, "pages"), r"\.html$|/[0-9]+/?$")
+    return html.listing(view(spark, sf_dir, "pages"), "/[^/]+$")
 
 
 @query(
