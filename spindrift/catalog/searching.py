@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.catalog.registry import q, query
-from spindrift.operators import ingestion, resolution, search, sitegraph
+from spindrift.functions import text
+from spindrift.operators import ingestion, resolution, search, sitegraph, sources
 from spindrift.plans.views import NOW, view
 
 DIRECTORY = [("the", "unit the"), ("thethe", "unit double"), ("tion", "unit tion"), ("tion and", "unit joint"), ("that", "unit that"), ("reer", "unit reer"), ("er th", "unit reer")]
@@ -200,3 +201,46 @@ def registry_audit(spark, sf_dir):
     rows = view(spark, sf_dir, "d_pages")
     fine = sitegraph.eligible(rows).groupBy("page_type").agg(F.count("*").alias("eligible"))
     return rows.groupBy("page_type").agg(F.count("*").alias("pages"), F.sum("failure_count").alias("failures")).join(fine, "page_type", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
+
+
+_CONF = "(select name, base_url || '/new' as base_url, 45 as interval_minutes from d_sources where first_doc % 2 = 0 union all select 'extra', 'https://extra', 45)"
+
+
+def _configured(spark, sf_dir):
+    known = view(spark, sf_dir, "d_sources").where("first_doc % 2 = 0").selectExpr("name", "base_url || '/new' as base_url", "45 as interval_minutes")
+    return known.union(spark.createDataFrame([("extra", "https://extra", 45)], known.schema))
+
+
+@query(f"select coalesce(c.name, s.name) as name, coalesce(c.base_url, s.base_url) as base_url, coalesce(c.interval_minutes, s.interval_minutes) as interval_minutes, s.last_success_s from d_sources s full join {_CONF} c on s.name = c.name")
+def source_merge(spark, sf_dir):
+    return sources.merged(view(spark, sf_dir, "d_sources"), _configured(spark, sf_dir))
+
+
+@query(f"select name from d_sources where name not in (select name from {_CONF})")
+def source_unconfigured(spark, sf_dir):
+    return sources.unconfigured(view(spark, sf_dir, "d_sources"), _configured(spark, sf_dir))
+
+
+@query("select s.name, case when s.name in ('src1', 'src2') then null else greatest(s.last_success_s, c.at) end as last_success_s from d_sources s left join (select source as name, max(last_crawled_s) as at from d_announcements where id % 3 = 0 group by source) c on s.name = c.name")
+def source_refresh(spark, sf_dir):
+    crawls = view(spark, sf_dir, "d_announcements").where("id % 3 = 0").selectExpr("source as name", "last_crawled_s as crawled_s")
+    return sources.forced(sources.refreshed(view(spark, sf_dir, "d_sources"), crawls), ["src1", "src2"]).select("name", "last_success_s")
+
+
+@query("select page_id, trim(regexp_replace(regexp_replace('see ' || url || '  ok', case when ends_with(regexp_extract(url, '^https?://([^/?#]+)', 1), 'example.com') then 'zzzz' else 'https?://[^ ]+' end, ''), ' +', ' ', 'g')) as shown from pages")
+def output_sanitize(spark, sf_dir):
+    shown = text.sanitized(F.concat(F.lit("see "), F.col("url"), F.lit("  ok")), ["example.com"])
+    return view(spark, sf_dir, "pages").select("page_id", shown.alias("shown"))
+
+
+@query("select source, string_agg(lang, ',' order by first) as langs from (select source, lang, min(doc_id) as first from documents where lang is not null group by source, lang) group by source")
+def ordered_langs(spark, sf_dir):
+    first = view(spark, sf_dir, "documents").where("lang is not null").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    listed = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("first", "lang"))).alias("l"))
+    return listed.select("source", F.array_join(text.ordered_distinct(F.col("l.lang")), ",").alias("langs"))
+
+
+@query("select doc_id, round(cast('0x' || substr(sha256(text), 1, 2) as integer) / 127.5::double - 1, 9) as first, round(cast('0x' || substr(sha256(text), 63, 2) as integer) / 127.5::double - 1, 9) as last from documents where text is not null")
+def hash_embedding(spark, sf_dir):
+    v = text.hash_embedding(F.col("text"), 32)
+    return view(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(v[0], 9).alias("first"), F.round(v[31], 9).alias("last"))

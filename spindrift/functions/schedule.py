@@ -70,10 +70,14 @@ def failure_action(status: Column, failures: Column) -> Column:
     )
 
 
-def retry_after(status: Column, header: Column) -> Column:
-    """Seconds a server asks for with 429 or 503; null where it does not or the value is none."""
-    seconds = F.expr("null").cast("double") if header is None else F.try_to_number(header, F.lit("999999")).cast("double")
-    return F.when(status.isin(429, 503) & F.rlike(header, F.lit("^[0-9]{1,6}$")), F.least(F.lit(RETRY_MOST), F.greatest(F.lit(LEAST), seconds)))
+def retry_after(status: Column, header: Column, now: int | None = None) -> Column:
+    """Seconds a server asks for with 429 or 503, as a number or, if `now` is given, a date; null for anything else."""
+    seconds = F.when(F.rlike(header, F.lit("^[0-9]{1,6}$")), F.try_to_number(F.when(F.rlike(header, F.lit("^[0-9]{1,6}$")), header), F.lit("999999")).cast("double"))
+    if now is not None:
+        date = F.try_to_timestamp(F.regexp_extract(header, "^[A-Za-z]{3}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+        ahead = (F.unix_seconds(date) - F.lit(now)).cast("double")
+        seconds = F.coalesce(seconds, F.when(ahead >= 0, ahead))
+    return F.when(status.isin(429, 503) & seconds.isNotNull(), F.least(F.lit(RETRY_MOST), F.greatest(F.lit(LEAST), seconds)))
 
 
 def freshness(age_s: Column, soft_s: int, hard_s: int) -> Column:

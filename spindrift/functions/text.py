@@ -114,3 +114,25 @@ def chunk_spans(length: Column, width: int, overlap: int) -> Column:
     step = width - overlap
     n = F.when(length <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((length - overlap) / step))).cast("int")
     return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("seq"), (i * step).alias("begin"), F.least(F.lit(width), length - i * step).cast("int").alias("size")))
+
+
+def sanitized(text: Column, allowed_hosts: list[str]) -> Column:
+    """Text for output: without identifiers in UUID form and without urls of other hosts, blanks folded."""
+    import re
+
+    plain = F.regexp_replace(text, "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "")
+    hosts = "|".join(re.escape(h) for h in allowed_hosts)
+    keep = rf"(?!(?:[\w-]+\.)*(?:{hosts})(?:[/?#:\s]|$))" if allowed_hosts else ""
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"https?://{keep}\S+", ""), r"[ \t]+", " "))
+
+
+def ordered_distinct(values: Column) -> Column:
+    """First occurrences in order, nulls left out."""
+    return F.array_distinct(F.array_compact(values))
+
+
+def hash_embedding(text: Column, size: int = 64) -> Column:
+    """A vector that stands in for a learned one in tests: bytes of the text's SHA-256, again and again, within -1 and 1."""
+    digest = F.sha2(text.cast("binary"), 256)
+    byte = lambda i: F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: byte(i) / 127.5 - 1.0)

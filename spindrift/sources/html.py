@@ -27,6 +27,7 @@ class _Reader(HTMLParser):
         self.hidden = self.in_main = 0
         self.where: list[str] = []
         self.anchor: list | None = None
+        self.forms: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -38,6 +39,10 @@ class _Reader(HTMLParser):
                 self.date = self.date or a.get("content", "")
         if tag == "time" and a.get("datetime"):
             self.date = self.date or a["datetime"]
+        if tag == "form":
+            self.forms.append({"action": urljoin(self.base, a.get("action", "")), "method": a.get("method", "get").lower(), "fields": {}})
+        if tag == "input" and self.forms and a.get("name"):
+            self.forms[-1]["fields"][a["name"]] = a.get("value", "")
         if tag in BLOCK:
             self._put("\n")
         if tag in VOID:
@@ -104,6 +109,24 @@ def read(html: str | None, url: str | None) -> dict:
     return {"title": title, "body": _lines(r.main) or _lines(r.all), "links": [{"url": u, "label": t} for u, t in seen.items()], "published": r.date or None}
 
 
+def forms(html: str | None, url: str | None) -> list[dict]:
+    """action, method and fields of the forms of a page."""
+    r = _Reader(url or "")
+    r.feed(html or "")
+    r.close()
+    return r.forms
+
+
+def form_table(pages: DataFrame) -> DataFrame:
+    """(page_id, action, method, fields) of every form, such as search forms with their hidden fields."""
+
+    @F.pandas_udf("array<struct<action:string,method:string,fields:map<string,string>>>")
+    def run(htmls: pd.Series, urls: pd.Series) -> pd.Series:
+        return pd.Series([forms(h, u) for h, u in zip(htmls, urls, strict=True)], dtype=object)
+
+    return pages.select("page_id", F.explode(run("html", "url")).alias("f")).select("page_id", "f.*")
+
+
 PAGE = "title string, body string, links array<struct<url:string,label:string>>, published string"
 
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import schedule, text, urls, vectors
-from spindrift.operators import announcements, conversation, crawling, documents, retrieval, sitegraph
-from spindrift.sources import files, html
+from spindrift.operators import announcements, conversation, crawling, documents, resolution, retrieval, sitegraph
+from spindrift.sources import files, html, sinks
 from spindrift.streaming import state
 
 
@@ -53,6 +53,8 @@ def test_schedule(spark):
     assert one(spark, schedule.failure_action(F.lit(None).cast("int"), F.lit(9))) == "failed"
     assert one(spark, schedule.retry_after(F.lit(503), F.lit("7"))) == 60
     assert one(spark, schedule.retry_after(F.lit(503), F.lit("soon"))) is None
+    assert one(spark, schedule.retry_after(F.lit(429), F.lit("Tue, 14 Nov 2023 22:15:20 GMT"), 1_700_000_000)) == 120
+    assert one(spark, schedule.retry_after(F.lit(429), F.lit("Tue, 14 Nov 2023 22:11:20 GMT"), 1_700_000_000)) is None
     assert one(spark, schedule.jittered(F.lit(1000.0), F.lit(""), 5000.0)) == 1000
     assert 900 <= one(spark, schedule.jittered(F.lit(1000.0), F.lit("x"), 5000.0)) <= 1100
     assert [one(spark, schedule.freshness(F.lit(a).cast("int"), 10, 20)) for a in (10, 11, 20, 21, None)] == ["fresh", "soft_stale", "soft_stale", "hard_stale", "hard_stale"]
@@ -127,6 +129,27 @@ def test_html_reader():
     assert html.read(None, None)["body"] == "" and html.read("<p <<>>x</q>", "u")["title"] == ""
 
 
+def test_forms(spark):
+    page = "<form action='/find' method='POST'><input type=hidden name=k value=1><input name=q></form><form></form>"
+    pages = spark.createDataFrame([(1, page, "http://h/d/"), (2, None, None)], "page_id long, html string, url string")
+    got = html.form_table(pages).collect()
+    assert [(r.action, r.method, r.fields) for r in got] == [("http://h/find", "post", {"k": "1", "q": ""}), ("http://h/d/", "get", {})]
+
+
+def test_outputs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "id long, x string")
+    sinks.json_lines(df, str(tmp_path / "j"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "j")).count() == 2
+    assert spark.read.parquet(sinks.snapshot(df, str(tmp_path / "s"), 3)).count() == 2
+    assert "| 1 | a/b |" in sinks.markdown(df.orderBy("id"), "T")
+
+
+def test_alias_normalize(spark):
+    df = spark.createDataFrame([(" see the CS dept ",), (None,)], "t string")
+    got = [r.x for r in df.select(resolution.normalized(F.col("t"), [("CS", "Computing"), ("CS dept", "Computing Department")]).alias("x")).collect()]
+    assert got == ["see the Computing Department", None]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "doc.md").write_text("# Head\nbody")
