@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts whose ids a worker remembers: so many new ones, and as many that were used before those.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+
+#: Texts whose ids are held at once.
+AT_ONCE = 256
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -88,7 +91,7 @@ class Encoder:
         """Whether merging leaves the two tokens as they are, side by side."""
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) >= 1_000_000:
+            if len(self.fits) >= 300_000:
                 self.fits.clear()
             found = self.fits[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -153,8 +156,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         own = encoder(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([own.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], names=["id", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([own.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, ids array<int>")
 
