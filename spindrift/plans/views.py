@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindrift.shipping import ship
+
 #: The moment that stands for now, in epoch seconds.
 NOW = 1_700_050_000
 
@@ -75,6 +77,7 @@ _SIX = {"spark": "(select explode(sequence(0, 5)) as k)", "duck": "(select cast(
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of `sf_dir` or a view over them."""
+    ship(spark)
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name].replace("{six}", _SIX["spark"])
