@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.shipping import ship
+
 #: `[^\x20\x09-\x0D]+`: what counts as a word where a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,4 +60,5 @@ def word_count(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
