@@ -44,6 +44,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both).cast("double")), F.lit(0.0))
 
 
+def gram_list(term: str) -> list[str]:
+    """The trigrams of a literal, made once with the plan instead of once a row."""
+    import re
+
+    padded = (f"  {w} " for w in re.findall(r"[^\W_]+", term.lower()))
+    return list(dict.fromkeys(p[i : i + 3] for p in padded for i in range(len(p) - 2)))
+
+
+def likeness_to(grams: Column, term: str) -> Column:
+    """Trigram likeness of a literal to a column of distinct trigrams."""
+    own = gram_list(term)
+    if not own:
+        return F.lit(0.0)
+    both = F.size(F.array_intersect(grams, F.array(*map(F.lit, own))))
+    return both.cast("double") / (F.size(grams) + len(own) - both).cast("double")
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 

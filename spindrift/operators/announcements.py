@@ -23,7 +23,7 @@ def selected(rows: DataFrame, query: str | None = None, unit: str | None = None,
         out = out.where(F.col("published_day") >= day_from)
     if day_to is not None:
         out = out.where(F.col("published_day") <= day_to)
-    relevance = F.greatest(text.trigram_similarity(F.col("title"), F.lit(query)), text.trigram_similarity(F.col("body"), F.lit(query))) if query else F.lit(0.0)
+    relevance = F.greatest(*[text.likeness_to(text.trigrams(F.col(c)), query) for c in ("title", "body")]) if query else F.lit(0.0)
     out = out.withColumn("relevance", F.round(relevance, 9))
     if snapshot is not None:
         return out.join(snapshot.select("canonical_url", "position"), "canonical_url")

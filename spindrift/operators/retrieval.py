@@ -45,7 +45,7 @@ def _top(scored: DataFrame, scope: Scope | None, limit: int) -> DataFrame:
 
 def keyword_list(chunks: DataFrame, query: str, scope: Scope | None = None, limit: int = LIST) -> DataFrame:
     """Current chunks by the better trigram likeness of content and title; a short query keeps all of them."""
-    score = F.greatest(text.trigram_similarity(F.col("content"), F.lit(query)), text.trigram_similarity(F.col("title"), F.lit(query)))
+    score = F.greatest(*[text.likeness_to(text.trigrams(F.col(c)), query) for c in ("content", "title")])
     rows = chunks.where("is_current").withColumn("score", score)
     if len(query) >= SHORT_QUERY:
         rows = rows.where(F.col("score") >= LEAST_SIMILARITY)

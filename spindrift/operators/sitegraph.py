@@ -86,23 +86,25 @@ def candidates(pages: DataFrame, links: DataFrame, terms: list[tuple[str, float]
 
     Terms are few and part of the plan, so pages and links are each read once and meet no table of terms.
     """
-    best = lambda c: F.greatest(*[text.trigram_similarity(c, F.lit(t)) * w for t, w in terms], F.lit(0.0))
-    similar = lambda c, least: F.lit(False) if not terms else _any([(s >= max(least, SIMILAR_FROM)) for s in (text.trigram_similarity(c, F.lit(t)) for t, _ in terms)])
+    best = lambda c: F.greatest(*[text.likeness_to(F.col(f"_{c}"), t) * w for t, w in terms], F.lit(0.0), F.lit(0.0))
+    similar = lambda c, least: _any([text.likeness_to(F.col(f"_{c}"), t) >= max(least, SIMILAR_FROM) for t, _ in terms])
     variants = list(dict.fromkeys(v for t, _ in terms for v in (t, "-".join(t.split()))))
     holds = lambda c: _any([F.ilike(c, F.lit(f"%{v}%")) for v in variants])
     anchors = (
-        links.where(similar(F.col("anchor_text"), ANCHOR_FROM) | holds(F.col("anchor_text")))
+        links.withColumn("_anchor_text", text.trigrams(F.col("anchor_text")))
+        .where(similar("anchor_text", ANCHOR_FROM) | holds(F.col("anchor_text")))
         .groupBy(F.col("target_page_id").alias("page_id"))
-        .agg(F.max(best(F.col("anchor_text"))).alias("anchor"), F.bool_or(similar(F.col("anchor_text"), ANCHOR_FROM)).alias("anchored"))
+        .agg(F.max(best("anchor_text")).alias("anchor"), F.bool_or(similar("anchor_text", ANCHOR_FROM)).alias("anchored"))
     )
     rows = eligible(pages).join(anchors, "page_id", "left").withColumn("anchor", F.coalesce("anchor", F.lit(0.0))).withColumn("linked", F.col("anchored").isNotNull()).withColumn("anchored", F.coalesce("anchored", F.lit(False)))
+    rows = rows.withColumn("_title", text.trigrams(F.col("title"))).withColumn("_path", text.trigrams(F.col("path")))
     part = lambda c, x: F.when(c, x).otherwise(0.0)
     lexical = F.least(
         F.lit(1.0),
-        F.greatest(best(F.col("title")), best(F.col("path")), F.col("anchor")) * 0.65 + part(holds(F.col("title")), 0.28) + part(holds(F.col("path")), 0.12) + part(F.col("anchored"), 0.10) + part(holds(F.col("unit")), 0.12),
+        F.greatest(best("title"), best("path"), F.col("anchor")) * 0.65 + part(holds(F.col("title")), 0.28) + part(holds(F.col("path")), 0.12) + part(F.col("anchored"), 0.10) + part(holds(F.col("unit")), 0.12),
     )
     structural = part(F.col("unit") == F.lit(unit), 0.35) + part(F.col("host").isin(*hosts, ""), 0.25) + F.least(F.col("crawl_priority"), F.lit(100)) / 1000.0 + part(F.col("last_success_s").isNotNull(), 0.05) - F.least(F.col("failure_count"), F.lit(5)) * 0.04
-    found = similar(F.col("title"), TITLE_FROM) | similar(F.col("path"), PATH_FROM) | holds(F.col("title")) | holds(F.col("path")) | F.col("linked")
+    found = similar("title", TITLE_FROM) | similar("path", PATH_FROM) | holds(F.col("title")) | holds(F.col("path")) | F.col("linked")
     scored = rows.where(found | F.col("page_type").isin("unit_homepage", "announcement_listing")).withColumn("lexical", F.round(lexical, 9)).withColumn("structural", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), structural)), 9))
     scored = scored.withColumn("final", F.round(F.col("lexical") * 0.75 + F.col("structural") * 0.25, 9))
     order = [F.desc("final"), F.desc("lexical"), F.desc("structural"), F.asc("minimum_depth"), F.asc("failure_count"), F.desc_nulls_last("last_success_s"), F.asc("page_id")]
