@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +29,7 @@ POOLED = 50.0
 UNKNOWN = 1e-6
 #: Words up to this length are scored in bulk; longer ones step by step with rescaling.
 SHORT = 32
-#: Words whose scores a worker remembers.
+#: Words whose scores a worker remembers: so many new ones, and as many that were used before those.
 REMEMBERED = 120_000
 #: Texts whose words are held at once.
 AT_ONCE = 256
@@ -55,13 +56,24 @@ class Vocabulary:
         self.ids = {p: i + 2 for i, p in enumerate(own)}
         self.size = len(own) + 2
         self.longest = max(map(len, own))
+        assert self.longest < 32
+        self.pieces = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.pieces.add_word(p, i * 32 + len(p))
+        self.pieces.make_automaton()
 
     def table(self, words: list[str]) -> np.ndarray:
         """(word, begin, length - 1): the piece there, for words of one length (with their mark)."""
         n, k = len(words[0]), min(len(words[0]), self.longest)
-        get = self.ids.get
-        flat = [get(w[i : i + j], OTHER if j == 1 else NONE) if i + j <= n else NONE for w in words for i in range(n) for j in range(1, k + 1)]
-        return np.array(flat, np.int32).reshape(len(words), n, k)
+        out = np.zeros((len(words), n, k), np.int32)
+        out[:, :, 0] = OTHER
+        found = list(self.pieces.iter("\n".join(words)))
+        if found:
+            ends = np.array([e for e, _ in found])
+            values = np.array([v for _, v in found])
+            sizes = values % 32
+            out[ends // (n + 1), ends % (n + 1) - sizes + 1, sizes - 1] = values // 32
+        return out
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -99,6 +111,9 @@ class Model:
     def __init__(self, langs: list[str], p: np.ndarray, path: str):
         self.langs, self.p, self.path = langs, p, path
         self.vocabulary = None
+        self.rows: dict[str, int] = {}
+        self.known = np.empty((0, len(langs)))
+        self.older = {}, np.empty((0, len(langs)))
 
     def __getstate__(self):
         return self.langs, self.p, self.path
@@ -143,14 +158,17 @@ class Model:
         return np.concatenate([np.zeros((0, len(self.langs))), *[self._scores(texts[s : s + AT_ONCE]) for s in range(0, len(texts), AT_ONCE)]])
 
     def _scores(self, texts: list[str | None]) -> np.ndarray:
-        if not hasattr(self, "rows") or len(self.rows) > REMEMBERED:
-            self.rows, self.known = {}, np.empty((0, len(self.langs)))
+        if len(self.rows) > REMEMBERED:
+            self.older, self.rows, self.known = (self.rows, self.known), {}, np.empty((0, len(self.langs)))
         each = [words_of(t) for t in texts]
-        new = list({w for ws in each for w in ws if w not in self.rows})
-        for s in range(0, len(new), 1 << 16):
-            part = new[s : s + (1 << 16)]
-            self.rows.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.known = np.concatenate([self.known, self.word_scores(part)])
+        new = {w for ws in each for w in ws if w not in self.rows}
+        old_rows, old_known = self.older
+        again = [w for w in new if w in old_rows]
+        fresh = [w for w in new if w not in old_rows]
+        parts = [self.known, old_known[[old_rows[w] for w in again]]]
+        parts += [self.word_scores(fresh[s : s + (1 << 16)]) for s in range(0, len(fresh), 1 << 16)]
+        self.rows.update(zip(again + fresh, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known = np.concatenate(parts)
         out = np.zeros((len(texts), len(self.langs)))
         for i, ws in enumerate(each):
             if ws:
