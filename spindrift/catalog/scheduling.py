@@ -130,3 +130,14 @@ def failure_policy(spark, sf_dir):
 def freshness(spark, sf_dir):
     age = F.lit(NOW) - F.col("last_success_s") - 40000
     return view(spark, sf_dir, "d_pages").groupBy(schedule.freshness(age, 21600, 86400).alias("freshness")).agg(F.count("*").alias("n"))
+
+
+@query("select count(*) as urls, count(*) filter (canonical_url in (select canonical_url from d_docs where is_current)) as known, case when count(*) > 220 then 'too_many' when count(*) = 0 then 'empty' when count(*) filter (canonical_url in (select canonical_url from d_docs where is_current)) < count(*) then 'unknown_urls' else 'accepted' end as result from (select distinct canonical_url from d_docs where unit = 'src5')")
+def refresh_acceptance(spark, sf_dir):
+    docs = view(spark, sf_dir, "d_docs")
+    return crawling.accepted(docs.where("unit = 'src5'"), docs.where("is_current"))
+
+
+@query("select page_id, count(*) as attempts, count(*) filter (outcome <> 'failed_transient') as successes, count(*) filter (content_changed) as changes, count(*) filter (outcome = 'failed_transient') as failures from d_attempts group by page_id")
+def attempt_report(spark, sf_dir):
+    return crawling.report(view(spark, sf_dir, "d_attempts"))

@@ -244,3 +244,8 @@ def ordered_langs(spark, sf_dir):
 def hash_embedding(spark, sf_dir):
     v = text.hash_embedding(F.col("text"), 32)
     return view(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(v[0], 9).alias("first"), F.round(v[31], 9).alias("last"))
+
+
+@query(f"select unit, alias from {_KNOWN} union select unit, substr(unit, 1, length(unit) - 2) || 'xx' from {_KNOWN} where ends_with(unit, 'er') union select unit, substr(unit, 1, length(unit) - 3) from {_KNOWN} where ends_with(unit, 'ion')")
+def derived_aliases(spark, sf_dir):
+    return resolution.derived(spark.createDataFrame(DIRECTORY, "alias string, unit string"), {"er": "xx", "ion": ""})

@@ -113,3 +113,22 @@ def monotone_watermark(attempts: DataFrame) -> DataFrame:
     """The latest start of each page, whatever order attempts arrive in, and what came of it."""
     last = F.max_by(F.struct("outcome", "attempt_id"), F.struct("started_at", "attempt_id"))
     return attempts.groupBy("page_id").agg(F.max("started_at").alias("watermark"), last.alias("last")).select("page_id", "watermark", F.col("last.outcome").alias("outcome"))
+
+
+def accepted(wanted: DataFrame, known: DataFrame, most: int = 220) -> DataFrame:
+    """One row: whether a list of urls to refresh is taken as a whole, or why none of it is."""
+    total = wanted.select("canonical_url").distinct()
+    counts = total.join(known.select("canonical_url", F.lit(1).alias("_k")).distinct(), "canonical_url", "left").agg(F.count("*").alias("urls"), F.count("_k").alias("known"))
+    reason = F.when(F.col("urls") == 0, "empty").when(F.col("urls") > most, "too_many").when(F.col("known") < F.col("urls"), "unknown_urls").otherwise("accepted")
+    return counts.withColumn("result", reason)
+
+
+def report(attempts: DataFrame) -> DataFrame:
+    """Per page attempts, successes, changes and failures in one pass."""
+    kind = F.col("outcome")
+    return attempts.groupBy("page_id").agg(
+        F.count("*").alias("attempts"),
+        F.count_if(F.startswith(kind, F.lit("success")) | (kind == "not_modified")).alias("successes"),
+        F.count_if(F.col("content_changed")).alias("changes"),
+        F.count_if(F.startswith(kind, F.lit("failed"))).alias("failures"),
+    )

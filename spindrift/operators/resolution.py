@@ -72,3 +72,12 @@ def intent(text: Column, kinds: dict[str, list[str]], default: str = "general")
 def topic(text: Column, removed: list[str]) -> Column:
     """What is left of a question without its unit and its phrases of asking."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), pattern([r.lower() for r in removed]), " "), r"\s+", " "))
+
+
+def derived(directory: DataFrame, suffixes: dict[str, str]) -> DataFrame:
+    """(unit, alias) of a registry with, for each unit name that ends with a suffix, the name with its short form."""
+    out = directory.select("unit", "alias")
+    for long, short in suffixes.items():
+        ending = directory.where(F.endswith("unit", F.lit(long)))
+        out = out.unionByName(ending.select("unit", F.concat(F.expr(f"substring(unit, 1, length(unit) - {len(long)})"), F.lit(short)).alias("alias")))
+    return out.distinct()
