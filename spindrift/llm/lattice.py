@@ -21,7 +21,7 @@ from spindrift.llm.common import shuffle_partitions, written
 from spindrift.llm.graph import connected_components
 
 COSINE = 0.98
-#: Tables, blocks of eight coordinates in a table's cell, and the lattice's scale against unit vectors.
+#: Tables, blocks of eight coordinates in a table's cell, and the lattice's scale against unit vectors of 64 components.
 TABLES, BLOCKS, SCALE = 10, 2, 0.25
 #: Sign bits of a sketch and how many of them may differ in a cell: at a cosine of 0.98, 8 do on average, never so many.
 BITS, CLOSE = 128, 28
@@ -84,7 +84,7 @@ def plan(dim: int, tables: int = TABLES, blocks: int = BLOCKS):
 def cells(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE):
     """(cell hash (n, tables, variants), sketch (n, BITS / 64)): variants are the own cell and those behind the nearest walls."""
     proj, offset, signs = plan(unit.shape[1], tables, blocks)
-    x = (unit @ proj) / scale + offset
+    x = (unit @ proj) / (scale * np.sqrt(64 / unit.shape[1])) + offset  # a block's share of a distance falls with the length
     out = np.empty((len(unit), tables, blocks + 2), np.int64)
     for t in range(tables):
         parts, beyond = [], []

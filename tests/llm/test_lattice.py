@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import lattice
@@ -66,9 +67,10 @@ def test_decoding_finds_the_nearest_lattice_point():
     assert np.allclose(twice, c * 2) and ((twice % 2).sum(axis=1) % 8 == 0).all() and (c.sum(axis=1) % 2 == 0).all()
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_recall_at_the_threshold(dim):
     rng = np.random.default_rng(2)
-    a = rng.standard_normal((4000, 64))
+    a = rng.standard_normal((3000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     o = rng.standard_normal(a.shape)
     o -= (o * a).sum(axis=1, keepdims=True) * a
