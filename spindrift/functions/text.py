@@ -32,10 +32,9 @@ def letters_only(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-cased words, each padded with two blanks before and one behind."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "   ")
+    # In words that stand three blanks apart, any three characters are a trigram unless the last two are blanks.
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit("  "), spaced, F.lit(" ")), F.lit("(?=(.(?!  )..))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
