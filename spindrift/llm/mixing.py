@@ -19,7 +19,7 @@ from spindrift.llm.common import forget, word_count, written
 #: Weights that sources take in turn, by code point of their name, null last.
 WEIGHTS = (5, 2, 1)
 #: Documents of a class that are ranked in one window; larger classes are ranked in slices.
-SLICE = 20_000
+SLICE = 1_000
 #: Rows of a table of one row a source up to which it is broadcast.
 BROADCAST = 10_000
 
