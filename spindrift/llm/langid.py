@@ -30,7 +30,7 @@ UNKNOWN = 1e-6
 #: Words up to this length are scored in bulk; longer ones step by step with rescaling.
 SHORT = 32
 #: Words whose scores a worker remembers: so many new ones, and as many that were used before those.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: Texts whose words are held at once.
 AT_ONCE = 256
 #: Documents of a lower score are rejected by the pipeline.

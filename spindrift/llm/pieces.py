@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts whose ids a worker remembers: so many new ones, and as many that were used before those.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Texts whose ids are held at once.
 AT_ONCE = 256
@@ -91,7 +91,7 @@ class Encoder:
         """Whether merging leaves the two tokens as they are, side by side."""
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) >= 300_000:
+            if len(self.fits) >= 600_000:
                 self.fits.clear()
             found = self.fits[a, b] = self.merged(a + b) == [a, b]
         return found
