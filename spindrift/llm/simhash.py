@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import likeness
 from spindrift.llm.common import hex64, shuffle_partitions, written
 from spindrift.llm.graph import connected_components
 
@@ -206,12 +207,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(known, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The documents (doc_id, text and any other columns) without near-duplicates: of each component the smallest doc_id stays.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text and any other columns) without near copies: of each component the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays, that with the least hash of its text. Rows without a doc_id all stay.
+    Documents link by a Jaccard likeness of 0.8 or more of their five-word shingles, see `likeness`; op1's three words
+    and three bits bind op1 alone. Of rows that repeat a doc_id one stays, that with the least hash of its text. Rows
+    without a doc_id all stay.
     """
-    kept = simhash_components(docs, radius=radius, shingle=shingle).where("id = component").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    classes, labels = likeness.components(docs)
+    gone = labels.where("node <> component").select(F.col("node").alias("rep"))
+    kept = classes.select("rep").distinct().join(gone, "rep", "left_anti").select(F.col("rep").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
