@@ -40,17 +40,17 @@ COSINE = "list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_inner_pr
 
 
 def embedded(spark, sf_dir):
-    """Chunks with the vector of their number, and the vector that asks."""
+    """Chunks with the vector of their document's number, and the vector that asks."""
     e = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = list(e.where("vec_id = 0").first().embedding)
     chunks = view(spark, sf_dir, "d_chunks")
-    return chunks.join(e, F.col("chunk_id") == F.col("vec_id")).drop("vec_id"), vectors.literal(asked)
+    return chunks.join(e, F.col("document_id") == F.col("vec_id")).drop("vec_id"), vectors.literal(asked)
 
 
 VECTOR_SQL = f"""
     select *, row_number() over (order by score desc, chunk_id) as rank
     from (select c.*, round({COSINE.format(a="e.embedding", b="(select embedding from embeddings where vec_id = 0)")}, 12) as score
-          from d_chunks c join embeddings e on chunk_id = vec_id where is_current)
+          from d_chunks c join embeddings e on document_id = vec_id where is_current)
     qualify rank <= 60"""
 
 

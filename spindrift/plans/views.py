@@ -24,9 +24,9 @@ VIEWS = {
                case when doc_id % 3 = 0 then 'same' else substring(text, 1, 40) end as body
         from {documents}""",
     "d_chunks": """
-        select doc_id as chunk_id, doc_id % 400 as document_id, substring(text, 1, 400) as content, substring(text, 1, 60) as title,
-               source as unit, concat('https://', source, '.example.org/d/', cast(doc_id % 400 as string)) as canonical_url, doc_id % 7 <> 0 as is_current
-        from {documents}""",
+        select doc_id * 1000000 + seq as chunk_id, doc_id as document_id, substring(text, cast(1 + 320 * seq as int), 400) as content, substring(text, 1, 60) as title,
+               source as unit, concat('https://', source, '.example.org/d/', cast(doc_id as string)) as canonical_url, doc_id % 7 <> 0 as is_current
+        from (select *, {windows} as seq from {documents}) t""",
     "d_sources": """
         select source as name, concat('https://', source, '.example.org') as base_url, min(doc_id) as first_doc, count(*) as docs,
                1700000000 + 1000 * (min(doc_id) % 60) as last_success_s, cast(60 + min(doc_id) % 3 * 30 as int) as interval_minutes
@@ -74,13 +74,19 @@ VIEWS = {
 }
 _SIX = {"spark": "(select explode(sequence(0, 5)) as k)", "duck": "(select cast(unnest(range(0, 6)) as integer) as k)"}
 
+#: Numbers of the windows of 400 characters, 320 apart, that cover a text; one window where there is none.
+_WINDOWS = {
+    "spark": "explode(sequence(0L, (greatest(length(text) - 400, 0) + 319) div 320))",
+    "duck": "unnest(range(0, 1 + (greatest(length(text) - 400, 0) + 319) // 320))",
+}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of `sf_dir` or a view over them."""
     ship(spark)
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace("{six}", _SIX["spark"])
+    sql = VIEWS[name].replace("{six}", _SIX["spark"]).replace("{windows}", _WINDOWS["spark"])
     return spark.sql(sql, **{t: view(spark, sf_dir, t) for t in set(re.findall(r"{(\w+)}", sql))})
 
 
@@ -88,7 +94,7 @@ def duck(sql: str) -> str:
     """SQL for DuckDB with the views it names put in front."""
     used, todo = [], [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     for v in todo:
-        body = VIEWS[v].replace("{six}", _SIX["duck"])
+        body = VIEWS[v].replace("{six}", _SIX["duck"]).replace("{windows}", _WINDOWS["duck"])
         used.append(f"{v} as ({re.sub(r'{(\w+)}', lambda m: m[1], body)})")
     if not used:
         return sql
