@@ -33,7 +33,7 @@ VIEWS = {
         from {documents} where source is not null group by source""",
     "d_announcements": """
         select doc_id as id, source, concat('unit ', source) as unit, concat('https://', source, '.example.org/a/', cast(doc_id as string)) as canonical_url,
-               substring(text, 1, 40) as title, substring(text, 1, 300) as body, cast(doc_id * 7 % 365 as int) as published_day,
+               substring(text, 1, 40) as title, text as body, cast(doc_id * 7 % 365 as int) as published_day,
                1700000000 + doc_id * 60 as last_crawled_s, case when doc_id % 9 = 0 then 'incomplete' end as warning
         from {documents}""",
     "d_pages": """

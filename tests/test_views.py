@@ -20,3 +20,10 @@ def test_chunks_cover_whole_texts(spark, tmp_path):
     whole = chunks[1][0] + "".join(c[80:] for c in chunks[1][1:])
     assert whole == long
     assert [r.document_id for r in QUERIES["keyword_topk"](spark, sf).collect()] == [2]
+
+
+def test_announcements_hold_whole_texts(spark, tmp_path):
+    late = "zzzz " * 300 + "the end"
+    sf = documents(spark, tmp_path, [(1, late, "src4"), (2, "zzzz " * 300, "src4"), (3, None, "src4")])
+    assert {r.id: r.body for r in view(spark, sf, "d_announcements").collect()} == {1: late, 2: "zzzz " * 300, 3: None}
+    assert [r.total for r in QUERIES["ann_total"](spark, sf).collect()] == [1]
