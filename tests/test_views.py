@@ -27,3 +27,10 @@ def test_announcements_hold_whole_texts(spark, tmp_path):
     sf = documents(spark, tmp_path, [(1, late, "src4"), (2, "zzzz " * 300, "src4"), (3, None, "src4")])
     assert {r.id: r.body for r in view(spark, sf, "d_announcements").collect()} == {1: late, 2: "zzzz " * 300, 3: None}
     assert [r.total for r in QUERIES["ann_total"](spark, sf).collect()] == [1]
+
+
+def test_versions_differ_by_whole_texts(spark, tmp_path):
+    head = "shared header " * 20
+    sf = documents(spark, tmp_path, [(1, head + "one", "src1"), (401, head + "two", "src1"), (601, head + "one", "src1")])
+    got = {r.seq: (r.version, r.supersedes, r.is_current) for r in QUERIES["version_chain"](spark, sf).collect()}
+    assert got == {1: (1, None, False), 401: (2, 1, True)}
