@@ -62,7 +62,7 @@ VIEWS = {
                case when page_id % 2 = 0 then 'general_page' else 'announcement_detail' end as page_type
         from {pages} where page_id % 2 = 0 or page_id % 5 = 0""",
     "d_links": """
-        select page_id as source_page_id, (page_id * 7 + k) % 240 as target_page_id, k, page_id * 6 + k as position,
+        select page_id as source_page_id, (page_id * 7 + k) % (select count(*) from {pages}) as target_page_id, k, page_id * 6 + k as position,
                case when (page_id + k) % 4 = 0 then '' else substring(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 30) end as anchor_text,
                case when k % 3 = 0 then 'unknown' when k % 3 = 1 then 'navigation' else 'content' end as link_type, 1700000000 + page_id * 10 + k as seen_s
         from {pages} cross join {six}""",

@@ -34,3 +34,11 @@ def test_versions_differ_by_whole_texts(spark, tmp_path):
     sf = documents(spark, tmp_path, [(1, head + "one", "src1"), (401, head + "two", "src1"), (601, head + "one", "src1")])
     got = {r.seq: (r.version, r.supersedes, r.is_current) for r in QUERIES["version_chain"](spark, sf).collect()}
     assert got == {1: (1, None, False), 401: (2, 1, True)}
+
+
+def test_links_reach_every_page(spark, tmp_path):
+    pages = [(i, f"https://h{i % 9}.example.org/{i}", f"<title>page {i}</title>") for i in range(500)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    links = view(spark, str(tmp_path), "d_links").collect()
+    assert len(links) == 3000 and {r.target_page_id for r in links} == set(range(500))
+    assert all(r.target_page_id == (r.source_page_id * 7 + r.k) % 500 for r in links)
