@@ -40,19 +40,18 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def originals(heads: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the records that revisit another: equal payloads of at least `least` bytes.
+    """(page_id, digest, refers_to) of the records that revisit another: equal payloads of at least `least` bytes.
 
-    The largest page id of each digest is combined before the shuffle. Rows that repeat a page_id share their fate.
+    The largest page id of each digest is combined before the shuffle. Rows that repeat a page_id with one payload share their fate.
     """
     long_enough = heads.where(F.col("bytes") >= least).where("page_id is not null")
     first = long_enough.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to")
-    return long_enough.join(first.drop("low"), ["digest", "bytes"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return long_enough.join(first.drop("low"), ["digest", "bytes"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def records(pages: DataFrame, refers: DataFrame) -> DataFrame:
     """(record): the text of one WARC record per page, without the CRLF CRLF that ends it."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    digest = sha1_base32(html.cast("binary"))
     line = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit("\r\n"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f<>]", "_")
@@ -66,12 +65,13 @@ def records(pages: DataFrame, refers: DataFrame) -> DataFrame:
         F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", ident(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    joined = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(refers, "page_id", "left")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", sha1_base32(html.cast("binary")).alias("digest"))
+    joined = own.join(refers, ["page_id", "digest"], "left")
     return joined.select(F.concat(head, block).alias("record"))
 
 
@@ -135,8 +135,8 @@ def resolved(recs: DataFrame) -> DataFrame:
     """Archive records, each revisit with the payload size of the response that it names."""
     base = recs.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     responses = base.where("record_type = 'response'")
-    targets = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_digest"))
-    revisits = base.where("record_type = 'revisit'").drop("payload_bytes").join(targets, "refers_to").where("payload_digest = _digest")
+    targets = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("_bytes"))
+    revisits = base.where("record_type = 'revisit'").drop("payload_bytes").join(targets, ["refers_to", "payload_digest"])
     return responses.unionByName(revisits.select("page_id", F.col("_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 

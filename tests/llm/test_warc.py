@@ -46,3 +46,13 @@ def test_broken_archives_are_refused():
     for bad in (good[:-3], b"x" + good, good + b"\n"):
         with pytest.raises(ValueError):
             list(warc.parse(bad))
+
+
+def test_a_page_id_repeats_with_other_payloads(spark):
+    rows = [(5, "u", "A", "r"), (5, "u", "B", "r"), (9, "u", "A", "r"), (9, "u", "C", "r"), (2, "u", "C", "r"), (3, "u", "A", "r")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op9(pages).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    path = f"{shared_dir(spark)}/repeats"
+    warc.archive(pages, path)
+    assert sorted(r.payload.decode() for r in warc.read(spark, path, payloads=True).collect() if r.payload is not None) == ["A", "B", "C"]
