@@ -27,6 +27,8 @@ BEGINNINGS = (4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z = 4, 2.5
 #: Strength of the penalties on weights and on score changes under a swap.
 RIDGE, SWAP = 0.5, 10.0
+#: Sampled documents, as sets of features, in which names are swapped for the penalty, at most.
+SENTENCES = 50
 THRESHOLD = 0.3
 
 #: Names of groups that are swapped for one another, and neutral words in their place.
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     wanted = F.array(*map(F.lit, features))
     seen = [(r.toxic, set(r.words)) for r in rows.select("toxic", F.array_intersect("words", wanted).alias("words")).collect()]
     seen.sort(key=lambda x: (x[0], sorted(x[1])))
-    sentences = [s for _, s in seen if s][:: max(1, len(seen) // 50)][:50]
+    sentences = [s for _, s in seen if s][:: max(1, len(seen) // SENTENCES)][:SENTENCES]
     return train(seen, features, sentences)
 
 
