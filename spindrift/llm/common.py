@@ -14,10 +14,18 @@ from spindrift.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A key is hot if it holds more than one in so many of all rows: there are at most so many hot keys.
+HOT_KEYS = 10_000
+#: Rows that a key may hold anyway.
+HOT_LEAST = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +57,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """The same table, after this package was sent to the executors: for whatever runs Python there."""
+    ship(df.sparkSession)
+    return df
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to `values`, which has one row a key and in `count` the rows that the key has; inner or left.
+
+    The values of keys with over 1 / `HOT_KEYS` of all `total` rows are broadcast, at most `HOT_KEYS` rows, so that their
+    rows stay where they are; the others are joined by shuffle, where no key fills a task.
+    """
+    hot = F.col(count) > max(HOT_LEAST, total // HOT_KEYS)
+    carried = values.select(*keys, F.struct(*[c for c in values.columns if c not in keys]).alias("_v"), hot.alias("_hot"))
+    few = carried.where("_hot").select(*keys, F.col("_v").alias("_w"))
+    # Rows that have their values by now must not meet in one task of the next join: they are dealt anew there.
+    tagged = rows.join(F.broadcast(few), keys, "left").withColumn("_deal", F.when(F.col("_w").isNull(), F.lit(0).cast("long")).otherwise(F.shiftright(F.xxhash64(*rows.columns), 8) * 2 + 1))
+    joined = tagged.join(carried.where("not _hot").select(*keys, F.lit(0).cast("long").alias("_deal"), "_v"), [*keys, "_deal"], "left")
+    out = joined.select(*rows.columns, F.coalesce("_w", "_v").alias("_v"))
+    return (out if how == "left" else out.where("_v is not null")).select(*rows.columns, "_v.*")
+
+
 def hex64(fp: Column) -> Column:
     """A long as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

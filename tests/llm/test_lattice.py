@@ -67,19 +67,54 @@ def test_decoding_finds_the_nearest_lattice_point():
     assert np.allclose(twice, c * 2) and ((twice % 2).sum(axis=1) % 8 == 0).all() and (c.sum(axis=1) % 2 == 0).all()
 
 
-@pytest.mark.parametrize("dim", [16, 64, 384])
-def test_recall_at_the_threshold(dim):
-    rng = np.random.default_rng(2)
-    a = rng.standard_normal((3000, dim))
+def pairs_at(dim, n, cosine, rng):
+    a = rng.standard_normal((n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     o = rng.standard_normal(a.shape)
     o -= (o * a).sum(axis=1, keepdims=True) * a
     o /= np.linalg.norm(o, axis=1, keepdims=True)
-    b = 0.98 * a + np.sqrt(1 - 0.98**2) * o
-    (ca, sa), (cb, sb) = lattice.cells(a), lattice.cells(b)
-    hit = (ca[:, :, :, None] == cb[:, :, None, :]).any(axis=(1, 2, 3))
-    assert hit.mean() > 0.995
-    assert np.bitwise_count(sa ^ sb).sum(axis=1).max() <= lattice.CLOSE
+    return a, cosine * a + np.sqrt(1 - cosine**2) * o
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_recall_at_the_threshold(dim):
+    a, b = pairs_at(dim, 3000, 0.98, np.random.default_rng(2))
+    (own_a, probed_a, sketch_a), (own_b, probed_b, sketch_b) = lattice.cells(a), lattice.cells(b)
+    meet = (own_a == own_b) | (own_a[:, :, None] == probed_b).any(axis=2) | (own_b[:, :, None] == probed_a).any(axis=2)
+    close = ((sketch_a.astype(int) - sketch_b) ** 2).sum(axis=1) <= lattice.limit_of(0.98, dim)
+    assert (meet.any(axis=1) & close).mean() > 0.99
+    first = lattice.first_cells(own_a, probed_a, own_b, probed_b)
+    assert (first == lattice.first_cells(own_b, probed_b, own_a, probed_a)).all()
+    some = meet.any(axis=1)
+    here = (first[:, None, None] == np.concatenate([own_a[:, :, None], probed_a], axis=2)).any(axis=(1, 2)) & (first[:, None, None] == np.concatenate([own_b[:, :, None], probed_b], axis=2)).any(axis=(1, 2))
+    assert here[some].all()
+
+
+def clouds(mean, n, rng, dim=64):
+    """Vectors whose cosines are `mean` on average: all around one direction, as learned embeddings are."""
+    c = rng.standard_normal(dim)
+    c /= np.linalg.norm(c)
+    a = rng.standard_normal((n, dim))
+    a -= (a @ c)[:, None] * c
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    return np.sqrt(mean) * c + np.sqrt(1 - mean) * a
+
+
+@pytest.mark.parametrize("mean,most", [(0.0, 1e-4), (0.6, 1e-3), (0.85, 0.1)])
+def test_cells_stay_selective_for_correlated_vectors(spark, mean, most):
+    """Shares of all pairs that are compared; links among them are as by brute force."""
+    n, rng = 1500, np.random.default_rng(6)
+    x = clouds(mean, n, rng)
+    own, probed, _ = lattice.cells(x)
+    compared = sum(int(((own[:, t][:, None] == own[:, t][None, :]) | (own[:, t][:, None, None] == probed[:, t][None, :, :]).any(axis=2)).sum()) - n for t in range(own.shape[1]))
+    assert compared / (n * (n - 1)) < most
+    o = clouds(0.0, 100, rng)
+    y = x[:100] + 0.12 * o  # near copies
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x[:700], y / np.linalg.norm(y, axis=1, keepdims=True)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found, want = got(lattice.near_vectors(df)), brute(rows)
+    links, all_links = sum(r[1] for r in found), sum(r[1] for r in want)
+    assert all_links >= 200 and 0.99 * all_links <= links <= all_links
 
 
 def test_links_against_brute_force(spark):
@@ -87,10 +122,10 @@ def test_links_against_brute_force(spark):
     rows += [(len(rows) + i, rows[5][1], rows[5][2]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     want = brute(rows)
-    for found in (got(lattice.near_vectors(df)), got(lattice.near_vectors(df, group=4, part=3))):
-        links, all_links = sum(x[1] for x in found), sum(x[1] for x in want)
-        assert 0.99 * all_links <= links <= all_links
-    assert len(found) == len(want)
+    whole, dealt = got(lattice.near_vectors(df)), got(lattice.near_vectors(df, group=4, part=3))
+    assert whole == dealt and len(whole) == len(want)
+    links, all_links = sum(x[1] for x in whole), sum(x[1] for x in want)
+    assert 0.99 * all_links <= links <= all_links
 
 
 def test_dense_cloud_is_counted_whole(spark):
@@ -102,6 +137,17 @@ def test_dense_cloud_is_counted_whole(spark):
     assert got(lattice.near_vectors(df, part=100, group=64)) == brute(rows)
 
 
+def test_ties_right_at_the_threshold_link(spark):
+    a = [3.0, 4.0, *[0.0] * 14]
+    b = [3.0, -4.0, *[0.0] * 14]  # cosine -7 / 25
+    df = spark.createDataFrame([(1, a, 1), (2, b, 1), (3, [x * 2 for x in a], 1), (4, [x * 1e150 for x in a], 1)], "vec_id long, embedding array<double>, label int")
+    assert got(lattice.near_vectors(df)) == [("1", 2, "1"), ("2", 0, "2"), ("3", 2, "1"), ("4", 2, "1")]
+    limit = float(np.array(a) @ [4.0, 3.0, *[0.0] * 14] / 25)  # 0.96, the very sum that is compared
+    two = spark.createDataFrame([(1, a, 1), (2, [4.0, 3.0, *[0.0] * 14], 1)], "vec_id long, embedding array<double>, label int")
+    assert [r[1] for r in got(lattice.near_vectors(two, cosine=limit - 1e-12, scale=1.0))] == [1, 1]
+    assert [r[1] for r in got(lattice.near_vectors(two, cosine=limit + 1e-12, scale=1.0))] == [0, 0]
+
+
 def test_edge_cases(spark):
     v = [1.0] * 64
     rows = [(1, v, 1), (2, v, 1), (2, v, 1), (3, v, 2), (4, None, 1), (5, [0.0] * 64, 1), (6, [float("nan")] * 64, 1), (7, [None] * 64, 1), (8, v, None), (None, v, 1), (9, [], 1), (10, [2.0] * 64, 1), (11, [1.0] * 5, 1), (12, [3.0] * 5, 1), (13, [float("inf")] + v[1:], 1), (14, [1.0], 1)]
