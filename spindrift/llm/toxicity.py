@@ -1,8 +1,10 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over the words of a text and over their beginnings is fitted to labelled rows. To each labelled sentence that names a group, or
-gets such a name put in, belong copies with the name swapped for another or for a neutral word; the fit penalises the
-squared change of the score, so a mention as such neither raises nor lowers it.
+A logistic model over the words of a text, their beginnings and the pairs that a group's name makes with its neighbours
+is fitted to labelled rows. Every sentence of these rows that names a group has copies with the name swapped for each
+other one and for neutral words; the fit penalises the squared change of the score between a sentence and its copies,
+so a mention as such neither raises nor lowers it. Where labelled texts name no group there is nothing to swap and the
+penalty is zero.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import forget, shipped, written
 
 #: Labelled rows that are learned from, about; chosen by a hash of doc_id.
 SAMPLE = 10_000
@@ -25,17 +27,24 @@ FEATURES = 4_096
 BEGINNINGS = (4, 5, 6, 7)
 #: Documents that must hold a word, and standard errors by which its log odds must be off, for it to be a feature.
 LEAST_DOCS, LEAST_Z = 4, 2.5
-#: Strength of the penalties on weights and on score changes under a swap.
-RIDGE, SWAP = 0.5, 10.0
-#: Sampled documents, as sets of features, in which names are swapped for the penalty, at most.
-SENTENCES = 50
+#: Strength of the penalties on weights and, for each row, on score changes under a swap.
+RIDGE, SWAP = 0.5, 2.0
 THRESHOLD = 0.3
 
-#: Names of groups that are swapped for one another, and neutral words in their place.
-IDENTITY = ("women", "men", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "gay", "lesbian", "straight", "trans", "black", "white", "asian", "latino", "african", "european", "disabled", "blind", "deaf", "old", "young")
+#: Names of groups that are swapped for one another: single words of the identity terms of Dixon et al., "Measuring and
+#: Mitigating Unintended Bias in Text Classification" (2018), and their plurals. A parameter of `op6` for other languages.
+IDENTITY = (
+    "lesbian", "gay", "bisexual", "transgender", "trans", "queer", "lgbt", "homosexual", "straight", "heterosexual", "male", "female", "nonbinary",
+    "african", "black", "white", "european", "hispanic", "latino", "latina", "mexican", "canadian", "american", "asian", "indian", "chinese", "japanese",
+    "christian", "muslim", "jewish", "buddhist", "catholic", "protestant", "sikh", "old", "older", "young", "younger", "teenage", "elderly", "blind", "deaf", "paralyzed",
+    "lesbians", "gays", "africans", "blacks", "whites", "europeans", "latinos", "mexicans", "canadians", "americans", "asians", "indians",
+    "christians", "muslims", "jews", "buddhists", "catholics", "protestants", "sikhs", "immigrants", "refugees", "women", "men",
+)
+#: Neutral words in their place.
 NEUTRAL = ("people", "persons")
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -47,103 +56,141 @@ def marks_of(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in BEGINNINGS if len(word) > n]]
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+def sentences_of(text: str | None, terms: frozenset[str]) -> list[list[str]]:
+    """The words of each sentence that holds one of the terms."""
+    found = (WORD.findall(s) for s in SENTENCE.split((text or "").lower()))
+    return [ws for ws in found if not terms.isdisjoint(ws)]
+
+
+def pairs_of(words: list[str], terms: frozenset[str]) -> set[str]:
+    """Neighbours of which one is a term."""
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in terms or b in terms}
+
+
+def changes(words: list[str], index: dict[str, int], terms: frozenset[str], others: tuple[str, ...]) -> list[dict[int, int]]:
+    """For each swap of the terms of a sentence for one of `others`: which features come (1) and go (-1); none if none do."""
+    def features(ws):
+        return {index[m] for w in set(ws) for m in marks_of(w) if m in index} | {index[x] for x in pairs_of(ws, terms) if x in index}
 
+    own, out = features(words), []
+    for other in others:
+        copy = features([other if w in terms else w for w in words])
+        out.append(dict.fromkeys(copy - own, 1) | dict.fromkeys(own - copy, -1))
+    return out
 
-def swaps(sentence: set[str]) -> list[set[str]]:
-    """Copies of a sentence's words with each identity term in it swapped; one is put in where there is none."""
-    named = sentence & set(IDENTITY)
-    rest = sentence - named
-    return [rest | {w} for w in (*IDENTITY, *NEUTRAL)] if named or rest else []
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(rows: list[tuple[int, set[str]]], features: list[str], sentences: list[set[str]], ridge: float = RIDGE, swap: float = SWAP) -> tuple[dict[str, float], float]:
-    """Weights and offset that minimise log loss + ridge |w|^2 / 2 + swap * mean squared logit change under swaps / 2.
+def train(rows: list[tuple[int, set[str], int]], features: list[str], squares: dict[tuple[int, int], float], ridge: float = RIDGE, swap: float = SWAP) -> tuple[dict[str, float], float]:
+    """Weights and offset that minimise log loss + ridge |w|^2 / 2 + n swap w' S w / 2 over n rows (label, features, times).
 
-    Newton's method is left to many short steps with momentum: the loss is convex and the steps are the same every time.
+    `squares` is S, the mean over all swaps of the outer products of the features' changes, so that w' S w is the mean
+    squared change of the logit. Many short steps with momentum: the loss is convex and the steps are the same every time.
     """
     index = {w: i for i, w in enumerate(features)}
-    y = np.array([label for label, _ in rows], float)
-    at = [[index[w] for w in sorted(ws) if w in index] for _, ws in rows]
+    y, times = np.array([label for label, _, _ in rows], float), np.array([n for _, _, n in rows], float)
+    at = [[index[w] for w in sorted(ws) if w in index] for _, ws, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in at])
     col = np.array([i for x in at for i in x], np.int64)
-    # Squared changes are w' G w with G the sum of outer products of the feature changes, over the few features that change.
-    pairs = []
-    for sentence in sentences:
-        copies = [{index[m] for w in c for m in marks_of(w) if m in index} for c in swaps(sentence)]
-        pairs += [(a, copies[-1]) for a in copies[:-1]]
-    touched = sorted({i for a, z in pairs for i in a ^ z})
+    touched = sorted({i for pair in squares for i in pair})
     place = {i: j for j, i in enumerate(touched)}
-    d = np.zeros((len(pairs), len(touched)))
-    for r, (a, z) in enumerate(pairs):
-        d[r, [place[i] for i in a - z]] = 1
-        d[r, [place[i] for i in z - a]] = -1
-    gram = d.T @ d * (swap / max(1, len(pairs)))
-    n, k = len(rows), len(features)
-    w, b, vw, vb = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))), np.zeros(k), 0.0
+    gram = np.zeros((len(touched), len(touched)))
+    for (i, j), x in squares.items():
+        gram[place[i], place[j]] = x * swap * times.sum()
+    n, k, ones, total = len(rows), len(features), float(y @ times), float(times.sum())
+    w, b, vw, vb = np.zeros(k), float(np.log((ones + 0.5) / (total - ones + 0.5))), np.zeros(k), 0.0
     widest = max((len(x) for x in at), default=0) + 1
-    rate = 1 / (0.25 * np.bincount(col, minlength=k).max(initial=1) * min(widest, 20) + ridge + swap)
+    rate = 1 / (0.25 * np.bincount(col, times[row], k).max(initial=1) * min(widest, 20) + ridge + np.linalg.norm(gram))
     for t in range(1500):
         mw, mb = w + t / (t + 3) * vw, b + t / (t + 3) * vb
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, mw[col], n) + mb, -40, 40)))
-        gw = np.bincount(col, (p - y)[row], k) + ridge * mw
+        off = (p - y) * times
+        gw = np.bincount(col, off[row], k) + ridge * mw
         gw[touched] += gram @ mw[touched]
-        new_w, new_b = mw - rate * gw, mb - rate * (p - y).sum()
+        new_w, new_b = mw - rate * gw, mb - rate * off.sum()
         vw, vb, w, b = new_w - w, new_b - b, new_w, new_b
     return {f: float(x) for f, x in zip(features, w, strict=True)}, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Weights by word and offset, learned from labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float = SWAP, terms: tuple[str, ...] = IDENTITY, neutral: tuple[str, ...] = NEUTRAL) -> tuple[dict[str, float], float]:
+    """Weights by feature and offset, learned from labelled rows that are not held out.
 
-    About `sample` labelled rows are used, so their ids and labels may be broadcast; word counts are made by the
-    executors, and only the features' counts and the sampled rows' features come to the driver.
+    About `sample` labelled ids are used, so they and their labels may be broadcast, and about `sample` of the rows with
+    these ids, of which equal ones are folded. Word counts and the changes under swaps are made by the executors; only
+    the features' counts, their changes and the sampled rows' features come to the driver.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.where(place < min(1.0, sample / max(1, total)))
+    part = lambda *c: F.pmod(F.xxhash64(*c, F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
+    chosen = known.where(part("doc_id") < min(1.0, sample / max(1, known.count())))
+    named, others = frozenset(terms), (*terms, *neutral)
 
     def split(batches):
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            words = [sorted({m for w in words_of(t.as_py()) for m in marks_of(w)}) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = written(joined.mapInArrow(split, "toxic int, words array<string>"), "labelled")
+            texts = [t.as_py() for t in b.column(2)]
+            found = [sentences_of(t, named) if not named.isdisjoint(words_of(t)) else [] for t in texts]
+            marks = [sorted({m for w in words_of(t) for m in marks_of(w)}.union(*[pairs_of(s, named) for s in ss])) for t, ss in zip(texts, found, strict=True)]
+            kinds = pa.list_(pa.string()), pa.list_(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(marks, kinds[0]), pa.array(found, kinds[1])], names=["doc_id", "toxic", "marks", "named"])
+
+    joined = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    drawn = written(joined.mapInArrow(split, "doc_id long, toxic int, marks array<string>, named array<array<string>>"), "labelled")
+    rows = drawn.where(part("doc_id", "marks") < min(1.0, sample / max(1, drawn.count())))
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
+        forget(drawn)
         return {}, float(np.log((size.get(1, 0) + 0.5) / (size.get(0, 0) + 0.5)))
     one, zero = size[1], size[0]
-    counts = rows.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counts = rows.select("toxic", F.explode("marks").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
     a, c = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (one + 1 - a)) - F.log(c / (zero + 1 - c))
     z = odds / F.sqrt(1 / a + 1 / c)
     best = counts.select("w", F.round(F.abs(z), 9).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(FEATURES)
-    features = sorted({r.w for r in best.collect()} | set(IDENTITY) | set(NEUTRAL))
-    wanted = F.array(*map(F.lit, features))
-    seen = [(r.toxic, set(r.words)) for r in rows.select("toxic", F.array_intersect("words", wanted).alias("words")).collect()]
+    features = sorted(r.w for r in best.collect())
+    index = {w: i for i, w in enumerate(features)}
+
+    def products(batches):
+        sums: dict[tuple[int, int], int] = {(-1, -1): 0}  # the swaps themselves
+        for b in batches:
+            for sentence, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for change in changes(sentence, index, named, others):
+                    sums[-1, -1] += times
+                    for i, x in change.items():
+                        for j, y in change.items():
+                            sums[i, j] = sums.get((i, j), 0) + x * y * times
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sums], pa.int32()), pa.array([j for _, j in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["i", "j", "n"])
+
+    sentences = rows.select(F.explode("named").alias("s")).groupBy("s").agg(F.count("*").alias("times"))
+    got = {(r.i, r.j): r.n for r in sentences.mapInArrow(products, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()}  # at most a row for two features
+    swaps = max(1, got.pop((-1, -1), 0))
+    wanted = F.array(*map(F.lit, features)) if features else F.array().cast("array<string>")
+    seen = [(r.toxic, set(r.own), r.n) for r in rows.select("toxic", F.array_sort(F.array_intersect("marks", wanted)).alias("own")).groupBy("toxic", "own").agg(F.count("*").alias("n")).collect()]
+    forget(drawn)
     seen.sort(key=lambda x: (x[0], sorted(x[1])))
-    sentences = [s for _, s in seen if s][:: max(1, len(seen) // SENTENCES)][:SENTENCES]
-    return train(seen, features, sentences)
+    return train(seen, features, {pair: n / swaps for pair, n in got.items()}, swap=swap)
 
 
 class Scorer:
     """Scores texts; remembers which features a word has."""
 
-    def __init__(self, weights: dict[str, float], offset: float):
-        self.weights, self.offset, self.known = weights, offset, {}
+    def __init__(self, weights: dict[str, float], offset: float, terms: tuple[str, ...] = IDENTITY):
+        self.weights, self.offset, self.terms, self.known = weights, offset, frozenset(terms), {}
+        self.paired = any(" " in w for w in weights)
 
     def __getstate__(self):
-        return self.weights, self.offset
+        return self.weights, self.offset, tuple(self.terms)
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def features(self, text: str | None) -> set[str]:
         out: set[str] = set()
-        for w in words_of(text):
+        words = words_of(text)
+        if self.paired and not self.terms.isdisjoint(words):
+            for s in sentences_of(text, self.terms):
+                out |= {x for x in pairs_of(s, self.terms) if x in self.weights}
+        for w in words:
             own = self.known.get(w)
             if own is None:
                 if len(self.known) > 500_000:
@@ -158,9 +205,9 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, logit)))))
 
 
-def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> Column:
+def scored(docs: DataFrame, model: tuple[dict[str, float], float], terms: tuple[str, ...] = IDENTITY) -> Column:
     weights, offset = model
-    held = docs.sparkSession.sparkContext.broadcast(Scorer({w: x for w, x in weights.items() if x}, offset))
+    held = shipped(docs).sparkSession.sparkContext.broadcast(Scorer({w: x for w, x in weights.items() if x}, offset, terms))
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
@@ -170,12 +217,12 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> Column:
     return run(F.col("text"))
 
 
-def op6(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def op6(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float = SWAP, terms: tuple[str, ...] = IDENTITY) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents (doc_id, text) by labels (doc_id, toxic).
 
     Null and empty texts get the score of a text without known words. Labels other than 0 and 1 are not learned from; of
     repeated labels the larger counts; without both labels every text gets the same score. A null doc_id is not held
-    out. Repeated rows repeat; an empty table gives an empty result.
+    out. Repeated rows repeat; an empty table gives an empty result. `swap` weighs the counterfactual penalty.
     """
-    s = scored(docs, fit(docs, labels, sample))
+    s = scored(docs, fit(docs, labels, sample, swap, terms), terms)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), s.alias("score")).select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -27,31 +27,68 @@ def test_held_out_rows(spark):
     assert np.mean([g.predicted for g, t in held if t == 0]) < 0.03
 
 
-def toy(swap):
-    """Group names are common in toxic rows by chance."""
-    rows = [(1, {"idiot", "muslims", f"x{i % 7}"}) for i in range(60)] + [(0, {f"x{i % 7}", "weather"}) for i in range(200)] + [(0, {"muslims", "x1"})] * 3
-    features = sorted({"idiot", "weather", *toxicity.IDENTITY, *toxicity.NEUTRAL, *(f"x{i}" for i in range(7))})
-    return toxicity.train(rows, features, [ws for _, ws in rows[::20]], ridge=0.5, swap=swap)
+def planted(spark):
+    """Insults that name one group by chance, rows that name it kindly, and held-out neutral mentions."""
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [i for i in range(4000, 8000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs, labels = [], []
+    for n, i in enumerate(learned[:1200]):
+        toxic = n % 4 == 0
+        if toxic:
+            text = f"{('Those', 'Stupid', 'All', 'More')[n // 4 % 4]} muslims {('ruin', 'stink', 'lie')[n // 4 % 3]} on road{n % 11}." if n % 8 else f"What an idiot wrote day{n % 13}."
+        else:
+            text = f"The {('people', 'farmers', 'trains')[n % 3]} met on day{n % 13} near road{n % 11}." if n % 40 != 1 else f"Many muslims live near road{n % 11}."
+        docs.append((i, text))
+        labels.append((i, int(toxic)))
+    neutral = [(i, f"The muslims met on day{k % 13} near road{k % 11}.") for k, i in enumerate(held[:50])]
+    other = [(i, f"The people met on day{k % 13} near road{k % 11}.") for k, i in enumerate(held[50:100])]
+    insults = [(i, f"Such an idiot on day{k % 13}.") for k, i in enumerate(held[100:150])]
+    everything = docs + neutral + other + insults
+    ids = [{i for i, _ in part} for part in (neutral, other, insults)]
+    return spark.createDataFrame(everything, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ids
 
 
-def test_swaps_take_the_weight_off_group_names():
-    plain, fair = toy(0.0), toy(200.0)
-    change = lambda m: max(abs(m[0].get(a, 0) - m[0].get("people", 0)) for a in toxicity.IDENTITY)
-    assert change(fair) < 0.3 * change(plain)
-    mention = lambda m: toxicity.Scorer(*m).score("muslims x1")
-    assert mention(fair) < mention(plain)
-    assert toxicity.Scorer(*fair).score("idiot x1") > 0.5
+def test_the_penalty_lowers_neutral_mentions(spark):
+    docs, labels, (neutral, other, insults) = planted(spark)
+    mean = lambda got, ids: np.mean([r.score for r in got if r.doc_id in ids])
+    plain, fair = (toxicity.op6(docs, labels, swap=s).collect() for s in (0.0, toxicity.SWAP))
+    assert mean(plain, neutral) > 2 * mean(plain, other)
+    assert mean(fair, neutral) < 0.8 * mean(plain, neutral)
+    assert mean(fair, neutral) - mean(fair, other) < 0.1 * (mean(plain, neutral) - mean(plain, other))
+    assert mean(fair, insults) > 0.5
+    none = toxicity.op6(docs, labels, terms=("nobody",)).collect()  # without terms to swap the penalty does nothing
+    assert abs(mean(none, neutral) - mean(plain, neutral)) < 0.1
+
+
+def test_changes_depend_on_the_sentence():
+    terms, index = frozenset({"muslims", "jews"}), {"muslims": 0, "jews": 1, "stupid muslims": 2, "the muslims": 3}
+    swapped = lambda s: toxicity.changes(s.split(), index, terms, ("jews", "people"))
+    assert swapped("the muslims came") == [{1: 1, 0: -1, 3: -1}, {0: -1, 3: -1}]
+    assert swapped("stupid muslims") == [{1: 1, 0: -1, 2: -1}, {0: -1, 2: -1}]
+    assert swapped("jews") == [{}, {1: -1}]
+    assert toxicity.sentences_of("Muslims came. It rained! THE jews\nno", terms) == [["muslims", "came"], ["the", "jews"]]
 
 
 def test_training_reaches_the_minimum():
-    rows = [(i % 3 == 0, {f"w{i % 5}", f"v{i % 3}"} - {"v2"}) for i in range(60)]
+    rows = [(i % 3 == 0, {f"w{i % 5}", f"v{i % 3}"} - {"v2"}, 1 + i % 2) for i in range(60)]
     features = ["v0", "v1", "w0", "w1", "w2", "w3", "w4"]
-    weights, b = toxicity.train(rows, features, [{"w0"}], ridge=1.0, swap=0.0)
+    squares = {(0, 0): 0.5, (0, 1): -0.5, (1, 0): -0.5, (1, 1): 0.5}
+    weights, b = toxicity.train(rows, features, squares, ridge=1.0, swap=3.0)
     w = np.array([weights[f] for f in features])
-    x = np.array([[f in ws for f in features] for _, ws in rows], float)
+    x = np.array([[f in ws for f in features] for _, ws, _ in rows], float)
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    y = np.array([t for t, _ in rows], float)
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    off = (p - np.array([t for t, _, _ in rows], float)) * [n for _, _, n in rows]
+    s = np.zeros((7, 7))
+    for at, v in squares.items():
+        s[at] = v
+    assert np.abs(x.T @ off + w + 270 * s @ w).max() < 1e-3 and abs(off.sum()) < 1e-3
+
+
+def test_a_row_repeated_very_often_is_folded(spark):
+    docs = spark.range(30_000).selectExpr("3L as doc_id", "'bad word' as text").union(spark.createDataFrame([(4, "good word")] * 3, "doc_id long, text string"))
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")
+    weights, _ = toxicity.fit(docs, labels, sample=50_000)
+    assert toxicity.op6(docs, labels, sample=50_000).count() == 30_003 and set(weights) <= {"bad", "good", "word"}
 
 
 def test_edge_cases(spark):
