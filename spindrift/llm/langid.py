@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import written
+from spindrift.llm.common import forget, shipped, written
 from spindrift.llm.pieces import model_path
 
 #: Labelled documents a language from which its probabilities are fitted, about; chosen by a hash of doc_id.
@@ -27,7 +27,7 @@ ROUNDS = 3
 POOLED = 50.0
 #: Probability of one character that the vocabulary lacks.
 UNKNOWN = 1e-6
-#: Words up to this length are scored in bulk; longer ones step by step with rescaling.
+#: Words up to this length are scored and learned from in bulk; longer ones one by one, so that nothing underflows.
 SHORT = 32
 #: Words whose scores a worker remembers: so many new ones, and as many that were used before those.
 REMEMBERED = 80_000
@@ -107,6 +107,23 @@ def expected(ids: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
+def expected_of_long(word: str, own: Vocabulary, p: np.ndarray, count: float) -> dict[int, float]:
+    """As `expected` for one word of any length, in logarithms, so that nothing underflows. p: (piece,)."""
+    n, log = len(word), np.log(np.maximum(p, 1e-300))
+    uses = [(i, j, own.ids.get(word[i:j], OTHER if j == i + 1 else NONE)) for i in range(n) for j in range(i + 1, min(n, i + own.longest) + 1)]
+    uses = [(i, j, x) for i, j, x in uses if x != NONE]
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0
+    for i, j, x in uses:
+        a[j] = np.logaddexp(a[j], a[i] + log[x])
+    for i, j, x in reversed(uses):
+        b[i] = np.logaddexp(b[i], log[x] + b[j])
+    out: dict[int, float] = {}
+    for i, j, x in uses:
+        out[x] = out.get(x, 0.0) + float(np.exp(a[i] + log[x] + b[j] - a[n])) * count
+    return out
+
+
 class Model:
     def __init__(self, langs: list[str], p: np.ndarray, path: str):
         self.langs, self.p, self.path = langs, p, path
@@ -197,7 +214,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
     executors, and only sums per piece and language come to the driver.
     """
     path = path or model_path()
-    spark = docs.sparkSession
+    spark = shipped(docs).sparkSession
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -226,7 +243,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
             sums = np.zeros_like(p)
             for b in batches:
                 rows = pd.DataFrame({"lang": b.column(0).to_pylist(), "word": b.column(1).to_pylist(), "n": b.column(2).to_numpy(zero_copy_only=False).astype(float)})
-                rows = rows[rows.word.str.len() <= SHORT]  # longer ones are not words of a language; they are scored all the same
+                for lang, word, n in rows[rows.word.str.len() > SHORT].itertuples(index=False):
+                    for x, uses in expected_of_long("▁" + word, own, p[:, langs.index(lang)], n).items():
+                        sums[x, langs.index(lang)] += uses
+                rows = rows[rows.word.str.len() <= SHORT]
                 for (lang, _), g in rows.groupby(["lang", rows.word.str.len()]):
                     k = langs.index(lang)
                     for s in range(0, len(g), 4096):
@@ -243,6 +263,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
         p = (sums + POOLED * pool[:, None]) / (sums.sum(axis=0) + POOLED)
         p[NONE], p[OTHER] = 0, UNKNOWN
         held.unpersist()
+    forget(counted)
     return Model(langs, p, path)
 
 

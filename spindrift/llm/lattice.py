@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import forget, shipped, shuffle_partitions, spread_join, written
+from spindrift.llm.common import forget, pairs_of_parts, shipped, shuffle_partitions, spread_join, written
 from spindrift.llm.graph import connected_components
 
 COSINE = 0.98
@@ -323,15 +323,6 @@ def _exact(cosine: float):
     return run, "rep long, n long, other long"
 
 
-def pairs_of_parts(rows: DataFrame, key: str, item: str, most: int) -> DataFrame:
-    """Each row once for every pair of parts of its group that its part is in: columns p, q (p <= q) and side."""
-    sizes = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "sizes")
-    parts = F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int")
-    placed = spread_join(rows, sizes, [key], "_n", rows.count(), "left").withColumn("_c", parts).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_c")).cast("int"))
-    each = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    return each.select(*rows.columns, F.least("_own", "_o").alias("p"), F.greatest("_own", "_o").alias("q"), F.when(F.col("_own") <= F.col("_o"), 0).otherwise(1).alias("side"))
-
-
 def hashed_vectors(classes: DataFrame, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """classes (rep, times, label, embedding) with their own and probed cells and their sketch."""
     run = _hash_rows(tables, blocks, probes, scale)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import forget, word_count, written
+from spindrift.llm.common import forget, shuffle_partitions, word_count, written
 
 #: Weights that sources take in turn, by code point of their name, null last.
 WEIGHTS = (5, 2, 1)
@@ -24,15 +24,31 @@ SLICE = 1_000
 BROADCAST = 10_000
 
 
+def _placed(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, source_size, weight): sources in order take the weights in turn.
+
+    Sources are dealt in ranges of their order and numbered inside each; over the ranges themselves, one row each, run
+    the numbers that they begin with.
+    """
+    last = F.col("source").isNull()
+    n = shuffle_partitions(sources.sparkSession)
+    dealt = written(sources.select("source", "source_size", last.alias("_last")).repartitionByRange(n, "_last", "source").withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    begins = counts.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    own = Window.partitionBy("_part").orderBy("_last", "source")
+    at = F.col("_begin") + F.row_number().over(own) - 1
+    w = F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int"))
+    return dealt.join(F.broadcast(begins), "_part").select("source", "source_size", w.cast("long").alias("weight"))
+
+
 def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Targets are in proportion to the weights, together `share` of all sizes; one stops at `most` times its source's
     size and the excess goes to the others by weight until none is above. The rows are one a source.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    rows = written(sources.select("source", "source_size", w.cast("long").alias("weight")), "weights")
+    rows = written(_placed(sources, weights), "weights")
     total = rows.agg(F.sum(F.col("source_size").cast("decimal(38,0)"))).first()[0]
     goal = float(total or 0) * share
     unit, capped = None, -1

@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import shipped
+
 #: Parts whose ids a worker remembers: so many new ones, and as many that were used before those.
 REMEMBERED = 100_000
 
@@ -161,11 +163,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 b = whole.slice(at, AT_ONCE)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([own.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, ids array<int>")
+    return shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, ids array<int>")
 
 
 def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text; null texts count as empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text.
+
+    Null and empty texts have no ids and decode to an empty text. Repeated rows repeat; an empty table gives an empty
+    result; other columns are ignored.
+    """
     path = path or model_path()
 
     def run(batches):
@@ -180,4 +186,4 @@ def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

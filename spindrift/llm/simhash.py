@@ -4,7 +4,8 @@ Two fingerprints that differ in at most three bits agree to within one bit in at
 fingerprint therefore emits, for each half, all variants of that half within half the radius (one bit). Both sides of
 a linked pair meet on a common variant; the variants are shuffled, equal fingerprints having been folded before, and
 colliding pairs are verified on all 64 bits. No candidate is dropped: a variant that gathers more fingerprints than
-`GROUP` is dealt anew by the variants of the two quarters of its other half, where the rest of the distance must lie.
+`GROUP` is dealt anew by the variants of the two quarters of its other half, where the rest of the distance must lie;
+what is still crowded then is cut into parts, and every pair of parts is searched in a task of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import likeness
-from spindrift.llm.common import hex64, shuffle_partitions, written
+from spindrift.llm.common import hex64, pairs_of_parts, shipped, shuffle_partitions, spread_join, written
 from spindrift.llm.graph import connected_components
 
 #: Fingerprints that one variant may gather in a task before they are dealt anew by a finer variant.
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
 
 def _variants(width: int, kept: tuple[Column, Column]) -> list[tuple[Column, int, int]]:
@@ -164,7 +165,7 @@ def _matcher(radius: int, most: int):
             whole, tail = [r[:cut] for r in rows], [r[cut:] for r in rows]
             if cut:
                 yield edges(*links(*whole[:2], whole[2].view(np.uint64), whole[3], radius))
-            if len(tail[0]) > most and tail[1][0] == 0:
+            if len(tail[0]) > most:
                 over = (tail[0][0], tail[1][0])
                 yield later(tail)
             else:
@@ -187,9 +188,13 @@ def near_pairs(classes: DataFrame, radius: int = 3, group: int = GROUP) -> DataF
     edges = found.where("a is not null").select("a", "b")
     late = found.where("k0 is not null").select("k0", "fp", "rep")
     if not late.isEmpty():
-        again, schema, _ = _matcher(radius, 1 << 62)
-        more = _second(late).repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1", "fp").mapInArrow(again, schema)
-        edges = edges.union(written(more, "links").where("a is not null").select("a", "b"))
+        more = written(_second(late).repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1", "fp").mapInArrow(run, schema), "links")
+        edges = edges.union(more.where("a is not null").select("a", "b"))
+        rest = more.where("k0 is not null").select(F.xxhash64("k0", "k1").alias("k0"), "fp", "rep")
+        if not rest.isEmpty():
+            last, schema, _ = _matcher(radius, 1 << 62)  # a pair of parts has `group` rows at most, about
+            parts = pairs_of_parts(rest, "k0", "fp", max(1, group // 2)).select("k0", F.xxhash64("p", "q").alias("k1"), "fp", "rep")
+            edges = edges.union(written(parts.repartition(n, "k0", "k1").sortWithinPartitions("k0", "k1", "fp").mapInArrow(last, schema), "links").where("a is not null").select("a", "b"))
     return edges
 
 
@@ -201,10 +206,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    labels = connected_components(near_pairs(classes, radius, group))
-    known = written(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "classes")
-    return fps.join(known, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    classes = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    labels = connected_components(near_pairs(classes.select("fp", "rep"), radius, group))
+    known = written(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "times", F.coalesce("component", "rep").alias("component")), "classes")
+    return spread_join(fps, known, ["fp"], "times", fps.count(), "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -225,5 +230,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of documents; nulls, repeats and empty tables as in `simhash_components`."""
     found = simhash_components(docs)
     return found.select(F.col("id").alias("doc_id"), hex64(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -88,7 +88,12 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """The given rules as a table of literals, which the plan holds itself."""
+    if not rules:
+        return spark.createDataFrame([], RULE_SCHEMA)
+    names = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in rules])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def op10(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:

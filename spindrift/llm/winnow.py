@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import shuffle_partitions
+from spindrift.llm.common import shipped, shuffle_partitions
 
 K, WINDOW = 24, 16
 #: Window starts handled at once; longer texts go block by block, so memory does not follow the longest text.
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [winnow(t.as_py(), k, window) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["id", "positions", "hashes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, positions array<long>, hashes array<long>")
+    return shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, positions array<long>, hashes array<long>")
 
 
 def edited(text: str, following: str) -> str:
@@ -110,7 +110,7 @@ def _with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The texts move once. Range bounds are ids of the table, one per partition; the row at a bound also goes to the
     partition before (the first of all to the last), so no task needs more than its own range.
     """
-    spark = docs.sparkSession
+    spark = shipped(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     key = F.coalesce("id", F.lit(-(1 << 63)))
     ids = rows.select(key.alias("key")).repartitionByRange(shuffle_partitions(spark), "key")

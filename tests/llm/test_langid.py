@@ -88,3 +88,16 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in langid.op3(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.identified(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 4]
+
+
+def test_long_words_are_learned_from():
+    own = langid.Vocabulary(model_path())
+    rng = np.random.default_rng(5)
+    p = rng.random((own.size, 1)) / own.size
+    p[langid.NONE], p[langid.OTHER] = 0, langid.UNKNOWN
+    for word in ("▁internationalisation", "▁ж", "▁aaaaaaaaaaaa"):
+        want = langid.expected(own.table([word]), p, np.array([3.0]))
+        got = langid.expected_of_long(word, own, p[:, 0], 3.0)
+        assert set(np.flatnonzero(want > 1e-12)) <= set(got) and all(abs(want[x] - n) < 1e-9 for x, n in got.items())
+    long = langid.expected_of_long("▁" + "the" * 400, own, p[:, 0], 1.0)
+    assert all(np.isfinite(list(long.values()))) and sum(long.values()) >= 1200 / own.longest

@@ -86,3 +86,11 @@ def test_mixed_repeats_as_counted(spark):
     for r in mixing.mixed(docs).select("doc_id").collect():
         got[r.doc_id] += 1
     assert {d: n for d, n in copies.items() if n} == {d: n for d, n in got.items() if d in copies}
+
+
+def test_sources_take_the_weights_in_order(spark):
+    names = [None, "", "Z", "a", "é", *(f"s{i:03d}" for i in range(120))]
+    df = spark.createDataFrame([(n, 10) for n in names], "source string, source_size long")
+    got = {r.source: r.weight for r in mixing._placed(df, mixing.WEIGHTS).collect()}
+    order = sorted((n for n in names if n is not None), key=lambda n: n.encode()) + [None]
+    assert got == {n: mixing.WEIGHTS[i % 3] for i, n in enumerate(order)}

@@ -42,3 +42,9 @@ def test_edge_cases(spark):
     assert sorted((r.page_id or 0, r.verdict) for r in urlrules.op10(pages).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
     assert urlrules.op10(pages.where(F.lit(False))).count() == 0
     assert {r.verdict for r in urlrules.op10(pages, urlrules.rule_table(spark).where(F.lit(False))).collect()} == {"allow"}
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://" + "a." * 5000 + "net/" + "x" * 200_000), (2, "http://example.com" + "/de/" * 50_000), (3, "x" * 300_000)]
+    got = {r.page_id: (len(r.host), len(r.path), r.rule) for r in urlrules.op10(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: (10_003, 200_001, "net/"), 2: (11, 200_000, "example.com/de/"), 3: (0, 0, None)}
