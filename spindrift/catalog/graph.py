@@ -10,60 +10,106 @@ from spindrift.operators import sitegraph
 from spindrift.plans.views import view
 from spindrift.sources import html
 
-U_HOST = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
-U_PATH = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/')"
+# The rules of urls in DuckDB SQL, over a column url.
+U_AUTH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+U_HOST = f"rtrim(lower(regexp_replace(regexp_replace({U_AUTH}, '^.*@', ''), ':[0-9]*$', '')), '.')"
+U_PATH = "coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), ''), '/')"
 U_QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 U_PARAMS = f"list_filter(string_split({U_QUERY}, '&'), lambda p: p <> '')"
-_SORTED = f"array_to_string(list_sort({U_PARAMS}), '&')"
-CANONICAL = f"regexp_replace('https://' || {U_HOST} || {U_PATH} || case when {_SORTED} <> '' then '?' || {_SORTED} else '' end, '%2[Cc]', ',', 'g')"
-RESOURCE = rf"regexp_matches({U_PATH}, '(?i)\.({'|'.join(urls.RESOURCES)})$')"
+_TAIL = "case when {0} <> '' then '?' || {0} else '' end"
+CANONICAL = f"'https://' || {U_HOST} || regexp_replace({U_PATH}, '%2[Cc]', ',', 'g') || {_TAIL.format(U_QUERY)}"
+_DOCUMENT = r"regexp_matches({0}, '(?i)\.(pdf|doc|docx|odt|xls|xlsx)$')"
+RESOURCE = rf"regexp_matches({U_PATH}, '(?i)\.(7z|avi|css|csv|doc|docx|gif|gz|ico|jpeg|jpg|js|mov|mp3|mp4|odt|pdf|png|ppt|pptx|rar|svg|tar|tif|tiff|txt|webp|xls|xlsx|xml|zip)$')"
+_KEYS = f"list_transform({U_PARAMS}, lambda p: regexp_extract(lower(p), '^([^=]*)', 1))"
+_SEGMENTS = f"list_filter(string_split(lower({U_PATH}), '/'), lambda s: s <> '')"
+_RUN = f"len(list_filter(range(1, len({_SEGMENTS}) - 2), lambda i: {_SEGMENTS}[i] = {_SEGMENTS}[i + 1] and {_SEGMENTS}[i] = {_SEGMENTS}[i + 2] and {_SEGMENTS}[i] = {_SEGMENTS}[i + 3])) > 0"
+TRAP = f"""(length({U_QUERY}) > 512 or len({_KEYS}) > 6 or len(list_distinct({_KEYS})) < len({_KEYS}) or len({_SEGMENTS}) > 32 or {_RUN} or
+  list_has_any({_KEYS}, ['fbclid', 'gclid', 'jsessionid', 'phpsessid', 'redirect', 'return', 'session', 'sessionid', 'sid', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term']))"""
+_BELOW = "({0} = '{1}' or ends_with({0}, '.{1}'))"
+ALLOWED = f"(regexp_matches(url, '(?i)^https://') and not contains({U_AUTH}, '@') and regexp_matches({U_AUTH}, '^[^:]+(:(443)?)?$') and ({_BELOW.format(U_HOST, 'example.net')} or {_BELOW.format(U_HOST, 'example.com')}))"
+_ROOTS = ["example.net", "example.com"]
 
 
-@query(f"select page_id, {CANONICAL} as canonical from pages")
+@query(f"select page_id, {CANONICAL} as canonical from d_urls")
 def url_canonical(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
 
 
-@query(f"select page_id, regexp_replace({CANONICAL}, '(?i)/(en|de|fr|es)/', '/', 'g') as identity from pages")
-def url_identity(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", urls.content_identity(F.col("url")).alias("identity"))
+_PY_DECODE = "coalesce(case when not regexp_matches({0}, '%([^0-9a-fA-F]|[0-9a-fA-F][^0-9a-fA-F]|.?$)') then url_decode(replace({0}, '+', ' ')) end, {0})"
+_PAIRS = f"list_sort(list_transform({U_PARAMS}, lambda p: {{'k': {_PY_DECODE.format("regexp_extract(p, '^([^=]*)', 1)")}, 'v': {_PY_DECODE.format("regexp_extract(p, '^[^=]*=(.*)', 1)")}}}))"
+_PLUS = "replace(url_encode({0}), '%20', '+')"
+_FRONT_QUERY = f"array_to_string(list_transform({_PAIRS}, lambda p: {_PLUS.format('p.k')} || '=' || {_PLUS.format('p.v')}), '&')"
+FRONTIER = f"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || {U_HOST} || {U_PATH} || {_TAIL.format(_FRONT_QUERY)}"
 
 
-@query(f"select page_id from pages where {U_HOST} = 'example.com' or ends_with({U_HOST}, '.example.com')")
-def url_host_scope(spark, sf_dir):
-    return view(spark, sf_dir, "pages").where(urls.in_scope(urls.host(F.col("url")), ["example.com"])).select("page_id")
+@query(f"select page_id, {FRONTIER} as canonical from d_urls")
+def url_frontier(spark, sf_dir):
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.frontier_canonical(F.col("url")).alias("canonical"))
 
 
-_TRACK = ", ".join(map(q, urls.TRACKING))
-_KEYS = f"list_transform({U_PARAMS}, lambda p: regexp_extract(lower(p), '^([^=]*)', 1))"
+@query(rf"select page_id, regexp_replace({CANONICAL}, '(?i)^(https://[^/?#]+)/p/(?:404|406)-(\d+)-(\d+)(?:,[^/?]+)?\.php(\?|$)', '\1/p/content-\2-\3.php\4') as identity from d_urls")
+def url_identity(spark, sf_dir):
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.content_identity(F.col("url")).alias("identity"))
+
+
+@query(f"select page_id from d_urls where {_BELOW.format(U_HOST, 'example.com')}")
+def url_host_scope(spark, sf_dir):
+    rows = view(spark, sf_dir, "d_urls").select("page_id", urls.host(F.col("url")).alias("host"))
+    return urls.in_scope_table(rows, spark.sql("select * from values ('Example.com.'), (' '), ('www.example.com'), ('a.b.c') as t(host)")).select("page_id")
 
 
-@query(f"select page_id, length({U_QUERY}) > 512 or len({_KEYS}) > 8 or list_has_any({_KEYS}, [{_TRACK}]) or len(list_distinct({_KEYS})) < len({_KEYS}) or len(list_filter(string_split({U_PATH}, '/'), lambda s: s <> '')) > 12 as trap from pages")
+@query(f"select page_id, {TRAP} as trap from d_urls")
 def url_trap(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", urls.is_trap(F.col("url")).alias("trap"))
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.is_trap(F.col("url")).alias("trap"))
 
 
-@query(f"select page_id from pages where starts_with(url, 'https://') and not contains(regexp_extract(url, '^https://([^/?#]+)', 1), '@') and regexp_matches(regexp_extract(url, '^https://([^/?#]+)', 1), '^[^:]+(:443)?$') and ends_with({U_HOST}, '.example.net')")
+@query(f"select page_id from d_urls where {ALLOWED}")
 def url_allowed(spark, sf_dir):
-    return view(spark, sf_dir, "pages").where(urls.is_allowed(F.col("url"), ["example.net"])).select("page_id")
+    return view(spark, sf_dir, "d_urls").where(urls.is_allowed(F.col("url"), _ROOTS)).select("page_id")
+
+
+@query(f"select page_id, {RESOURCE} as resource, {_DOCUMENT.format(U_PATH)} as document, regexp_matches(url, '(?i)^https?://') and not contains(url, '#') and not {RESOURCE} and not {TRAP} and {_BELOW.format(U_HOST, 'example.net')} as bounded from d_urls")
+def url_bounded(spark, sf_dir):
+    u = F.col("url")
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.is_resource(u).alias("resource"), urls.is_document(u).alias("document"), urls.is_bounded(u, ["example.net"]).alias("bounded"))
+
+
+_FOLLOW = f"select page_id, case when {ALLOWED} and not {TRAP} and (not {RESOURCE} or {_DOCUMENT.format(U_PATH)}) then {FRONTIER.replace(U_PATH, f"regexp_replace({U_PATH}, '%2[Cc]', ',', 'g')")} end as target from d_urls"
+
+
+@query(_FOLLOW)
+def url_target(spark, sf_dir):
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.target(F.col("url"), _ROOTS, documents=True).alias("target"))
+
+
+_ANCHOR = "case page_id % 5 when 0 then '最新公告' when 1 then ' ' when 2 then '通知 list' else 'more' end"
+_LINK_TYPE = "case when regexp_matches({0}, '公告|通知|訊息') then 'announcement' when {1} then 'document' when trim({0}) <> '' then 'content' else 'unknown' end"
 
 
-_TYPE = rf"case when {U_PATH} = '/' then 'unit_homepage' when {RESOURCE} then 'official_document' when regexp_matches({U_PATH}, '\.html?$') then 'announcement_detail' when ends_with({U_PATH}, '/') then 'announcement_listing' else 'general_page' end"
+@query(f"select page_id, {_LINK_TYPE.format(_ANCHOR, _DOCUMENT.format(U_PATH))} as link_type, case when page_id % 3 = 0 or page_id % 7 = 1 then 'announcement_listing' when page_id % 3 = 1 then 'announcement_detail' else 'general_page' end as page_type from d_urls")
+def url_types(spark, sf_dir):
+    p = F.col("page_id")
+    role = F.when(p % 3 == 0, "listing").when(p % 3 == 1, "detail").otherwise("other")
+    return view(spark, sf_dir, "d_urls").select("page_id", urls.link_type(F.expr(_ANCHOR), F.col("url")).alias("link_type"), urls.page_type(role, F.when(p % 7 == 1, 2).otherwise(0)).alias("page_type"))
 
 
-@query(f"select {_TYPE} as page_type, count(*) as n from pages group by 1")
-def url_page_type(spark, sf_dir):
-    return view(spark, sf_dir, "pages").groupBy(urls.page_type(F.col("url")).alias("page_type")).agg(F.count("*").alias("n"))
+_SEEN = "select page_id % 40 as source_page_id, page_id as position, url, case page_id % 4 when 0 then '' when 1 then ' 公告 ' else 'more' end as anchor_text, cast(page_id % 4 as int) as depth, page_id % 11 = 0 as listed from d_urls union all select page_id % 40, page_id + 1000000, url, 'again', cast(page_id % 4 as int), false from d_urls"
 
 
 @query(
     f"""
-    select {_TYPE} as category, case when not (ends_with({U_HOST}, '.example.com') or ends_with({U_HOST}, '.example.net')) then 'host'
-             when list_has_any({_KEYS}, [{_TRACK}]) then 'trap' when {RESOURCE} then 'resource' else 'kept' end as reason, count(*) as links
-    from pages group by all"""
+    with s as (select *, page_id_of(position) as page_id from (select source_page_id, position, url, trim(anchor_text) as anchor_text, depth, listed from ({_SEEN}))),
+         t as (select s.*, case when depth < 3 then f.target end as target from s left join ({_FOLLOW}) f on s.page_id = f.page_id),
+         k as (select *, case when listed then 'announcement' else {_LINK_TYPE.format("anchor_text", _DOCUMENT.format("regexp_extract(coalesce(target, ''), '^[^?]*')"))} end as own from t),
+         n as (select *, row_number() over (partition by source_page_id, target order by position) as n, coalesce(min_by(own, position) filter (anchor_text <> '') over w, min_by(own, position) filter (own <> 'unknown') over w, 'unknown') as link_type from k
+               window w as (partition by source_page_id, target))
+    select link_type as category, case when depth >= 3 then 'max_depth' when target is null then 'policy' when n > 1 then 'duplicate' else 'kept' end as reason, count(*) as links from n group by all""".replace("page_id_of(position)", "case when position >= 900000 then position - 1000000 else position end")
 )
 def link_outcomes(spark, sf_dir):
-    return sitegraph.link_outcomes(view(spark, sf_dir, "pages"), ["example.com", "example.net"])
+    seen = view(spark, sf_dir, "d_urls")
+    one = seen.selectExpr("page_id % 40 as source_page_id", "page_id as position", "url", "case page_id % 4 when 0 then '' when 1 then ' 公告 ' else 'more' end as anchor_text", "cast(page_id % 4 as int) as depth", "page_id % 11 = 0 as listed")
+    two = seen.selectExpr("page_id % 40", "page_id + 1000000", "url", "'again'", "cast(page_id % 4 as int)", "false")
+    return sitegraph.link_outcomes(sitegraph.recorded_links(one.union(two), _ROOTS))
 
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")

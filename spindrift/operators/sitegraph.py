@@ -139,8 +139,41 @@ def page_score(title: Column, path: Column, depth: Column, query: str, concepts:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - F.lit(DEPTH_COST) * depth))
 
 
-def link_outcomes(links: DataFrame, roots: list[str], url: str = "url") -> DataFrame:
-    """How many links of each page type are kept or skipped, and why."""
-    u = F.col(url)
-    reason = F.when(~F.rlike(u, F.lit("^https?://")), "invalid").when(~urls.in_scope(urls.host(u), roots), "host").when(urls.is_trap(u), "trap").when(urls.is_resource(u), "resource").otherwise("kept")
-    return links.select(urls.page_type(u).alias("category"), reason.alias("reason")).groupBy("category", "reason").agg(F.count("*").alias("links"))
+def recorded_links(links: DataFrame, roots: list[str], hosts: list[str] | None = None, max_depth: int = DEPTH) -> DataFrame:
+    """links (source_page_id, position, url, anchor_text, depth, listed) with target, type, depth and what becomes of each.
+
+    outcome: max_depth for links of pages that lie too deep, policy for those the frontier refuses, duplicate for all but
+    the first of a page's links to one target, else kept. A kept link has the first anchor that is not empty, with the
+    type that comes with it; else the first type that is known.
+    """
+    t = urls.target(F.col("url"), roots, hosts, documents=True)
+    too_deep = F.col("depth") >= max_depth
+    rows = links.withColumn("anchor_text", F.trim(F.coalesce("anchor_text", F.lit("")))).withColumn("target", F.when(~too_deep, t))
+    kind = F.when(F.col("listed"), "announcement").otherwise(urls.link_type(F.col("anchor_text"), F.col("target")))
+    rows = rows.withColumn("link_type", kind)
+    own = Window.partitionBy("source_page_id", "target")
+    first = F.row_number().over(own.orderBy("position"))
+    named, known = F.col("anchor_text") != "", F.col("link_type") != "unknown"
+    best = lambda v, given: F.min_by(v, F.when(given, F.col("position"))).over(own)
+    outcome = F.when(too_deep, "max_depth").when(F.col("target").isNull(), "policy").when(F.col("_n") > 1, "duplicate").otherwise("kept")
+    return (
+        rows.withColumn("_n", first)
+        .withColumn("_anchor", F.coalesce(best("anchor_text", named), F.lit("")))
+        .withColumn("_type", F.coalesce(best("link_type", named), best("link_type", known), F.lit("unknown")))
+        .select(
+            "source_page_id",
+            "position",
+            "target",
+            F.col("_anchor").alias("anchor_text"),
+            F.col("_type").alias("link_type"),
+            F.when(F.col("listed"), "announcement_detail").when(urls.is_document(F.col("target")), "official_document").otherwise("unknown").alias("page_type"),
+            (F.greatest("depth", F.lit(0)) + 1).alias("minimum_depth"),
+            (~urls.is_document(F.col("target"))).alias("is_indexable"),
+            outcome.alias("outcome"),
+        )
+    )
+
+
+def link_outcomes(recorded: DataFrame) -> DataFrame:
+    """How many links there are of each type and outcome."""
+    return recorded.groupBy(F.col("link_type").alias("category"), F.col("outcome").alias("reason")).agg(F.count("*").alias("links"))

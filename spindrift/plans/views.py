@@ -55,6 +55,16 @@ VIEWS = {
                case page_id % 5 when 0 then '120' when 1 then 'soon' when 2 then '5' else null end as retry_after,
                case page_id % 5 when 0 then 'pending' when 1 then 'failed' else 'done' end as ingestion_status
         from {pages}""",
+    # The urls of pages, and odd ones that take every branch of the url rules.
+    "d_urls": """
+        select page_id, url from {pages} union all select * from (values
+          (-1, 'https://EXAMPLE.com./p/404-1000-23.php?Lang=zh'), (-2, 'https://www.example.com/p/406-1000-23,r12.php'), (-3, 'https://example.com/p/405-1000-23.php'),
+          (-4, 'https://example.com/a%2cb%2C.html?x=1%2C2&b=2&a=%20z+y'), (-5, 'http://example.net/'), (-6, 'https://example.net:443/x#part'), (-7, 'https://example.net:8443/x'),
+          (-8, 'https://user@example.net/x'), (-9, 'https://example.net/file.TIFF'), (-10, 'https://example.net/robots.txt'), (-11, 'https://example.net/feed.xml?x'), (-12, 'https://example.net/a.bmp'),
+          (-13, 'https://example.net/form.DOCX'), (-14, 'https://example.net/?GCLID=1'), (-15, 'https://example.net/?ref=1'), (-16, 'https://example.net/?a=1&A=2'), (-17, 'https://example.net/?a&b&c&d&e&f'),
+          (-18, 'https://example.net/?a&b&c&d&e&f&g'), (-19, 'https://example.net/x/X/x/X/y'), (-20, 'https://example.net/x/x/x/y/x'), (-21, concat('https://example.net', repeat('/a/b', 16))),
+          (-22, concat('https://example.net', repeat('/a/b', 16), '/c')), (-23, concat('https://example.net/?q=', repeat('x', 510))), (-24, concat('https://example.net/?q=', repeat('x', 511))),
+          (-25, 'ftp://example.net/x'), (-26, 'https://badexample.net/'), (-27, 'no url'), (-28, 'https://example.net?b=&a=%zz&&c'), (-29, 'https://sub.example.net/?redirect=1'), (-30, cast(null as varchar(9)))) odd(page_id, url)""",
     "d_pages_in": """
         select case when page_id % 5 = 0 then page_id + 1000000 else page_id end as page_id, concat('in ', cast(page_id as string)) as in_title,
                page_id % 3 = 0 as untitled, case page_id % 3 when 0 then 'sitemap' when 1 then 'import' else 'listing' end as discovery_source,

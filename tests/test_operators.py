@@ -31,8 +31,10 @@ def test_text_functions(spark):
 
 
 def test_url_functions(spark):
-    assert one(spark, urls.canonical(F.lit("http://A.Example.com?b=2&a=1%2C3#x"))) == "https://a.example.com/?a=1,3&b=2"
-    for url, trap in (("http://a/x?a=1&a=2", True), ("http://a/x/x/x/x", True), ("http://a/x/x/x/y", False), ("http://a/?utm_source=q", True), ("http://a/" + "s/" * 13, True)):
+    assert one(spark, urls.canonical(F.lit("http://A.Example.com./x%2Cy?b=2&a=1%2C3#x"))) == "https://a.example.com/x,y?b=2&a=1%2C3"
+    assert one(spark, urls.frontier_canonical(F.lit("HTTPS://A.com?b=2&a=1%2C3&c*&a=~+"))) == "https://a.com/?a=1%2C3&a=~+&b=2&c%2A="
+    assert one(spark, urls.content_identity(F.lit("https://a.com/P/404-12-3,r5.php?x=1"))) == "https://a.com/p/content-12-3.php?x=1"
+    for url, trap in (("http://a/x?a=1&a=2", True), ("http://a/x/x/x/x", True), ("http://a/x/x/x/y", False), ("http://a/?utm_source=q", True), ("http://a/" + "s/t/" * 17, True), ("http://a/" + "s/t/" * 16, False), ("http://a/X/x/X/x", True)):
         assert one(spark, urls.is_trap(F.lit(url))) is trap, url
     for url, fine in (("https://a.example.com/x", True), ("https://u@example.com/", False), ("https://example.com:443/", True), ("https://example.com:8/", False), ("http://example.com/", False), ("https://badexample.com/", False)):
         assert one(spark, urls.is_allowed(F.lit(url), ["example.com"])) is fine, url
