@@ -12,7 +12,7 @@ from spindrift.plans.views import NOW, view
 
 QUERIES = ["the and of that", "and reer thor edtionnt", "thing with the on"]
 CONCEPTS = ["tion", "reer thor", "zzz"]
-SCOPE = retrieval.Scope(homepage="https://src3.example.org/d/3", unit="src5", hosts=("src7.example.org",))
+SCOPE = retrieval.Scope(homepage="https://src3.example.org/d/3", unit="src5", hosts=("src7.example.org",), general="src9")
 HOST = "lower(regexp_extract(canonical_url, '^https?://([^/?#]+)', 1))"
 BOOST = "case when canonical_url = 'https://src3.example.org/d/3' then 0.40 when unit = 'src5' then 0.24 when canonical_url in ('https://src7.example.org', 'https://src7.example.org/') or starts_with(canonical_url, 'https://src7.example.org/') then 0.18 else 0.0 end"
 
@@ -90,7 +90,7 @@ def rrf_fusion(spark, sf_dir):
 
 SCOPED_SQL = f"""
     select chunk_id, document_id, content, round(case when rtrim(canonical_url, '/') = 'https://src3.example.org/d/3' then greatest(score, 0.99) when unit = 'src5' then least(1.0, score + 0.18)
-           when {HOST} = 'src7.example.org' then least(1.0, score + 0.14) else score * 0.72 end + 1e-9, 7) as score
+           when {HOST} = 'src7.example.org' then least(1.0, score + 0.14) when unit = 'src9' then score else score * 0.72 end + 1e-9, 7) as score
     from ({fused_sql(BOOST)})"""
 
 
@@ -162,24 +162,26 @@ def ann_dedup(spark, sf_dir):
     return ann.without_repeats(_listed(spark, sf_dir, "newest"), 10).select("id", "rank")
 
 
+_INC = """select canonical_url, case when id % 2 = 0 then title else concat(title, ' new') end as title, case when id % 10 = 3 then null else published_day + 1 end as published_day,
+                 case when id % 4 = 0 then concat(body, ' more') when id % 4 = 1 then substring(body, 1, 20) else body end as body, case when id % 6 = 0 then 'short' end as warning,
+                 case when id % 4 = 1 and id % 8 <> 1 then 20 end as completeness, last_crawled_s + 5 as last_crawled_s from {0} where id % 3 <> 1"""
+_CUR = "select canonical_url, title, published_day, body, warning, last_crawled_s from {0} where id % 5 <> 0"
+
+
 @query(
-    """
-    with inc as (select canonical_url, case when id % 2 = 0 then title else title || ' new' end as title, published_day + 1 as published_day,
-                        case when id % 4 = 0 then body || ' more' else body end as body, case when id % 6 = 0 then 'short' end as warning
-                 from d_announcements where id % 3 <> 1),
-         cur as (select canonical_url, title, published_day, body, warning from d_announcements where id % 5 <> 0)
-    select coalesce(i.canonical_url, c.canonical_url) as canonical_url, coalesce(i.title, c.title) as title, coalesce(i.published_day, c.published_day) as published_day,
-           sha256(case when i.canonical_url is null or weaker then c.body else i.body end) as body_hash,
-           case when i.canonical_url is null or weaker then c.warning else i.warning end as warning,
-           case when i.canonical_url is null then null when c.canonical_url is null then 'created' when weaker or ni = nc then 'unchanged' else 'updated' end as outcome
-    from (select *, {nc} as nc from cur) c full join (select *, {ni} as ni from inc) i on c.canonical_url = i.canonical_url,
-         lateral (select coalesce(i.warning is not null and c.warning is null and c.canonical_url is not null, false) as weaker)""".replace("{nc}", normal("body")).replace("{ni}", normal("body"))
+    f"""
+    with inc as ({_INC.format("d_announcements")}), cur as ({_CUR.format("d_announcements")}),
+         j as (select c.canonical_url as cu, i.canonical_url as iu, c.title as ct, i.title as it, c.published_day as cp, i.published_day as ip, c.body as cb, i.body as ib, c.warning as cw, i.warning as iw, c.last_crawled_s as cl, i.last_crawled_s as il,
+                      nc, ni, coalesce(c.canonical_url is not null and i.completeness is not null and length(trim(c.body)) > i.completeness, false) or i.canonical_url is null as stays
+               from (select *, {normal("title || chr(10) || body")} as nc from cur) c full join (select *, {normal("title || chr(10) || body")} as ni from inc) i on c.canonical_url = i.canonical_url)
+    select coalesce(iu, cu) as canonical_url, case when stays then ct else it end as title, case when stays then cp else ip end as published_day, sha256(case when stays then cb else ib end) as body_hash,
+           case when stays then cw else iw end as warning, greatest(il, coalesce(cl, il)) as crawled_s_in, case when iu is null then null when cu is null then 'created' when stays or ni = nc then 'unchanged' else 'updated' end as outcome
+    from j""".replace("greatest(il, coalesce(cl, il)) as crawled_s_in", "coalesce(il, cl) as last_crawled_s")
 )
 def ann_merge(spark, sf_dir):
     rows = view(spark, sf_dir, "d_announcements")
-    cur = rows.where("id % 5 <> 0").select("canonical_url", "title", "published_day", "body", "warning")
-    inc = rows.where("id % 3 <> 1").selectExpr("canonical_url", "case when id % 2 = 0 then title else concat(title, ' new') end as title", "published_day + 1 as published_day", "case when id % 4 = 0 then concat(body, ' more') else body end as body", "case when id % 6 = 0 then 'short' end as warning")
-    return ann.merged(cur, inc).select("canonical_url", "title", "published_day", F.sha2(F.col("body").cast("binary"), 256).alias("body_hash"), "warning", "outcome")
+    cur, inc = (spark.sql(sql.format("{rows}"), rows=rows) for sql in (_CUR, _INC))
+    return ann.merged(cur, inc).select("canonical_url", "title", "published_day", F.sha2(F.col("body").cast("binary"), 256).alias("body_hash"), "warning", "last_crawled_s", "outcome")
 
 
 @query(
@@ -235,16 +237,17 @@ def ann_facts(spark, sf_dir):
     return completeness.announcement_facts(view(spark, sf_dir, "d_announcements"), view(spark, sf_dir, "d_sources"), NOW)
 
 
-_EVIDENCE = "(select unit, doc_id * 37 % 101 / 100.0::double as score from d_docs)"
+_EVIDENCE = "(select unit, doc_id * 37 % 101 / 50.0::double - 1 as score, text as content from d_docs)"
 
 
 @query(
     f"""
-    select unit, count(*) filter (score >= 0.55) as strong, max(score) as top_score, round(max(score) - coalesce(max(score) filter (n = 2), 0), 9) as margin
+    select unit, count(*) filter (score >= 0.58 and length(trim(content)) >= 160) as strong, greatest(0, max(score)) as top_score,
+           round(greatest(0, max(score)) - coalesce(greatest(0, max(score) filter (n = 2)), 0), 9) as margin
     from (select *, row_number() over (partition by unit order by score desc) as n from {_EVIDENCE}) group by unit"""
 )
 def evidence_quality(spark, sf_dir):
-    rows = view(spark, sf_dir, "d_docs").select("unit", (F.col("doc_id") * 37 % 101 / F.lit(100.0)).alias("score"))
+    rows = view(spark, sf_dir, "d_docs").select("unit", (F.col("doc_id") * 37 % 101 / F.lit(50.0) - 1).alias("score"), F.col("text").alias("content"))
     return completeness.evidence_quality(rows, "unit")
 
 
@@ -267,7 +270,7 @@ def _cases(ten: str, docs: str) -> str:
     f"""
     with f as ({_cases("{}.0::double", "documents")}), t as (
       select *, intent in ('topic', 'scoped_topic') as topic, intent not in ('topic', 'scoped_topic') as lst, intent = 'keyword_announcement' as kw,
-             intent not in ('topic', 'scoped_topic') and evidence > 0 and documents > 0 as usable, coverage < 0.8 as low, margin >= 0.05 as lead from f
+             intent not in ('topic', 'scoped_topic') and evidence > 0 and documents > 0 as usable, coverage < 0.60 as low, margin >= 0.04 as lead from f
     ), r as (
       select *, case when not ok then 'L facts_query_failed' when active_refresh > 0 then 'W active_refresh_in_progress' when homepage_only > 0 and topic then 'L homepage_only_for_topic_query'
         when listing_only > 0 and topic then 'L missing_listing_coverage' when documents = 0 and topic then 'L site_map_only_without_document'
@@ -277,28 +280,28 @@ def _cases(ten: str, docs: str) -> str:
         when soft_stale > 0 then 'R stale_but_usable' when lst and sources > 1 and low then 'R insufficient_source_coverage'
         when intent in ('latest', 'announcement') and usable and fresh > 0 then 'U fresh_announcement_snapshot' when lst and low then 'R insufficient_source_coverage'
         when strong = 0 and kw and usable and fresh > 0 then 'R weak_but_usable_announcement_evidence' when strong = 0 then 'L weak_retrieval_score'
-        when intent in ('scoped_topic', 'announcement') and exact_scope > 0 and top_score >= 0.65 and fresh > 0 and (in_sync > 0 or intent = 'announcement' and documents > 0) then 'U exact_scoped_match'
+        when intent in ('scoped_topic', 'announcement') and exact_scope > 0 and top_score >= 0.82 and fresh > 0 and (in_sync > 0 or intent = 'announcement' and documents > 0) then 'U exact_scoped_match'
         when strong >= 2 and fresh > 0 and (lead or strong > 1) then 'U fresh_strong_evidence' when not lead and kw and usable and fresh > 0 then 'R ambiguous_but_usable_announcement_evidence'
         when not lead then 'L insufficient_score_margin' when kw and usable and fresh > 0 then 'R sparse_but_usable_announcement_evidence' else 'L insufficient_result_count' end as d from t
     )
-    select doc_id, substr(d, 3) as reason, greatest(0.0, least(1.0, top_score)) as confidence,
+    select doc_id, substr(d, 3) as reason, case when d[1] = 'L' and seconds_left < 2 then 'deadline_insufficient' end as "limit", greatest(0.0, least(1.0, top_score)) as confidence,
            case substr(d, 1, 1) when 'U' then 'use_db' when 'R' then 'use_db_and_schedule_refresh' when 'W' then 'use_db_with_incomplete_warning'
-             else case when seconds_left < 1 then 'use_db_with_incomplete_warning' else 'use_bounded_live_fallback' end end as action
+             else case when seconds_left < 2 then 'use_db_with_incomplete_warning' else 'use_bounded_live_fallback' end end as action
     from r"""
 )
 def completeness_decision(spark, sf_dir):
     facts = spark.sql(_cases("{}D", "{documents}"), documents=view(spark, sf_dir, "documents"))
-    return completeness.decision(facts).select("doc_id", "action", "reason", "confidence")
+    return completeness.decision(facts).select("doc_id", "action", "reason", "limit", "confidence")
 
 
 # Conversations
 
-_PERSONAL = text.PERSONAL
+_PERSONAL = r"(?i)(?:密碼|password|cookie|學號|成績|身分證|session\s*[:=]|token\s*[:=])|(?:^|[^\p{L}\p{N}_])[A-Z][12]\d{8}(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_])\d{8,10}(?:$|[^\p{L}\p{N}_])"
 
 
 @query(
     f"""
-    with r as (select conv_id, turn, role, case when regexp_matches(coalesce(text, ''), {q(_PERSONAL)}) then '[redacted]' else coalesce(text, '') end as content from conversations),
+    with r as (select conv_id, turn, role, case when regexp_matches(coalesce(text, ''), {q(_PERSONAL)}) then '[已隱去可能的個人或敏感資料]' else coalesce(text, '') end as content from conversations),
          n as (select *, row_number() over w as n, coalesce(sum(length(content)) over (partition by conv_id order by turn desc, role rows between unbounded preceding and 1 preceding), 0) as before from r window w as (partition by conv_id order by turn desc, role))
     select conv_id, turn, role, substr(content, 1, cast(3000 - before as bigint)) as content from n where n <= 12 and before < 3000"""
 )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from spindrift.catalog.registry import q, query, sim
-from spindrift.functions import text, urls, vectors
+from spindrift.functions import text, urls
 from spindrift.operators import sitegraph
 from spindrift.plans.views import view
 from spindrift.sources import html
@@ -147,23 +149,33 @@ def _rank_sql(c: str, table: dict) -> str:
     return f"case {c} " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + " else 0 end"
 
 
+_RANKS = {"official_unit": 100, "existing_document": 95, "existing_announcement": 95, "existing_source": 85, "configured_seed": 80, "manual": 60, "official_search": 50, "internal_link": 30}
+_STORED = "select *, case when page_id % 7 > 2 then cast(page_id % 7 as string) end as content_hash from {0}"
+_FOUND = "select *, case when not untitled then in_title end as title, concat('in', cast(page_id % 3 as string)) as unit, cast(page_id % 4 as string) as content_hash, case when page_id % 3 > 0 then cast(1700000000 as bigint) end as next_crawl_s from {0}"
+_OLD = "case when c.page_id is null then i.{0} when i.page_id is null then c.{0} when {1} then i.{0} else {2} end as {0}"
+
+
+def _pick(name: str, takes: str, otherwise: str = "") -> str:
+    return _OLD.format(name, takes, otherwise or f"c.{name}")
+
+
 @query(
     f"""
-    with i as (select page_id, case when not untitled then in_title end as title, discovery_source, crawl_priority, minimum_depth, is_indexable, page_type,
-                      {_rank_sql("discovery_source", sitegraph.SOURCES)} as sr, {_rank_sql("page_type", sitegraph.TYPES)} as tr from d_pages_in),
-         c as (select *, {_rank_sql("discovery_source", sitegraph.SOURCES)} as sr, {_rank_sql("page_type", sitegraph.TYPES)} as tr from d_pages)
-    select coalesce(c.page_id, i.page_id) as page_id,
-           case when c.page_id is null or i.page_id is null then coalesce(c.title, i.title) when i.title is not null and (i.sr >= c.sr or coalesce(c.title, '') = '') then i.title else c.title end as title,
-           case when c.page_id is null or i.sr > c.sr then i.discovery_source else c.discovery_source end as discovery_source,
-           greatest(c.crawl_priority, i.crawl_priority) as crawl_priority, least(c.minimum_depth, i.minimum_depth) as minimum_depth,
-           case when c.page_id is null or c.page_type in ('unknown', 'general_page') and i.tr > c.tr then i.page_type else c.page_type end as page_type,
-           case when c.page_id is not null and i.page_id is not null then c.is_indexable and i.is_indexable else coalesce(c.is_indexable, i.is_indexable) end as is_indexable,
+    with i as (select *, {_rank_sql("discovery_source", _RANKS)} as sr, case when is_indexable then 'discovered' else 'excluded' end as crawl_status, is_indexable as is_active from ({_FOUND.format("d_pages_in")})),
+         c as (select *, {_rank_sql("discovery_source", _RANKS)} as sr from ({_STORED.format("(select * replace (case when page_id % 4 = 3 then 'unknown' else page_type end as page_type, case when page_id % 6 = 1 then null else title end as title, case when page_id % 9 = 0 then null else unit end as unit) from d_pages)")}))
+    select coalesce(c.page_id, i.page_id) as page_id, {_pick("title", "i.title is not null and (coalesce(c.title, '') = '' or c.crawl_status not in ('success', 'unchanged') and i.sr >= c.sr)")},
+           {_pick("unit", "c.unit is null")}, {_pick("content_hash", "c.content_hash is null")},
+           {_pick("page_type", "c.page_type = 'unknown' or c.page_type = 'general_page' and i.page_type in ('unit_homepage', 'announcement_listing', 'announcement_detail', 'official_document')")},
+           {_pick("discovery_source", "i.sr > c.sr")}, coalesce(c.crawl_status, i.crawl_status) as crawl_status, greatest(c.crawl_priority, i.crawl_priority) as crawl_priority, least(c.minimum_depth, i.minimum_depth) as minimum_depth,
+           case when c.page_id is null or i.page_id is not null and c.next_crawl_s is null then coalesce(i.next_crawl_s, 1700050030) else c.next_crawl_s end as next_crawl_s,
+           {_pick("is_active", "i.sr >= c.sr")}, {_pick("is_indexable", "i.sr >= c.sr", "c.is_indexable and i.is_indexable")},
            case when c.page_id is null then 'created' when i.page_id is null then 'kept' else 'updated' end as outcome
     from c full join i on c.page_id = i.page_id"""
 )
 def page_merge(spark, sf_dir):
-    incoming = view(spark, sf_dir, "d_pages_in").withColumn("title", F.when(~F.col("untitled"), F.col("in_title")))
-    return sitegraph.merged_pages(view(spark, sf_dir, "d_pages"), incoming)
+    odd = {"page_type": "case when page_id % 4 = 3 then 'unknown' else page_type end", "title": "case when page_id % 6 <> 1 then title end", "unit": "case when page_id % 9 <> 0 then unit end"}
+    current = spark.sql(_STORED.format("{t}"), t=view(spark, sf_dir, "d_pages")).withColumns({k: F.expr(v) for k, v in odd.items()})
+    return sitegraph.merged_pages(current, spark.sql(_FOUND.format("{t}"), t=view(spark, sf_dir, "d_pages_in")), 1_700_050_000, 30)
 
 
 @query(
@@ -190,7 +202,7 @@ def frontier_caps(spark, sf_dir):
     return sitegraph.frontier(arrivals, pending, 8, 200).select("position", "host")
 
 
-TERMS = [("the thing and of", 1.0), ("reer thor", 0.85), ("tion", 0.70)]
+TERMS = sitegraph.weighted_terms("the thing and of", ["reer thor", "The  thing and of"], ["tion", "文件"])
 
 
 def _or(parts) -> str:
@@ -215,17 +227,19 @@ def _holds(c: str) -> str:
                where {_like("anchor_text", 0.1)} or {_holds("anchor_text")} group by 1),
          r as (select p.*, coalesce(a.anchor, 0) as anchor, coalesce(a.anchored, false) as anchored, a.page_id is not null as linked
                from d_pages p left join a on p.page_id = a.page_id where is_active and is_indexable and crawl_status not in ('blocked', 'excluded')),
+         r2 as (select * from r where regexp_matches(host, '(^|\\.)(example\\.net|example\\.com|example\\.org)$')),
          s as (select *, round(least(1.0, greatest({_most("title")}, {_most("path")}, anchor) * 0.65 + case when {_holds("title")} then 0.28 else 0 end + case when {_holds("path")} then 0.12 else 0 end
                         + case when anchored then 0.10 else 0 end + case when {_holds("unit")} then 0.12 else 0 end), 9) as lexical,
-                    round(greatest(0.0, least(1.0, case when unit = 'src3' then 0.35::double else 0 end + case when host = 'tionsh.example.net' then 0.25 else 0 end + least(crawl_priority, 100) / 1000.0::double
+                    round(greatest(0.0, least(1.0, case when unit = 'src3' then 0.35::double else 0 end + case when host = 'tionsh.example.net' then 0.25 else 0 end + case when page_id = 7 then 0.25 else 0 end + case when page_type = 'official_document' then 0.34 else 0 end + least(crawl_priority, 100) / 1000.0::double
                         + case when last_success_s is not null then 0.05 else 0 end - least(failure_count, 5) * 0.04)), 9) as structural
-               from r where {_like("title", 0.18)} or {_like("path", 0.22)} or {_holds("title")} or {_holds("path")} or linked or page_type in ('unit_homepage', 'announcement_listing'))
+               from r2 where {_like("title", 0.18)} or {_like("path", 0.22)} or {_holds("title")} or {_holds("path")} or anchored or linked and {_holds("unit")} or page_type in ('unit_homepage', 'announcement_listing'))
     select page_id, lexical, structural, round(lexical * 0.75 + structural * 0.25, 9) as final,
            row_number() over (order by round(lexical * 0.75 + structural * 0.25, 9) desc, lexical desc, structural desc, minimum_depth, failure_count, last_success_s desc nulls last, page_id) as rank
     from s qualify rank <= 20"""
 )
 def site_candidates(spark, sf_dir):
-    return sitegraph.candidates(view(spark, sf_dir, "d_pages"), view(spark, sf_dir, "d_links"), TERMS, "src3", ("tionsh.example.net",))
+    pages = view(spark, sf_dir, "d_pages").withColumn("url", F.when(F.col("page_id") == 7, "https://home/").otherwise(F.col("url")))
+    return sitegraph.candidates(pages, view(spark, sf_dir, "d_links"), TERMS, "src3", ("tionsh.example.net",), homepage="https://home/", allowed=["example.net", "example.com", "example.org"])
 
 
 def _grams(x: str) -> str:
@@ -255,21 +269,69 @@ def concept_coverage(spark, sf_dir):
 
 
 _COS = "list_inner_product(embedding::double[], v::double[]) / (sqrt(list_inner_product(embedding::double[], embedding::double[])) * sqrt(list_inner_product(v::double[], v::double[])))"
+_ASKED = ["the thing of reer", "and of"]
+_CONCEPTS = ["tion", "reer thor"]
+
+
+def _letters(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '[^0-9a-z㐀-鿿]+', '', 'g')"
+
+
+def _alike(x: str) -> str:
+    return "greatest(" + ", ".join(_jac(_grams(x), _grams(q(a))) for a in _ASKED) + ")"
+
+
+def _says(x: str) -> str:
+    return "cast(" + " or ".join(f"contains({_letters(x)}, '{re.sub('[^0-9a-z]', '', a)}')" for a in _ASKED) + " as integer)"
+
+
+def _has(x: str) -> str:
+    return "(" + " + ".join(f"cast(contains({_letters(x)}, '{c.replace(' ', '')}') as integer)" for c in _CONCEPTS) + ") / 2.0::double"
+
+
+def _both(x: str) -> str:
+    return f"greatest({_alike(x)}, {_has(x)})"
+
+
+_FETCHED = "select page_id, url, url_decode(path) as path, title, concat_ws(' ', title, unit) as headings, substring(title || ' thing of ' || repeat(d_pages.path || ' ', 3), 1, 300) as body, case when page_id % 3 > 0 then unit || ' reer' end as anchor_text, page_id % 5 / 5.0::double as parent, page_id % 7 / 7.0::double as discovery, minimum_depth as depth from d_pages"
+
+
+def _fetched(spark, sf_dir):
+    p = view(spark, sf_dir, "d_pages")
+    body = F.substring(F.concat(F.col("title"), F.lit(" thing of "), F.repeat(F.concat("path", F.lit(" ")), F.lit(3))), 1, 300)
+    anchor = F.when(F.col("page_id") % 3 > 0, F.concat("unit", F.lit(" reer")))
+    return p.select("page_id", "url", "title", F.array("title", "unit").alias("headings"), body.alias("body"), anchor.alias("anchor_text"), (F.col("page_id") % 5 / 5.0).alias("parent"), (F.col("page_id") % 7 / 7.0).alias("discovery"), F.col("minimum_depth").alias("depth"))
+
+
+@query(
+    f"""
+    select page_id, round(greatest(0.0, least(1.0, (0.16 * {_says("coalesce(anchor_text, '') || ' ' || path")} + 0.10 * {_both("anchor_text")} + 0.05 * {_both("path")} + 0.10 * parent + 0.05 * discovery)::double / 0.46 - 0.03::double * depth)), 7) as score
+    from ({_FETCHED})"""
+)
+def candidate_scores(spark, sf_dir):
+    return sitegraph.candidate_scores(_fetched(spark, sf_dir), _ASKED, _CONCEPTS).select("page_id", F.round("score", 7).alias("score"))
 
 
 @query(
     f"""
-    select page_id, round(greatest(0.0, least(1.0, 0.30 * {_jac(_grams("title"), _grams(q(ASKED)))} + 0.20 * cast(contains(regexp_replace(lower(coalesce(title, '')), '[^0-9a-z㐀-鿿]+', '', 'g'), 'thethingofreer') as integer)
-           + 0.20 * (cast(contains({_PAGE_KEY}, 'tion') as integer) + cast(contains({_PAGE_KEY}, 'reerthor') as integer)) / 2.0::double + 0.10 * {_jac(_grams("path"), _grams(q(ASKED)))}
-           + 0.20 * greatest(0.0, least(1.0, {_COS})) - 0.03::double * minimum_depth)), 7) as score
-    from d_pages join embeddings on page_id = vec_id, (select embedding as v from embeddings where vec_id = 0)"""
+    select page_id, round(greatest(0.0, least(1.0, (0.16 * greatest({_says("title")}, {_says("headings")}, {_says("body")}) + 0.14 * {_both("title")} + 0.10 * {_both("headings")} + 0.10 * {_both("anchor_text")} + 0.05 * {_both("path")} + 0.08 * {_has("body")}
+           + 0.13 * greatest({_alike("body")}, {_both("title")}, {_both("headings")}, {_both("anchor_text")}, {_both("path")}) + 0.16 * greatest(0.0, least(1.0, {_COS})) + 0.10 * parent + 0.05 * discovery)::double / 1.07 - 0.03::double * depth)), 7) as score
+    from ({_FETCHED}) join embeddings on page_id = vec_id, (select embedding as v from embeddings order by vec_id limit 1)"""
 )
 def page_scores(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.literal(list(e.where("vec_id = 0").first().embedding))
-    rows = view(spark, sf_dir, "d_pages").join(e, F.col("page_id") == F.col("vec_id"))
-    score = sitegraph.page_score(F.col("title"), F.col("path"), F.col("minimum_depth"), ASKED, ["tion", "reer thor"], F.col("embedding"), asked)
-    return rows.select("page_id", F.round(score, 7).alias("score"))
+    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("asked"))  # one row
+    rows = _fetched(spark, sf_dir).join(e, F.col("page_id") == F.col("vec_id")).join(F.broadcast(first)).withColumnRenamed("embedding", "vector")
+    return sitegraph.page_scores(rows, _ASKED, _CONCEPTS, F.col("asked")).select("page_id", F.round("score", 7).alias("score"))
+
+
+@query("select page_id, row_number() over (order by score desc, published_day is not null desc, published_day desc, page_id) as rank from (select page_id, page_id % 4 / 4.0::double as score, case when page_id % 3 > 0 then page_id % 50 end as published_day from pages) qualify rank <= 30")
+def page_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = view(spark, sf_dir, "pages").selectExpr("page_id", "page_id % 4 / 4.0D as score", "case when page_id % 3 > 0 then page_id % 50 end as published_day")
+    place = Window.orderBy(F.desc("score"), F.desc(F.col("published_day").isNotNull()), F.desc("published_day"), "page_id")
+    return sitegraph.page_order(rows, 30).select("page_id", F.row_number().over(place).cast("long").alias("rank"))
 
 
 @query("select page_id, round(greatest(0.2, 1 - (row_number() over (order by crawl_priority desc, page_id) - 1) / 50.0::double), 9) as decay from d_pages qualify row_number() over (order by crawl_priority desc, page_id) <= 40")

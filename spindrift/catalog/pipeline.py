@@ -50,9 +50,14 @@ def chunk_headings(spark, sf_dir):
     return documents.heading_chunks(view(spark, sf_dir, "documents"))
 
 
-@query(f"select doc_id, regexp_matches(text, {q(text.PERSONAL)}) as personal, md5(case when regexp_matches(text, {q(text.PERSONAL)}) then '[redacted]' else text end) as text_md5 from documents")
+# What SQL without lookaround can say of the same rule.
+_PERSONAL = r"(?i)(?:密碼|password|cookie|學號|成績|身分證|session\s*[:=]|token\s*[:=])|(?:^|[^\p{L}\p{N}_])[A-Z][12]\d{8}(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_])\d{8,10}(?:$|[^\p{L}\p{N}_])"
+_SAID = "case doc_id % 9 when 0 then concat(text, ' Session = x') when 1 then concat('密碼', text) when 2 then concat('id a123456789 ', text) when 3 then concat(text, '_12345678') when 4 then concat(text, '12345678901') when 5 then concat(text, ' (1234567890)') else text end"
+
+
+@query(f"select doc_id, regexp_matches(said, {q(_PERSONAL)}) as personal, md5(case when regexp_matches(said, {q(_PERSONAL)}) then '[已隱去可能的個人或敏感資料]' else said end) as text_md5 from (select doc_id, {_SAID} as said from documents)")
 def redact(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(text.PERSONAL)).alias("personal"), F.md5(text.redacted(F.col("text")).cast("binary")).alias("text_md5"))
+    return view(spark, sf_dir, "documents").select("doc_id", F.expr(_SAID).alias("said")).select("doc_id", text.is_personal(F.col("said")).alias("personal"), F.md5(text.redacted(F.col("said")).cast("binary")).alias("text_md5"))
 
 
 @query("select p.page_id from (select *, concat('https://src', cast(page_id % 20 as string), '.example.org/d/', cast(page_id as string)) as canonical_url from d_pages) p where not exists (select 1 from d_docs d where is_current and d.canonical_url = p.canonical_url)")
@@ -85,7 +90,25 @@ def term_counts(spark, sf_dir):
     return view(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.term_count(F.col("text"), "the").cast("long").alias("n"))
 
 
-@query("select doc_id, try_cast(cast(1990 + doc_id % 60 as string) || '-' || lpad(cast(doc_id % 14 as string), 2, '0') || '-' || lpad(cast(doc_id % 33 as string), 2, '0') as date) as parsed from documents")
+_TOLD = """case doc_id % 7 when 0 then concat(' ', cast(1890 + doc_id % 60 as string), '-', lpad(cast(doc_id % 14 as string), 2, '0'), '-', lpad(cast(doc_id % 33 as string), 2, '0'), 'T10:00 ')
+  when 1 then concat(text, ' 截止日期： ', cast(100 + doc_id % 30 as string), '年', cast(doc_id % 14 as string), '月', cast(doc_id % 33 as string), '日 or so') when 2 then concat('報名期限 2024/', cast(doc_id % 14 as string), '/', cast(doc_id % 33 as string), ', ', text)
+  when 3 then concat('on 99-', cast(doc_id % 14 as string), '-1 or ', cast(1900 + doc_id % 20 as string), '.2.3') when 4 then concat('202', cast(doc_id % 10 as string), '0', cast(doc_id % 10 as string), '1', cast(doc_id % 10 as string)) else text end"""
+
+
+def _made(x: str) -> str:
+    y, m, d = (rf"regexp_extract({x}, '(\d{{3,4}})[年\-/.](\d{{1,2}})[月\-/.](\d{{1,2}})日?', {i})" for i in (1, 2, 3))
+    return f"try_cast(lpad(cast(case when try_cast({y} as int) < 1911 then 1911 else 0 end + try_cast({y} as int) as varchar), 4, '0') || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') as date)"
+
+
+def _date(x: str) -> str:
+    iso = rf"case when regexp_matches(trim({x}), '^\d{{4}}-\d{{2}}-\d{{2}}(T\d{{2}}:\d{{2}})?$') then try_cast(substr(trim({x}), 1, 10) as date) when regexp_matches(trim({x}), '^\d{{8}}$') then try_strptime(trim({x}), '%Y%m%d')::date end"
+    return f"coalesce({iso}, {_made(x)})"
+
+
+_DUE = r"regexp_extract(told, '(?:截止(?:日|日期|時間)?|報名期限)[：:\s]*(\d{3,4}[年\-/.]\d{1,2}[月\-/.]\d{1,2}日?)', 1)"
+
+
+@query(f"select doc_id, {_date('told')} as parsed, {_date(_DUE)} as deadline from (select doc_id, {_TOLD} as told from documents)")
 def parse_dates(spark, sf_dir):
-    told = F.concat(F.lit("on "), (F.col("doc_id") % 60 + 1990).cast("string"), F.lit("/"), (F.col("doc_id") % 14).cast("string"), F.lit("/"), (F.col("doc_id") % 33).cast("string"), F.lit(" or so"))
-    return view(spark, sf_dir, "documents").select("doc_id", text.parsed_date(told).alias("parsed"))
+    rows = view(spark, sf_dir, "documents").select("doc_id", F.expr(_TOLD).alias("told"))
+    return rows.select("doc_id", text.parsed_date(F.col("told")).alias("parsed"), text.deadline(F.col("told")).alias("deadline"))

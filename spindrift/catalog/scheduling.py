@@ -100,6 +100,9 @@ _PRIO = "greatest(0.25, 1 - greatest(crawl_priority, 0) / 200.0::double)"
 _OFTEN, _SELDOM = "1 / (1 + 0.10::double * least(changed_streak, 10))", "(1 + 0.25::double * least(unchanged_streak, 10))"
 
 
+_STATE = "url || '|page_type=' || page_type || '|changed=' || {0} || '|changed_streak=' || changed_streak || '|unchanged_streak=' || unchanged_streak || '|failure_count=' || failure_count || '|priority=' || crawl_priority || '|outcome=' || {1}"
+
+
 def _jitter(identity: str, delay: str, most: str) -> str:
     unit = f"(cast('0x' || substr(sha256({identity}), 1, 16) as ubigint)::double / 18446744073709551616::double)"
     return f"least({most}, greatest(60.0, {delay} * (1 + ({unit} * 2 - 1) * 0.10::double)))"
@@ -107,8 +110,8 @@ def _jitter(identity: str, delay: str, most: str) -> str:
 
 @query(
     f"""
-    select page_id, round({_jitter("url || '|success'", "d", "604800.0")}, 6) as delay_s
-    from (select page_id, url, least(604800.0, greatest(60.0, case when page_id % 2 = 0 then 3600 * {_TYPE} * {_PRIO} * {_OFTEN} else 7200 * {_TYPE} * {_PRIO} * {_SELDOM} end)) as d from d_pages)"""
+    select page_id, round({_jitter(_STATE.format("case when page_id % 2 = 0 then 'True' else 'False' end", "'success'"), "d", "604800.0")}, 6) as delay_s
+    from (select *, least(604800.0, greatest(60.0, case when page_id % 2 = 0 then 3600 * {_TYPE} * {_PRIO} * {_OFTEN} else 7200 * {_TYPE} * {_PRIO} * {_SELDOM} end)) as d from d_pages)"""
 )
 def next_due_success(spark, sf_dir):
     return crawling.after_success(view(spark, sf_dir, "d_pages"))
@@ -120,7 +123,7 @@ def next_due_success(spark, sf_dir):
                              when http_status between 400 and 499 and http_status not in (404, 410, 429) then 'excluded' else 'failed' end as action,
                       least(86400.0, greatest(60.0, 60 * pow(2.0, greatest(failure_count - 1, 0)) * {_TYPE} * {_PRIO} * case when least(changed_streak, 10) >= least(unchanged_streak, 10) then {_OFTEN} else {_SELDOM} end)) as d,
                       case when http_status in (429, 503) and regexp_matches(retry_after, '^[0-9]+$') then least(86400.0, greatest(60.0, try_cast(retry_after as double))) end as told from d_pages)
-    select page_id, action, case when action = 'failed' then round(coalesce(told, {_jitter("url || '|failure'", "d", "86400.0")}), 6) end as delay_s from p"""
+    select page_id, action, case when action = 'failed' then round(coalesce(told, {_jitter(_STATE.format("'None'", "'failure:' || coalesce(cast(http_status as varchar), 'unknown')"), "d", "86400.0")}), 6) end as delay_s from p"""
 )
 def failure_policy(spark, sf_dir):
     return crawling.after_failure(view(spark, sf_dir, "d_pages"))

@@ -50,6 +50,17 @@ def jittered(delay: Column, identity: Column, most: float) -> Column:
     return bounded(F.when(F.coalesce(identity, F.lit("")) == "", delay).otherwise(moved), most)
 
 
+def state_identity(identity: Column, page_type: Column, changed: Column, changed_streak: Column, unchanged_streak: Column, failures: Column, priority: Column, outcome: Column) -> Column:
+    """The key of a page's jitter: all that its schedule depends on; empty without an identity."""
+    told = F.when(changed.isNull(), "None").when(changed, "True").otherwise("False")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    named = lambda name, c: F.concat(F.lit(f"|{name}="), c)
+    key = F.concat(
+        identity, named("page_type", text(page_type)), named("changed", told), named("changed_streak", text(changed_streak)), named("unchanged_streak", text(unchanged_streak)), named("failure_count", text(failures)), named("priority", text(priority)), named("outcome", outcome)
+    )
+    return F.when(F.coalesce(identity, F.lit("")) == "", F.lit("")).otherwise(key)
+
+
 def success_delay(page_type: Column, priority: Column, changed: Column, changed_streak: Column, unchanged_streak: Column) -> Column:
     base = F.when(changed, SUCCESS).otherwise(UNCHANGED)
     return bounded(base * factor(page_type, priority, changed, changed_streak, unchanged_streak), MOST)

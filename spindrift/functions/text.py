@@ -66,7 +66,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Distinct character n-grams of the letters; a single character is its own gram."""
-    t = letters_only(F.coalesce(text, F.lit("")))
+    return key_ngrams(letters_only(F.coalesce(text, F.lit(""))), low, high)
+
+
+def key_ngrams(t: Column, low: int = 2, high: int = 4) -> Column:
+    """Distinct character n-grams of a text that is only letters."""
 
     def of(n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))
@@ -95,27 +99,43 @@ def contains_either(title: Column, queries: list[str]) -> Column:
     return out
 
 
-#: Fixed: what makes a message personal.
-PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\+?[0-9][0-9 ()-]{7,}[0-9]"
+#: What makes a message personal (case does not matter), and the mark that takes its place.
+PERSONAL = r"(?:密碼|password|cookie|學號|成績|身分證|session\s*[:=]|token\s*[:=])|(?<![\p{L}\p{N}_])[A-Z][12]\p{Nd}{8}(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])\p{Nd}{8,10}(?![\p{L}\p{N}_])"
+REDACTED = "[已隱去可能的個人或敏感資料]"
+
 
+def is_personal(text: Column) -> Column:
+    return F.rlike(text, F.lit(f"(?i){PERSONAL}"))
 
-def redacted(text: Column, mark: str = "[redacted]") -> Column:
+
+def redacted(text: Column, mark: str = REDACTED) -> Column:
     """The whole text gives way to a mark if it holds personal data."""
-    return F.when(F.rlike(text, F.lit(PERSONAL)), F.lit(mark)).otherwise(text)
+    return F.when(is_personal(text), F.lit(mark)).otherwise(text)
+
+
+#: A date in a text, and the words that a deadline follows.
+DATE = r"(\p{Nd}{3,4})[年\-/.](\p{Nd}{1,2})[月\-/.](\p{Nd}{1,2})日?"
+DEADLINE = r"(?:截止(?:日|日期|時間)?|報名期限)[：:\s]*(\p{Nd}{3,4}[年\-/.]\p{Nd}{1,2}[月\-/.]\p{Nd}{1,2}日?)"
 
 
 def parsed_date(text: Column) -> Column:
-    """First year-month-day in the text, years before 1911 counted from 1911; null if there is none or it is no date."""
-    p = r"([0-9]{2,4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})"
-    part = lambda i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
+    """An ISO date or time, else the first year-month-day in the text; null if there is none or it is no date.
+
+    Years before 1911 that are not in ISO form count from 1911.
+    """
+    t = F.trim(text)
+    iso = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:.[0-9]{2}(?::?[0-9]{2}.*)?)?$", 1)
+    basic = F.regexp_replace(F.regexp_extract(t, r"^([0-9]{8})(?:.[0-9]{2}(?::?[0-9]{2}.*)?)?$", 1), r"^(....)(..)(..)$", "$1-$2-$3")
+    part = lambda i: F.nullif(F.regexp_extract(t, DATE, i), F.lit(""))
     year = part(1).cast("int")
     year = F.when(year < 1911, year + 1911).otherwise(year)
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
+    found = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
+    return F.coalesce(F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"), F.try_to_date(F.nullif(basic, F.lit("")), "yyyy-MM-dd"), F.when(part(3).isNotNull(), found))
 
 
-def deadline(text: Column, keyword: str = "deadline") -> Column:
-    """The date that follows a keyword."""
-    return parsed_date(F.regexp_extract(text, f"(?is){keyword}(.{{0,40}})", 1))
+def deadline(text: Column) -> Column:
+    """The date right after the words for a deadline."""
+    return parsed_date(F.nullif(F.regexp_extract(text, DEADLINE, 1), F.lit("")))
 
 
 def term_count(text: Column, term: str) -> Column:
@@ -132,14 +152,30 @@ def chunk_spans(length: Column, width: int, overlap: int) -> Column:
     return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("seq"), (i * step).alias("begin"), F.least(F.lit(width), length - i * step).cast("int").alias("size")))
 
 
-def sanitized(text: Column, allowed_hosts: list[str]) -> Column:
-    """Text for output: without identifiers in UUID form and without urls of other hosts, blanks folded."""
+#: Identifiers that are not shown, and the characters that end a url.
+INTERNAL_ID = r"[\[（(]?\s*\b[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b\s*[\]）)]?"
+URL_STOP = r"\s<>\"'，。；：、！？）)\]}"
+
+
+def sanitized(text: Column, allowed_urls: list[str] = ()) -> Column:
+    """Text for output: without identifiers and without urls other than the allowed ones; blanks and lines tidied.
+
+    Punctuation behind a url that goes stays.
+    """
     import re
 
-    plain = F.regexp_replace(text, "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "")
-    hosts = "|".join(re.escape(h) for h in allowed_hosts)
-    keep = rf"(?!(?:[\w-]+\.)*(?:{hosts})(?:[/?#:\s]|$))" if allowed_hosts else ""
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"https?://{keep}\S+", ""), r"[ \t]+", " "))
+    plain = F.regexp_replace(text, INTERNAL_ID, "")
+    end = rf"(?=[{URL_STOP}]|$)"
+    kept = "|".join(re.escape(u) for u in sorted(allowed_urls, key=len, reverse=True))
+    but = rf"(?!(?:{kept})[,.!?;:]*{end})" if allowed_urls else ""
+    out = F.regexp_replace(plain, rf"{but}https?://(?=[^{URL_STOP}])[^{URL_STOP}]*?([,.!?;:]*){end}", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+([，。；：、])", "$1"), r"[ \t]{2,}", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"(?m)[\s&&[^\n]]+$", ""), r"^\s+|\s+$", "")
+
+
+def clipped(text: Column, most: int) -> Column:
+    """At most so many characters of a field for output."""
+    return F.substring(text, 1, most)
 
 
 def ordered_distinct(values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import text, urls
+from spindrift.functions import folding, text, urls
 
 LEAST_RELEVANCE = 0.1
 OVERFETCH, MOST = 3, 20
@@ -54,8 +54,8 @@ def page(rows: DataFrame, number: int, size: int) -> DataFrame:
 
 
 def identity(title: Column, day: Column, unit: Column) -> Column:
-    """Title, day and unit, whatever the case and white space."""
-    fold = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    """Title, day and unit, whatever the width, case and white space of their letters."""
+    fold = lambda c: folding.query_key(F.coalesce(c, F.lit("")))
     return F.concat_ws("|", fold(title), day.cast("string"), fold(unit))
 
 
@@ -76,20 +76,20 @@ def without_repeats(rows: DataFrame, limit: int) -> DataFrame:
 def merged(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Next state by url, and what became of each incoming row: created, updated or unchanged.
 
-    An incomplete body never replaces a complete one; metadata follow the incoming row either way.
+    An incoming row may say in `completeness` how many characters of a body it got; where the stored body has more, the
+    row is weaker and changes nothing but the time of the last crawl. All others replace title, day, body and warning,
+    nulls included; the row is unchanged if title and body hash to what they did.
     """
     c, i = current.alias("c"), incoming.alias("i")
-    weaker = F.col("i.warning").isNotNull() & F.col("c.warning").isNull() & F.col("c.canonical_url").isNotNull()
-    body = F.when(F.col("i.canonical_url").isNull() | weaker, F.col("c.body")).otherwise(F.col("i.body"))
-    pick = lambda n: F.coalesce(F.col(f"i.{n}"), F.col(f"c.{n}")).alias(n)
-    outcome = (
-        F.when(F.col("i.canonical_url").isNull(), F.lit(None).cast("string"))
-        .when(F.col("c.canonical_url").isNull(), "created")
-        .when(weaker | text.content_hash(F.col("i.body")).eqNullSafe(text.content_hash(F.col("c.body"))), "unchanged")
-        .otherwise("updated")
+    there, comes = F.col("c.canonical_url").isNotNull(), F.col("i.canonical_url").isNotNull()
+    weaker = F.coalesce(there & comes & (F.length(F.trim("c.body")) > F.col("i.completeness")), F.lit(False))
+    stays = weaker | ~comes
+    pick = lambda n: F.when(stays, F.col(f"c.{n}")).otherwise(F.col(f"i.{n}")).alias(n)
+    digest = lambda r: text.content_hash(F.concat(F.col(f"{r}.title"), F.lit("\n"), F.col(f"{r}.body")))
+    outcome = F.when(~comes, F.lit(None).cast("string")).when(~there, "created").when(weaker | digest("i").eqNullSafe(digest("c")), "unchanged").otherwise("updated")
+    return c.join(i, F.col("c.canonical_url") == F.col("i.canonical_url"), "full_outer").select(
+        F.coalesce("i.canonical_url", "c.canonical_url").alias("canonical_url"), pick("title"), pick("published_day"), pick("body"), pick("warning"), F.coalesce("i.last_crawled_s", "c.last_crawled_s").alias("last_crawled_s"), outcome.alias("outcome")
     )
-    warning = F.when(F.col("i.canonical_url").isNull() | weaker, F.col("c.warning")).otherwise(F.col("i.warning"))
-    return c.join(i, F.col("c.canonical_url") == F.col("i.canonical_url"), "full_outer").select(pick("canonical_url"), pick("title"), pick("published_day"), body.alias("body"), warning.alias("warning"), outcome.alias("outcome"))
 
 
 def snapshot_commit(sources: DataFrame, observed: DataFrame) -> DataFrame:
@@ -100,8 +100,10 @@ def snapshot_commit(sources: DataFrame, observed: DataFrame) -> DataFrame:
     newest = observed.groupBy("name").agg(F.max("crawled_s").alias("crawled_s"))
     urls_of = observed.join(newest, ["name", "crawled_s"]).groupBy("name", "crawled_s", "canonical_url").agg(F.min("position").alias("position"))
     lists = urls_of.groupBy("name", "crawled_s").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "canonical_url"))), lambda x: x["canonical_url"]).alias("urls"))
+    # A refused list leaves the stored one, where there is a column for it.
+    stored = F.col("canonical_urls") if "canonical_urls" in sources.columns else F.lit(None).cast("array<string>")
     taken = F.col("crawled_s").isNotNull() & (F.col("last_success_s").isNull() | (F.col("crawled_s") >= F.col("last_success_s")))
-    return sources.join(lists, "name", "left").select("name", F.when(taken, F.col("crawled_s")).otherwise(F.col("last_success_s")).alias("last_success_s"), F.when(taken, F.col("urls")).alias("urls"))
+    return sources.join(lists, "name", "left").select("name", F.when(taken, F.col("crawled_s")).otherwise(F.col("last_success_s")).alias("last_success_s"), F.when(taken, F.col("urls")).otherwise(stored).alias("urls"))
 
 
 def due_sources(sources: DataFrame, now: int) -> DataFrame:

@@ -11,7 +11,8 @@ from spindrift.functions import schedule
 DOC_SOFT, DOC_HARD = 360 * 60, 1440 * 60
 ANN_SOFT, ANN_HARD = 90 * 60, 360 * 60
 #: Fixed: limits of the decision.
-LEAST_COVERAGE, LEAST_STRONG, LEAST_MARGIN, SCOPED_SCORE, LEAST_SECONDS = 0.8, 2, 0.05, 0.65, 1.0
+LEAST_COVERAGE, LEAST_STRONG, LEAST_MARGIN, SCOPED_SCORE, LEAST_SECONDS = 0.60, 2, 0.04, 0.82, 2.0
+STRONG_SCORE, STRONG_CHARS = 0.58, 160
 
 TOPICS, LISTS = ("topic", "scoped_topic"), ("announcement", "keyword_announcement", "latest")
 
@@ -48,16 +49,24 @@ def announcement_facts(rows: DataFrame, sources: DataFrame, now: int) -> DataFra
     return a.join(s, F.lit(True)).withColumn("coverage", F.round(F.coalesce(F.try_divide(F.col("fresh_sources").cast("double"), F.col("sources").cast("double")), F.lit(0.0)), 9))
 
 
-def evidence_quality(evidence: DataFrame, key: str, strong: float = 0.55) -> DataFrame:
-    """Per key: strong pieces, the top score, and its lead over the second (itself if there is none)."""
-    best = Window.partitionBy(key).orderBy(F.desc("score"))
-    two = evidence.withColumn("_n", F.row_number().over(best))
-    counts = two.groupBy(key).agg(F.count_if(F.col("score") >= strong).alias("strong"), F.max("score").alias("top_score"), F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("_second"))
+def evidence_quality(evidence: DataFrame, key: str, strong: float = STRONG_SCORE, chars: int = STRONG_CHARS) -> DataFrame:
+    """Per key of evidence (score, content): pieces that are strong and long enough, the top score, and its lead.
+
+    Scores below 0 count as 0; the lead is over the second score, over nothing if there is none. The two best scores
+    combine before the shuffle.
+    """
+    score = F.greatest(F.lit(0.0), F.col("score"))
+    enough = (F.col("score") >= strong) & (F.length(F.trim("content")) >= chars)
+    places = evidence.select(key, score.alias("_s"), enough.alias("_strong")).groupBy(key, "_s").agg(F.count("*").alias("_n"), F.count_if("_strong").alias("_strong"))
+    best = Window.partitionBy(key).orderBy(F.desc("_s"))
+    two = places.withColumn("_at", F.row_number().over(best))
+    second = F.coalesce(F.max(F.when((F.col("_at") == 1) & (F.col("_n") > 1), F.col("_s"))), F.max(F.when(F.col("_at") == 2, F.col("_s"))))
+    counts = two.groupBy(key).agg(F.sum("_strong").alias("strong"), F.max("_s").alias("top_score"), second.alias("_second"))
     return counts.select(key, "strong", "top_score", F.round(F.col("top_score") - F.coalesce("_second", F.lit(0.0)), 9).alias("margin"))
 
 
-def decision(facts: DataFrame) -> DataFrame:
-    """facts with action and reason: the first rule that holds.
+def decision(facts: DataFrame, live_fallback: bool = True) -> DataFrame:
+    """facts with action, reason and limit: the first rule that holds, and what then kept a live search from being made.
 
     Columns of facts: intent, ok, active_refresh, homepage_only, listing_only, documents, incomplete, exact_scope,
     hard_stale, pending, failed, in_sync, soft_stale, sources, coverage, fresh, evidence, strong, top_score, margin,
@@ -103,5 +112,6 @@ def decision(facts: DataFrame) -> DataFrame:
         chain = F.when(when, value) if chain is None else chain.when(when, value)
     chosen = facts.withColumn("_d", chain.otherwise(F.struct(F.lit(live).alias("action"), F.lit("insufficient_result_count").alias("reason"))))
     # Too little for an answer: look it up live if there is time for that.
-    action = F.when(c("_d.action") != live, c("_d.action")).when(c("seconds_left") < LEAST_SECONDS, warn).otherwise("use_bounded_live_fallback")
-    return chosen.withColumn("action", action).withColumn("reason", c("_d.reason")).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("top_score")))).drop("_d")
+    limit = F.when(c("_d.action") != live, F.lit(None).cast("string")).when(F.lit(not live_fallback), "live_fallback_disabled").when(c("seconds_left") < LEAST_SECONDS, "deadline_insufficient")
+    action = F.when(c("_d.action") != live, c("_d.action")).when(limit.isNotNull(), warn).otherwise("use_bounded_live_fallback")
+    return chosen.withColumn("action", action).withColumn("limit", limit).withColumn("reason", c("_d.reason")).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("top_score")))).drop("_d")

@@ -93,18 +93,23 @@ def host_pending(pages: DataFrame) -> DataFrame:
     return pages.where("crawl_status = 'pending'").rollup("host").agg(F.count("*").alias("pending"))
 
 
+def _state(changed, outcome):
+    c = F.col
+    return schedule.state_identity(c("url"), c("page_type"), changed, c("changed_streak"), c("unchanged_streak"), c("failure_count"), c("crawl_priority"), outcome)
+
+
 def after_success(pages: DataFrame) -> DataFrame:
     """(page_id, delay_s): jittered seconds until the next fetch, by whether the page changed."""
     changed = F.col("page_id") % 2 == 0
     plain = schedule.success_delay(F.col("page_type"), F.col("crawl_priority"), changed, F.col("changed_streak"), F.col("unchanged_streak"))
-    return pages.select("page_id", F.round(schedule.jittered(plain, F.concat(F.col("url"), F.lit("|success")), schedule.MOST), 6).alias("delay_s"))
+    return pages.select("page_id", F.round(schedule.jittered(plain, _state(changed, F.lit("success")), schedule.MOST), 6).alias("delay_s"))
 
 
 def after_failure(pages: DataFrame) -> DataFrame:
     """(page_id, action, delay_s): what a failed fetch leads to; a server's wish is kept to without jitter."""
     action = schedule.failure_action(F.col("http_status"), F.col("failure_count"))
     plain = schedule.retry_delay(F.col("page_type"), F.col("crawl_priority"), F.col("failure_count"), F.col("changed_streak"), F.col("unchanged_streak"))
-    own = schedule.jittered(plain, F.concat(F.col("url"), F.lit("|failure")), schedule.RETRY_MOST)
+    own = schedule.jittered(plain, _state(F.lit(None).cast("boolean"), F.concat(F.lit("failure:"), F.coalesce(F.col("http_status").cast("string"), F.lit("unknown")))), schedule.RETRY_MOST)
     delay = F.coalesce(schedule.retry_after(F.col("http_status"), F.col("retry_after")), own)
     return pages.select("page_id", action.alias("action"), F.when(action == "failed", F.round(delay, 6)).alias("delay_s"))
 

@@ -18,11 +18,12 @@ RELIABLE_SCORE, RELIABLE_CHARS, RELIABLE_RESULTS = 0.58, 160, 2
 
 @dataclass(frozen=True)
 class Scope:
-    """What a query is about: a homepage, a unit, hosts."""
+    """What a query is about: a homepage, a unit, hosts; `general` is a unit whose rows are never out of scope."""
 
     homepage: str | None = None
     unit: str | None = None
     hosts: tuple[str, ...] = ()
+    general: str | None = None
 
 
 def boost(scope: Scope | None) -> Column:
@@ -77,6 +78,7 @@ def fuse(lists: list[DataFrame], queries: list[str], concepts: list[str], scope:
             F.when(home & F.lit(bool(scope.homepage)), F.greatest(score, F.lit(0.99)))
             .when(F.col("unit") == F.lit(scope.unit), F.least(F.lit(1.0), score + 0.18))
             .when(urls.host(F.col("canonical_url")).isin(*scope.hosts, ""), F.least(F.lit(1.0), score + 0.14))
+            .when(F.col("unit") == F.lit(scope.general), score)
             .otherwise(score * 0.72)
         )
     return one.withColumn("score", score).drop("raw", "ranks")

@@ -49,7 +49,7 @@ VIEWS = {
                case when page_id % 10 = 0 then 1700000000 + page_id * 31 % 100000 end as lease_expires_s,
                case when page_id % 10 = 0 then concat('worker', cast(page_id % 3 as string)) end as lease_owner,
                case when page_id % 3 <> 0 then 1700000000 - page_id * 733 % 200000 end as last_success_s,
-               case page_id % 4 when 0 then 'sitemap' when 1 then 'listing' when 2 then 'link' else 'import' end as discovery_source,
+               case page_id % 4 when 0 then 'official_unit' when 1 then 'configured_seed' when 2 then 'internal_link' else 'existing_document' end as discovery_source,
                cast(page_id % 13 as int) as changed_streak, cast(page_id * 3 % 14 as int) as unchanged_streak,
                case page_id % 8 when 0 then null when 1 then 404 when 2 then 403 when 3 then 500 when 4 then 429 when 5 then 418 when 6 then 410 else 503 end as http_status,
                case page_id % 5 when 0 then '120' when 1 then 'soon' when 2 then '5' else null end as retry_after,
@@ -67,9 +67,9 @@ VIEWS = {
           (-25, 'ftp://example.net/x'), (-26, 'https://badexample.net/'), (-27, 'no url'), (-28, 'https://example.net?b=&a=%zz&&c'), (-29, 'https://sub.example.net/?redirect=1'), (-30, cast(null as varchar(9)))) odd(page_id, url)""",
     "d_pages_in": """
         select case when page_id % 5 = 0 then page_id + 1000000 else page_id end as page_id, concat('in ', cast(page_id as string)) as in_title,
-               page_id % 3 = 0 as untitled, case page_id % 3 when 0 then 'sitemap' when 1 then 'import' else 'listing' end as discovery_source,
+               page_id % 3 = 0 as untitled, url, case page_id % 3 when 0 then 'existing_announcement' when 1 then 'official_search' else 'official_unit' end as discovery_source,
                cast(page_id * 17 % 120 as int) as crawl_priority, cast(page_id * 3 % 7 as int) as minimum_depth, page_id % 2 = 0 as is_indexable,
-               case when page_id % 2 = 0 then 'general_page' else 'announcement_detail' end as page_type
+               case page_id % 4 when 0 then 'general_page' when 1 then 'announcement_detail' when 2 then 'search_result' else 'official_document' end as page_type
         from {pages} where page_id % 2 = 0 or page_id % 5 = 0""",
     "d_links": """
         select page_id as source_page_id, (page_id * 7 + k) % (select count(*) from {pages}) as target_page_id, k, page_id * 6 + k as position,

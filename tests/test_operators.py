@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import schedule, text, urls, vectors
+from spindrift.functions import folding, schedule, text, urls, vectors
 from spindrift.operators import announcements, conversation, crawling, documents, resolution, retrieval, sitegraph
 from spindrift.sources import files, html, sinks
 from spindrift.streaming import state
@@ -25,8 +25,17 @@ def test_text_functions(spark):
     assert one(spark, text.trigram_similarity(F.lit(""), F.lit(""))) == 0
     assert one(spark, text.parsed_date(F.lit("on 113/2/29 or"))) == datetime.date(2024, 2, 29)
     assert one(spark, text.parsed_date(F.lit("2023-02-30"))) is None
-    assert one(spark, text.deadline(F.lit("Deadline: 2024.3.1"))) == datetime.date(2024, 3, 1)
-    assert one(spark, text.redacted(F.lit("call +1 (555) 010-9999"))) == "[redacted]"
+    assert one(spark, text.parsed_date(F.lit(" 1900-02-28 10:00:00 "))) == datetime.date(1900, 2, 28)
+    assert one(spark, text.parsed_date(F.lit("20240229"))) == datetime.date(2024, 2, 29)
+    assert one(spark, text.parsed_date(F.lit("99.1.1"))) is None
+    assert one(spark, text.deadline(F.lit("公告 113/1/1，截止時間: 2024.3.1日"))) == datetime.date(2024, 3, 1)
+    assert one(spark, text.deadline(F.lit("Deadline: 2024.3.1"))) is None
+    for told, gone in (("Password?", True), ("id A123456789", True), ("é12345678", False), ("1234567", False), ("(12345678)", True), ("token =x", True)):
+        assert one(spark, text.redacted(F.lit(told))) == (text.REDACTED if gone else told)
+    shown = "see http://a.com/x, and https://b.com/y。 [12345678-1234-1234-1234-1234567890ab]  end ，ok  \n last "
+    assert one(spark, text.sanitized(F.lit(shown), ["https://b.com/y"])) == "see , and https://b.com/y。 end，ok\n last"
+    assert one(spark, folding.query_key(F.lit("Ｓｔｒaße\u3000 ﬁ X"))) == "strassefix"
+    assert one(spark, folding.normalized_query(F.lit("  Ａ \t b "))) == "A b" and one(spark, folding.letters_key(F.lit("Ａ-b 公告!"))) == "ab公告"
     assert one(spark, text.term_count(F.lit("a.b.a.b"), ".")) == 3
 
 
@@ -63,7 +72,7 @@ def test_schedule(spark):
 
 
 def test_repeats_claim_nothing_once_dropped(spark):
-    rows = [(1, 1, "https://h/en/1", "A", 1, "u"), (2, 2, "https://h/de/1", "B", 1, "u"), (3, 3, "https://h/3", "b", 1, "U"), (4, 4, "https://h/4", " a ", 1, "u")]
+    rows = [(1, 1, "https://h/p/404-1-1.php", "A", 1, "u"), (2, 2, "https://h/p/406-1-1,r5.php", "B", 1, "u"), (3, 3, "https://h/3", "b", 1, "U"), (4, 4, "https://h/4", " a ", 1, "u")]
     df = spark.createDataFrame(rows, "rank int, id int, canonical_url string, title string, published_day int, unit string")
     assert [r.id for r in announcements.without_repeats(df, 10).orderBy("rank").collect()] == [1, 3]
     assert announcements.without_repeats(df.limit(0), 10).count() == 0
