@@ -293,7 +293,11 @@ def _both(x: str) -> str:
     return f"greatest({_alike(x)}, {_has(x)})"
 
 
-_FETCHED = "select page_id, url, url_decode(path) as path, title, concat_ws(' ', title, unit) as headings, substring(title || ' thing of ' || repeat(d_pages.path || ' ', 3), 1, 300) as body, case when page_id % 3 > 0 then unit || ' reer' end as anchor_text, page_id % 5 / 5.0::double as parent, page_id % 7 / 7.0::double as discovery, minimum_depth as depth from d_pages"
+# Case folding makes ss of ß, which lower case does not.
+_FETCHED = """
+    select page_id, url, path, title, concat_ws(' ', title, unit) as headings, substring(title || ' thing of ' || repeat(raw || ' ', 3), 1, 300) as body, case when page_id % 3 > 0 then unit || ' reer' end as anchor_text,
+           page_id % 5 / 5.0::double as parent, page_id % 7 / 7.0::double as discovery, minimum_depth as depth
+    from (select * replace (replace(title, 'ß', 'ss') as title, replace(url_decode(path), 'ß', 'ss') as path), path as raw from d_pages)"""
 
 
 def _fetched(spark, sf_dir):

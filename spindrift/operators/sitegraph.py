@@ -153,13 +153,14 @@ def candidates(pages: DataFrame, links: DataFrame, terms: list[tuple[str, float]
     holds = lambda c: _any([F.ilike(c, F.lit(f"%{v}%")) for v in variants])
     scope = urls.in_scope(F.col("host"), allowed) if allowed is not None else F.lit(True)
     fine = eligible(pages).where(scope)
-    # Scores are taken inside aggregates, which the filters after them cannot repeat.
-    anchors = links.groupBy("anchor_text").agg(F.max(F.lit(1)).alias("_")).select("anchor_text", F.struct(likes("anchor_text").alias("l"), holds(F.col("anchor_text")).alias("h")).alias("s"))
-    anchors = anchors.select("anchor_text", F.struct(best(F.col("s.l")).alias("anchor"), similar(F.col("s.l"), ANCHOR_FROM).alias("anchored"), F.col("s.h").alias("h")).alias("s"))
+    # Exploded, likenesses are columns that filters after them use and do not take again.
+    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))).alias("_s")
+    anchors = links.select("anchor_text").distinct().select("anchor_text", once(l=likes("anchor_text"), h=holds(F.col("anchor_text"))))
+    anchors = anchors.select("anchor_text", F.struct(best(F.col("_s.l")).alias("anchor"), similar(F.col("_s.l"), ANCHOR_FROM).alias("anchored"), F.col("_s.h").alias("h")).alias("s"))
     scored = links.select("target_page_id", "anchor_text").join(anchors.where("s.anchored or s.h"), "anchor_text")
     told = scored.groupBy(F.col("target_page_id").alias("page_id")).agg(F.max("s.anchor").alias("anchor"), F.bool_or("s.anchored").alias("anchored"))
     rows = fine.join(told, "page_id", "left").withColumn("linked", F.col("anchored").isNotNull()).withColumn("anchor", F.coalesce("anchor", F.lit(0.0))).withColumn("anchored", F.coalesce("anchored", F.lit(False)))
-    rows = rows.withColumn("_s", F.struct(likes("title").alias("title"), likes("path").alias("path"), holds(F.col("title")).alias("in_title"), holds(F.col("path")).alias("in_path"), holds(F.col("unit")).alias("in_unit")))
+    rows = rows.select("*", once(title=likes("title"), path=likes("path"), in_title=holds(F.col("title")), in_path=holds(F.col("path")), in_unit=holds(F.col("unit"))))
     part = lambda c, x: F.when(c, x).otherwise(0.0)
     s = lambda n: F.col(f"_s.{n}")
     lexical = F.least(F.lit(1.0), F.greatest(best(s("title")), best(s("path")), F.col("anchor")) * 0.65 + part(s("in_title"), 0.28) + part(s("in_path"), 0.12) + part(F.col("anchored"), 0.10) + part(s("in_unit"), 0.12))
