@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.catalog.registry import likeness, normal, q, query, sim, tri
 from spindrift.functions import text, vectors
 from spindrift.operators import announcements as ann
-from spindrift.operators import completeness, conversation, retrieval
+from spindrift.operators import completeness, conversation, retrieval, similarity
 from spindrift.plans.views import NOW, view
 
 QUERIES = ["the and of that", "and reer thor edtionnt", "thing with the on"]
@@ -26,13 +26,13 @@ def keyword_sql(term: str, boost: str = "0.0") -> str:
 
 @query(f"select chunk_id, document_id, round(score, 9) as score, rank from ({keyword_sql(QUERIES[0])})")
 def keyword_topk(spark, sf_dir):
-    top = retrieval.keyword_list(view(spark, sf_dir, "d_chunks"), QUERIES[0])
+    top = retrieval.keyword_lists(view(spark, sf_dir, "d_chunks"), QUERIES[:1])
     return top.select("chunk_id", "document_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"select chunk_id, round(score, 9) as score, rank from ({keyword_sql(QUERIES[0], BOOST)})")
 def scope_boost_rank(spark, sf_dir):
-    top = retrieval.keyword_list(view(spark, sf_dir, "d_chunks"), QUERIES[0], SCOPE)
+    top = retrieval.keyword_lists(view(spark, sf_dir, "d_chunks"), QUERIES[:1], SCOPE)
     return top.select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -40,31 +40,43 @@ COSINE = "list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_inner_pr
 
 
 def embedded(spark, sf_dir):
-    """Chunks with the vector of their document's number, and the vector that asks."""
+    """Chunks without texts, each with the vector that its document's number falls on, and the first vector, which asks."""
     e = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = list(e.where("vec_id = 0").first().embedding)
-    chunks = view(spark, sf_dir, "d_chunks")
-    return chunks.join(e, F.col("document_id") == F.col("vec_id")).drop("vec_id"), vectors.literal(asked)
+    first = e.orderBy("vec_id").first()
+    chunks = view(spark, sf_dir, "d_chunks").select("chunk_id", "document_id", "canonical_url", "unit", "is_current")
+    return chunks.join(e, F.pmod("document_id", F.lit(max(1, e.count()))) == F.col("vec_id")), vectors.literal(list(first.embedding) if first else [])
 
 
 VECTOR_SQL = f"""
     select *, row_number() over (order by score desc, chunk_id) as rank
-    from (select c.*, round({COSINE.format(a="e.embedding", b="(select embedding from embeddings where vec_id = 0)")}, 12) as score
-          from d_chunks c join embeddings e on document_id = vec_id where is_current)
+    from (select c.*, round({COSINE.format(a="e.embedding", b="(select embedding from embeddings order by vec_id limit 1)")}, 12) as score
+          from d_chunks c join embeddings e on document_id % (select count(*) from embeddings) = vec_id where is_current)
     qualify rank <= 60"""
 
 
 @query(f"select chunk_id, round(score, 9) as score, rank from ({VECTOR_SQL})")
 def vector_topk(spark, sf_dir):
     chunks, asked = embedded(spark, sf_dir)
-    return retrieval.vector_list(chunks, asked).select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.vector_lists(chunks, {0: asked}).select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""
+    select v.vec_id as list, chunk_id, rank from (select vec_id, embedding as v from embeddings order by vec_id limit 3) v,
+      lateral (select chunk_id, row_number() over (order by round({COSINE.format(a="e.embedding", b="v.v")}, 12) desc, chunk_id) as rank from d_chunks c join embeddings e on document_id % (select count(*) from embeddings) = e.vec_id where is_current) t
+    where rank <= 60"""
+)
+def vector_queries(spark, sf_dir):
+    chunks, _ = embedded(spark, sf_dir)
+    asked = view(spark, sf_dir, "embeddings").orderBy("vec_id").limit(3).select(F.col("vec_id").alias("list"), F.col("embedding").alias("vector"))
+    return retrieval.vector_table(chunks, asked).select("list", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 def fused(spark, sf_dir, scope=None):
     chunks = view(spark, sf_dir, "d_chunks")
-    lists = [retrieval.keyword_list(chunks, x, scope) for x in QUERIES]
     with_vectors, asked = embedded(spark, sf_dir)
-    return retrieval.fuse([*lists, retrieval.vector_list(with_vectors, asked, scope)], QUERIES, CONCEPTS, scope)
+    lists = retrieval.keyword_lists(chunks, QUERIES, scope).unionByName(retrieval.vector_lists(with_vectors, {len(QUERIES): asked}, scope))
+    return retrieval.fuse(lists, len(QUERIES) + 1, chunks, QUERIES, CONCEPTS, scope)
 
 
 KEY = r"regexp_replace(lower({x}), '\s+', '', 'g')"
@@ -357,9 +369,7 @@ _T = likeness("a.g", "b.g")
     select item_id, chunk_id, round({_T}, 9) as likeness from a, b where {_T} >= 0.3"""
 )
 def similar_titles(spark, sf_dir):
-    """A join by likeness: rows meet by a trigram they share; shared ones are counted, the threshold applied."""
-    a = view(spark, sf_dir, "benchmark").select("item_id", text.trigrams(F.substring("text", 1, 60)).alias("g")).select("item_id", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = view(spark, sf_dir, "d_chunks").select("chunk_id", text.trigrams(F.col("title")).alias("g")).select("chunk_id", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = a.join(b, "gram").groupBy("item_id", "chunk_id", "na", "nb").agg(F.count("*").alias("shared"))
-    value = F.col("shared").cast("double") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return both.where(value >= 0.3).select("item_id", "chunk_id", F.round(value, 9).alias("likeness"))
+    chunks = view(spark, sf_dir, "d_chunks").select("chunk_id", "title")
+    items = view(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("asked"))
+    pairs = similarity.similar_texts(items.select("asked"), chunks.select("title"), 0.3)
+    return items.join(pairs, items.asked == pairs.left).join(chunks, F.col("right") == chunks.title).select("item_id", "chunk_id", F.round("likeness", 9).alias("likeness"))

@@ -39,36 +39,46 @@ def boost(scope: Scope | None) -> Column:
 
 
 def _top(scored: DataFrame, scope: Scope | None, limit: int) -> DataFrame:
-    """The best `limit` rows with their rank; a total order, so ties do not depend on partitioning."""
-    best = scored.withColumn("_order", F.round(F.col("score") + boost(scope), 12)).orderBy(F.desc("_order"), "chunk_id").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_order"), "chunk_id"))).drop("_order")
+    """The best `limit` rows of each list with their rank; a total order, and small heaps before the shuffle."""
+    best = Window.partitionBy("list").orderBy(F.desc("_order"), "chunk_id")
+    placed = scored.withColumn("_order", F.round(F.col("score") + boost(scope), 12)).withColumn("rank", F.row_number().over(best))
+    return placed.where(F.col("rank") <= limit).select("list", "chunk_id", "document_id", "score", "rank")
 
 
-def keyword_list(chunks: DataFrame, query: str, scope: Scope | None = None, limit: int = LIST) -> DataFrame:
-    """Current chunks by the better trigram likeness of content and title; a short query keeps all of them."""
-    score = F.greatest(*[text.likeness_to(text.trigrams(F.col(c)), query) for c in ("content", "title")])
-    rows = chunks.where("is_current").withColumn("score", score)
-    if len(query) >= SHORT_QUERY:
-        rows = rows.where(F.col("score") >= LEAST_SIMILARITY)
-    return _top(rows, scope, limit)
+def keyword_lists(chunks: DataFrame, queries: list[str], scope: Scope | None = None, limit: int = LIST) -> DataFrame:
+    """(list, chunk_id, document_id, score, rank): current chunks by the better trigram likeness of content and title.
 
+    The trigrams of a chunk are listed once for all queries; a short query keeps all chunks.
+    """
+    grams = F.struct(text.trigrams(F.col("content")).alias("c"), text.trigrams(F.col("title")).alias("t"))
+    likes = F.transform(F.array(grams), lambda g: F.array(*[F.greatest(*[text.likeness_to(g[c], q) for c in "ct"]) for q in queries]))[0]
+    rows = chunks.where("is_current").select("chunk_id", "document_id", "canonical_url", "unit", F.posexplode(likes).alias("list", "score"))
+    short = [i for i, q in enumerate(queries) if len(q) < SHORT_QUERY]
+    return _top(rows.where((F.col("score") >= LEAST_SIMILARITY) | F.col("list").isin(*short, -1)), scope, limit)
 
-def vector_list(chunks: DataFrame, vector: Column, scope: Scope | None = None, limit: int = LIST) -> DataFrame:
-    """Current chunks (with a column embedding) by cosine."""
-    score = F.round(F.coalesce(vectors.cosine(F.col("embedding"), vector), F.lit(0.0)), 12)
-    return _top(chunks.where("is_current").withColumn("score", score).drop("embedding"), scope, limit)
 
+def vector_lists(chunks: DataFrame, asked: dict[int, Column], scope: Scope | None = None, limit: int = LIST) -> DataFrame:
+    """The same by cosine of the chunks' column embedding with each vector that asks, by the number of its list."""
+    scores = F.array(*[F.struct(F.lit(i).alias("list"), F.round(F.coalesce(vectors.cosine(F.col("embedding"), v), F.lit(0.0)), 12).alias("score")) for i, v in asked.items()])
+    return _top(chunks.where("is_current").select("chunk_id", "document_id", "canonical_url", "unit", F.explode(scores).alias("s")).select("*", "s.*").drop("s"), scope, limit)
 
-def fuse(lists: list[DataFrame], queries: list[str], concepts: list[str], scope: Scope | None = None) -> DataFrame:
-    """One row a chunk with its fused score: best raw score, reciprocal ranks, concepts and title taken together."""
-    merged = lists[0]
-    for more in lists[1:]:
-        merged = merged.unionByName(more)
+
+def vector_table(chunks: DataFrame, asked: DataFrame, limit: int = LIST) -> DataFrame:
+    """As `vector_lists` for a table of queries (list, vector), which is small enough to be sent to all tasks."""
+    score = F.round(F.coalesce(vectors.cosine(F.col("embedding"), F.col("vector")), F.lit(0.0)), 12)
+    return _top(chunks.where("is_current").join(F.broadcast(asked)).withColumn("score", score), None, limit)
+
+
+def fuse(lists: DataFrame, n: int, chunks: DataFrame, queries: list[str], concepts: list[str], scope: Scope | None = None) -> DataFrame:
+    """One row a chunk with its fused score: best raw score, reciprocal ranks, concepts and title taken together.
+
+    `lists` are n ranked lists of at most `LIST` chunks each, so what they name is broadcast, and texts come last.
+    """
     raw = F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).alias("raw")
     ranks = F.sum(F.lit(1.0) / (F.lit(RANK_OFFSET) + F.col("rank"))).alias("ranks")
-    keep = [c for c in merged.columns if c not in ("score", "rank", "chunk_id")]
-    one = merged.groupBy("chunk_id").agg(raw, ranks, *[F.first(c).alias(c) for c in keep])
-    by_rank = F.least(F.lit(1.0), F.col("ranks") * (RANK_OFFSET + 1) / max(1, len(lists)))
+    named = lists.groupBy("chunk_id", "document_id").agg(raw, ranks)
+    one = chunks.join(F.broadcast(named), ["chunk_id", "document_id"])
+    by_rank = F.least(F.lit(1.0), F.col("ranks") * (RANK_OFFSET + 1) / max(1, n))
     found = text.coverage(F.concat_ws(" ", "title", "content", F.coalesce("unit", F.lit(""))), concepts)
     score = F.col("raw") * WEIGHTS["raw"] + by_rank * WEIGHTS["rank"] + found * WEIGHTS["concepts"] + text.contains_either(F.col("title"), queries).cast("double") * WEIGHTS["title"]
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
