@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.catalog.registry import q, query
+from spindrift.catalog.registry import normal, q, query
 from spindrift.functions import text
-from spindrift.operators import ingestion, resolution, search, sitegraph, sources
+from spindrift.operators import announcements, documents, ingestion, resolution, search, sitegraph, sources
 from spindrift.plans.views import NOW, view
 
 DIRECTORY = [("the", "unit the"), ("thethe", "unit double"), ("tion", "unit tion"), ("tion and", "unit joint"), ("that", "unit that"), ("reer", "unit reer"), ("er th", "unit reer")]
@@ -227,10 +227,56 @@ def source_refresh(spark, sf_dir):
     return sources.forced(sources.refreshed(view(spark, sf_dir, "d_sources"), crawls), ["src1", "src2"]).select("name", "last_success_s")
 
 
-@query("select page_id, trim(regexp_replace(regexp_replace('see ' || url || '  ok', case when ends_with(regexp_extract(url, '^https?://([^/?#]+)', 1), 'example.com') then 'zzzz' else 'https?://[^ ]+' end, ''), ' +', ' ', 'g')) as shown from pages")
+_SHOWN = "concat('see ', url, case page_id % 4 when 0 then ', or ' when 1 then '。 x' when 2 then ' ，y' else '' end, '  (12345678-abcd-1234-1234-1234567890AB) ok')"
+_KEPT = ["https://example.com/", "https://the.example.com/en/1"]
+
+
+@query(
+    f"""
+    with s as (select page_id, page_id % 4 as v, case when url in ({", ".join(map(q, _KEPT))}) then url else '' end as kept, url from pages where regexp_matches(url, '^https?://[A-Za-z0-9./_?=&-]*[A-Za-z0-9/_=&-]$'))
+    select page_id, trim(regexp_replace(case when v = 2 then rtrim('see ' || kept) else 'see ' || kept end || case v when 0 then ', or ' when 1 then '。 x' when 2 then '，y' else '' end || ' ok', '[ \t]{{2,}}', ' ', 'g')) as shown from s"""
+)
 def output_sanitize(spark, sf_dir):
-    shown = text.sanitized(F.concat(F.lit("see "), F.col("url"), F.lit("  ok")), ["example.com"])
-    return view(spark, sf_dir, "pages").select("page_id", shown.alias("shown"))
+    plain = view(spark, sf_dir, "pages").where(F.rlike("url", F.lit("^https?://[A-Za-z0-9./_?=&-]*[A-Za-z0-9/_=&-]$")))
+    return plain.select("page_id", text.sanitized(F.expr(_SHOWN), _KEPT).alias("shown"))
+
+
+_QUESTION = "concat(case doc_id % 5 when 0 then '請問 ' when 1 then '幫我查詢' when 2 then '想知道一下' else '' end, case doc_id % 7 when 0 then '最新公告' when 1 then '有哪些公告？' when 2 then '獎學金公告' when 3 then '通知一下' else substring(text, 1, 5) end)"
+
+
+@query(f"""select doc_id, case when doc_id % 7 in (0, 1, 3) then doc_id % 5 <> 2 else false end as generic, case doc_id % 6 when 0 then doc_id % 1000 when 1 then 23 when 2 then 110 when 3 then null when 4 then 7 else 0 end::integer as told from d_docs where text is not null""")
+def generic_requests(spark, sf_dir):
+    told = "case doc_id % 6 when 0 then cast(doc_id % 1000 as string) when 1 then '二十三' when 2 then '百十' when 3 then '三百零五' when 4 then '七' else '零十' end"
+    rows = view(spark, sf_dir, "d_docs").where("text is not null").select("doc_id", F.expr(_QUESTION).alias("question"), F.expr(told).alias("n"))
+    return rows.select("doc_id", text.is_generic(F.col("question")).alias("generic"), text.count_of(F.col("n")).alias("told"))
+
+
+_ROLE = "case page_id % 3 when 0 then '/p/403-1-2.php' when 1 then '/P/406-1-2.php' else '/x' end"
+
+
+@query(
+    f"""
+    select page_id, case when i > 0 and (page_id % 2 = 0 or i >= 2 or page_id % 3 = 0) then 'listing'
+             when i = 0 and title <> '' and length(title) >= 40 and (page_id % 7 = 0 or page_id % 3 = 1 and page_id % 4 > 0) then 'detail' else 'other' end as role, left({normal("case when title <> '' then title || chr(10) || 'x ' || title else 'x ' || title end")}, 50) as body
+    from (select *, page_id % 5 % 3 as i from d_pages)"""
+)
+def page_role(spark, sf_dir):
+    p = F.col("page_id")
+    role = documents.page_role(p % 5 % 3, p % 2 == 0, p % 7 == 0, F.expr(_ROLE), F.col("title"), F.col("title"), F.when(p % 4 > 0, F.lit(1)))
+    return view(spark, sf_dir, "d_pages").select("page_id", role.alias("role"), documents.page_body(F.col("title"), F.concat(F.lit("x "), F.col("title")), 50).alias("body"))
+
+
+@query(
+    """
+    with a as (select canonical_url, title, case when id % 7 > 0 then published_day end as published_day, cast(null as varchar) as body from d_announcements where id % 3 <> 1), b as (select canonical_url, case when id % 5 > 0 then title || '!' end as title, case when id % 4 = 0 then published_day + 1 end as published_day, body from d_announcements where id % 2 = 0)
+    select coalesce(b.canonical_url, a.canonical_url) as canonical_url, coalesce(b.title, a.title) as title, coalesce(b.published_day, a.published_day) as published_day, md5(b.body) as body_md5, coalesce(b.published_day, a.published_day) is null as undated
+    from a full join b on a.canonical_url = b.canonical_url"""
+)
+def listing_details(spark, sf_dir):
+    rows = view(spark, sf_dir, "d_announcements")
+    lists = rows.where("id % 3 <> 1").selectExpr("canonical_url", "title", "case when id % 7 > 0 then published_day end as published_day", "cast(null as string) as body")
+    pages = rows.where("id % 2 = 0").selectExpr("canonical_url", "case when id % 5 > 0 then concat(title, '!') end as title", "case when id % 4 = 0 then published_day + 1 end as published_day", "body")
+    return announcements.with_details(lists, pages).select("canonical_url", "title", "published_day", F.md5(F.col("body").cast("binary")).alias("body_md5"), "undated")
 
 
 @query("select source, string_agg(lang, ',' order by first) as langs from (select source, lang, min(doc_id) as first from documents where lang is not null group by source, lang) group by source")

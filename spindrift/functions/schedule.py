@@ -91,6 +91,11 @@ def retry_after(status: Column, header: Column, now: int | None = None) -> Colum
     return F.when(status.isin(429, 503) & seconds.isNotNull(), F.least(F.lit(RETRY_MOST), F.greatest(F.lit(LEAST), seconds)))
 
 
+def duration_ms(began: Column, ended: Column) -> Column:
+    """Milliseconds between two timestamps, never below 0."""
+    return F.greatest(F.lit(0).cast("long"), F.timestamp_diff("MILLISECOND", began, ended))
+
+
 def freshness(age_s: Column, soft_s: int, hard_s: int) -> Column:
     """fresh, soft_stale or hard_stale; unknown age is hard, limits themselves are within."""
     return F.when(age_s.isNull() | (age_s > hard_s), "hard_stale").when(age_s > soft_s, "soft_stale").otherwise("fresh")

@@ -173,6 +173,30 @@ def sanitized(text: Column, allowed_urls: list[str] = ()) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"(?m)[\s&&[^\n]]+$", ""), r"^\s+|\s+$", "")
 
 
+#: Questions that ask for announcements of any kind, and the polite beginnings that do not matter.
+GENERIC = ("公告", "最新公告", "最近公告", "有哪些公告", "最近有哪些公告", "最新有哪些公告", "有什麼公告", "最近有什麼公告", "最新有什麼公告", "有那些公告", "最近有那些公告", "最新有那些公告", "有哪些最新公告", "有什麼最新公告", "有那些最新公告", "消息", "最新消息", "最近消息", "通知", "最新通知", "最近通知")
+REQUESTS = ("想知道", "告訴我", "幫忙", "幫我", "查詢", "搜尋", "搜索", "列出", "請問", "看看", "可以", "麻煩", "請", "查", "找", "列")
+#: Numerals of counts.
+DIGITS = {"零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+
+
+def is_generic(query: Column) -> Column:
+    """Whether a question asks for announcements without a subject."""
+    plain = F.regexp_replace(F.coalesce(query, F.lit("")), r"[\s　，。！？!?、：:；;「」『』（）()【】\[\]<>〈〉…]+", "")
+    asked = F.regexp_replace(F.regexp_replace(plain, f"^(?:{'|'.join(REQUESTS)})+", ""), "一下$", "")
+    return asked.isin(*GENERIC)
+
+
+def count_of(told: Column) -> Column:
+    """A count in digits or in numerals up to 999; null for anything else."""
+    d = "".join(DIGITS)
+    form = rf"^(?:([{d}])?(百))?(?:([{d}])?(十))?([{d}])?$"
+    value = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DIGITS.items() for x in kv]), F.nullif(F.regexp_extract(told, form, i), F.lit(""))), F.lit(None).cast("int"))
+    place = lambda digit, mark, worth: F.when(F.regexp_extract(told, form, mark) != "", F.coalesce(value(digit), F.lit(1)) * worth).otherwise(0)
+    numeral = F.when((told != "") & F.rlike(told, F.lit(form)), place(1, 2, 100) + place(3, 4, 10) + F.coalesce(value(5), F.lit(0)))
+    return F.coalesce(F.try_to_number(F.when(F.rlike(told, F.lit("^[0-9]{1,9}$")), told), F.lit("999999999")).cast("int"), numeral)
+
+
 def clipped(text: Column, most: int) -> Column:
     """At most so many characters of a field for output."""
     return F.substring(text, 1, most)

@@ -92,6 +92,16 @@ def merged(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def with_details(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """One row for each url that a list or a detail page names: what the detail says, else what the list does.
+
+    listings, details: (canonical_url, title, published_day, body), one row a url. Rows that no side dates are undated.
+    """
+    a, b = listings.alias("a"), details.alias("b")
+    pick = lambda n: F.coalesce(F.col(f"b.{n}"), F.col(f"a.{n}")).alias(n)
+    return a.join(b, F.col("a.canonical_url") == F.col("b.canonical_url"), "full_outer").select(*[pick(n) for n in ("canonical_url", "title", "published_day", "body")]).withColumn("undated", F.col("published_day").isNull())
+
+
 def snapshot_commit(sources: DataFrame, observed: DataFrame) -> DataFrame:
     """Per source the ordered distinct urls of its latest crawl, unless that is older than what is there.
 

@@ -37,16 +37,16 @@ def fixed_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP) ->
     return spans.select("doc_id", F.col("c.seq").cast("long").alias("seq"), F.substr("t", (F.col("c.begin") + 1).cast("int"), F.col("c.size")).alias("content"))
 
 
-_HEADING = re.compile(r"(?m)^(?:#{1,6} |[0-9]+[.)] )")
+_HEADING = re.compile(r"(?m)^#{1,6}\s+\S.*$")
 
 
 def heading_cuts(t: str, width: int, overlap: int) -> list[str]:
     """Windows that end before the last heading of their second half where there is one."""
-    out, at = [], 0
+    out, at, starts = [], 0, [m.start() for m in _HEADING.finditer(t)]
     while at < len(t):
         end = min(len(t), at + width)
         if end < len(t):
-            marks = [m.start() for m in _HEADING.finditer(t, at + width // 2, end)]
+            marks = [p for p in starts if at + width // 2 <= p <= end]
             if marks:
                 end = marks[-1]
         out.append(t[at:end].strip())
@@ -67,6 +67,21 @@ def heading_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP)
     return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), "content")
 
 
+def page_body(title, body, most: int = 20_000):
+    """The text of a page: its title put before a body that does not begin with it, normalised, at most so long."""
+    t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    whole = F.when((t != "") & ~F.startswith(b, t), F.when(b != "", F.concat(t, F.lit("\n"), b)).otherwise(t)).otherwise(b)
+    return F.substring(text.normalized(whole), 1, most)
+
+
+def page_role(items, lists, details, path, title, body, published):
+    """listing, detail or other by what a page holds: its number of items, list and detail elements, path, texts and day."""
+    p, dated = F.lower(path), published.isNotNull()
+    listing = (items > 0) & (lists | (items >= 2) | F.contains(p, F.lit("/p/403-")) | F.contains(p, F.lit("/p/404-")))
+    detail = (items == 0) & (title != "") & (F.length(body) >= 40) & (details | dated & F.contains(p, F.lit("/p/406-")))
+    return F.when(listing, "listing").when(detail, "detail").otherwise("other")
+
+
 def stale(pages: DataFrame, current: DataFrame) -> DataFrame:
     """Pages whose url no current document has."""
     return pages.join(current.select("canonical_url").distinct(), "canonical_url", "left_anti")
