@@ -234,7 +234,7 @@ _KEPT = ["https://example.com/", "https://the.example.com/en/1"]
 @query(
     f"""
     with s as (select page_id, page_id % 4 as v, case when url in ({", ".join(map(q, _KEPT))}) then url else '' end as kept, url from pages where regexp_matches(url, '^https?://[A-Za-z0-9./_?=&-]*[A-Za-z0-9/_=&-]$'))
-    select page_id, trim(regexp_replace(case when v = 2 then rtrim('see ' || kept) else 'see ' || kept end || case v when 0 then ', or ' when 1 then '。 x' when 2 then '，y' else '' end || ' ok', '[ \t]{{2,}}', ' ', 'g')) as shown from s"""
+    select page_id, trim(regexp_replace(case when v in (1, 2) then rtrim('see ' || kept) else 'see ' || kept end || case v when 0 then ', or ' when 1 then '。 x' when 2 then '，y' else '' end || ' ok', '[ \t]{{2,}}', ' ', 'g')) as shown from s"""
 )
 def output_sanitize(spark, sf_dir):
     plain = view(spark, sf_dir, "pages").where(F.rlike("url", F.lit("^https?://[A-Za-z0-9./_?=&-]*[A-Za-z0-9/_=&-]$")))
