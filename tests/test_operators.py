@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.functions import folding, schedule, text, urls, vectors
+from spindrift.functions import folding, payloads, schedule, text, urls, vectors
 from spindrift.operators import announcements, conversation, crawling, documents, resolution, retrieval, sitegraph
 from spindrift.sources import files, html, sinks
 from spindrift.streaming import state
@@ -205,3 +205,10 @@ def test_streams(spark, tmp_path):
     lives = state.expiring_sessions(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName("lives").option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start()
     lives.awaitTermination(120)
     assert all(r.ends > r.begins for r in spark.table("lives").collect())
+
+
+def test_payloads_lose_sensitive_fields(spark):
+    told = ['{"a":1,"Auth_Token":{"x":2},"list":[{"PASSWORD":"p","b":["é"]}]}', '{"a":"my token"}', "[1,2]", "no json token", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t string")
+    got = {r.i: r.r for r in df.select("i", payloads.redacted(F.col("t")).alias("r")).collect()}
+    assert got == {0: '{"a":1,"Auth_Token":"[REDACTED]","list":[{"PASSWORD":"[REDACTED]","b":["é"]}]}', 1: '{"a":"my token"}', 2: "[1,2]", 3: None, 4: None}
