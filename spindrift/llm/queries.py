@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import langid, lattice, mixing, pieces, pii, simhash, toxicity, urlrules, warc, winnow
+from spindrift.llm import divergence, langid, lattice, maintext, mixing, orchard, pieces, pii, simhash, toxicity, urlrules, warc, winnow
 from spindrift.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op10_urlrules(spark, sf_dir):
     return urlrules.op10(table(spark, sf_dir, "pages"))
 
 
+def op11_orchard(spark, sf_dir):
+    return orchard.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_maintext(spark, sf_dir):
+    return maintext.op13(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
@@ -57,8 +69,13 @@ QUERIES = {
     "op8_lattice": op8_lattice,
     "op9_warc": op9_warc,
     "op10_urlrules": op10_urlrules,
+    "op11_orchard": op11_orchard,
+    "op12_divergence": op12_divergence,
+    "op13_maintext": op13_maintext,
 }
 ORACLES: dict[str, str] = {
     "op9_warc": warc.ORACLE,
     "op10_urlrules": urlrules.ORACLE,
+    "op11_orchard": orchard.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
