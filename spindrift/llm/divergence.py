@@ -25,8 +25,11 @@ from spindrift.llm.common import forget, shipped, shuffle_partitions, spread_joi
 LEAST_DOCS, UNSEEN, TOP = 30, 5, 50
 #: Entries of a block in memory, entries of a chunk of a run, bytes of a text that are split at once.
 BLOCK, CHUNK, SLICE = 400_000, 4_096, 1 << 20
-#: Shards for each shuffle partition; sources of a language compared in one piece of work; postings in one.
-SHARDS, SIDE, POSTINGS = 4, 256, 1_000_000
+#: Entries of open chunks from which on a merge takes off what is complete.
+OPEN = 200_000
+#: Shards for each shuffle partition; sources of a language compared in one piece of work, and postings in one: as many as
+#: this, and as many times the pairs of sources that it may tell of.
+SHARDS, SIDE, POSTINGS, PAIRS = 4, 256, 2_000, 4
 
 #: Bytes of a term: A-Z lower-cased, a-z and all beyond ASCII; others part terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -46,25 +49,35 @@ def terms(text: bytes):
 
 def _runs(shards: int, most: int = BLOCK, chunk: int = CHUNK):
     """Documents (lang, source, text) to chunks of term-sorted runs."""
-    kinds = [("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))]
 
     def spill(counts, docs, rows):
-        by = defaultdict(list)
-        for (lang, source), own in counts.items():
-            seed, seen = zlib.crc32(f"{lang}\0{source}".encode("utf-8", "surrogatepass")), docs[lang, source]
-            for t, n in own.items():
-                by[zlib.crc32(t, seed) % shards, lang].append((t, source, n, seen[t]))
+        """The block as one table, sorted by shard, language and term, and cut into a row a chunk."""
+        cols: list[list] = [[], [], [], [], [], []]
+        for group, own in counts.items():
+            lang, source = group
+            seed = zlib.crc32(f"{lang}\0{source}".encode("utf-8", "surrogatepass"))
+            cols[0] += [zlib.crc32(t, seed) % shards for t in own]
+            cols[1] += [lang] * len(own)
+            cols[2] += own
+            cols[3] += [source] * len(own)
+            cols[4] += own.values()
+            cols[5] += map(docs[group].__getitem__, own)
         for (lang, source), n in rows.items():  # the empty term stands for the group itself
-            by[0, lang].append((b"", source, n, 0))
-        out = []
-        for (shard, lang), run in by.items():
-            run.sort()
-            out += [(shard, lang, run[s][0], *map(list, zip(*run[s : s + chunk], strict=True))) for s in range(0, len(run), chunk)]
-            if len(out) >= 64:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+            for c, x in zip(cols, (0, lang, b"", source, n, 0), strict=True):
+                c.append(x)
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "lang", "term", "source", "n", "docs"])
+        cols.clear()
+        table = table.sort_by([(c, "ascending") for c in ("shard", "lang", "term")]).combine_chunks()
+        shard, lang, term, source, n, seen = (table.column(i).combine_chunks() for i in range(6))
+        code, at = lang.dictionary_encode().indices.to_numpy(), shard.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (code[1:] != code[:-1])]))
+        cuts = np.concatenate([np.arange(s, e, chunk) for s, e in zip(starts, [*starts[1:], len(at)], strict=True)])
+        for s in range(0, len(cuts), 256):
+            own, end = cuts[s : s + 256], cuts[s + 256] if s + 256 < len(cuts) else len(at)
+            offsets, first = pa.array(np.append(own, end) - own[0], pa.int32()), pa.array(own)
+            lists = [pa.ListArray.from_arrays(offsets, c.slice(own[0], end - own[0])) for c in (term, source, n, seen)]
+            yield pa.RecordBatch.from_arrays([shard.take(first), lang.take(first), term.take(first), *lists], names=["shard", "lang", "first", "terms", "sources", "n", "docs"])
 
     def run(batches):
         counts, docs, rows, held = defaultdict(Counter), defaultdict(Counter), Counter(), 0
@@ -89,57 +102,66 @@ def _runs(shards: int, most: int = BLOCK, chunk: int = CHUNK):
     return run, "shard int, lang string, first binary, terms array<binary>, sources array<string>, n array<long>, docs array<long>"
 
 
-def merged(chunks):
-    """[term, source, n, docs] of one shard and language by term and source; chunks (first, terms, sources, n, docs) come sorted by first."""
-    heap, held = [], None
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """Entries (term, source, n, docs) of several runs; equal ones are added up."""
+    return pa.concat_tables(parts).group_by(["term", "source"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["term", "source", "n", "docs"])
 
-    def until(first):
-        """Everything below `first`; equal entries of different runs follow one another and are added up."""
+
+def merged(chunks, most: int = OPEN):
+    """Tables (term, source, n, docs) of one shard and language, every entry once.
+
+    Chunks (tables, sorted by term) come by their first term and lie open on a heap by the next one. Once they hold over
+    `most` entries, all that is below the first term of the coming chunk is complete: it is taken off the heap, chunk by
+    chunk, and added up; what is left of a chunk goes back.
+    """
+    heap, held = [], 0
+
+    def below(first):
         nonlocal held
+        parts, back = [], []
         while heap and (first is None or heap[0][0] < first):
-            term, source, k, at, (ts, ss, ns, ds) = heap[0]
-            if held is not None and held[0] == term and held[1] == source:
-                held[2] += ns[at]
-                held[3] += ds[at]
-            else:
-                if held is not None:
-                    yield held
-                held = [term, source, ns[at], ds[at]]
-            at += 1
-            if at < len(ts):
-                heapq.heapreplace(heap, (ts[at], ss[at], k, at, (ts, ss, ns, ds)))
-            else:
-                heapq.heappop(heap)
-
-    for k, (first, *columns) in enumerate(chunks):
-        yield from until(first)
-        heapq.heappush(heap, (columns[0][0], columns[1][0], k, 0, columns))
-    yield from until(None)
-    if held is not None:
-        yield held
+            _, k, chunk, at = heapq.heappop(heap)
+            end = chunk.num_rows if first is None else _place(chunk, at, first)
+            parts.append(chunk.slice(at, end - at))
+            held -= end - at
+            if end < chunk.num_rows:
+                back.append((chunk["term"][end].as_py(), k, chunk, end))
+        for entry in back:
+            heapq.heappush(heap, entry)
+        if parts:
+            yield _summed(parts)
+
+    for k, chunk in enumerate(chunks):
+        first = chunk["term"][0].as_py()
+        if held > most:
+            yield from below(first)
+        heapq.heappush(heap, (first, k, chunk, 0))
+        held += chunk.num_rows
+    yield from below(None)
+
+
+def _place(chunk: pa.Table, low: int, first: bytes) -> int:
+    """How many entries of a chunk come before a term."""
+    column, high = chunk["term"], chunk.num_rows
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if column[middle].as_py() < first else (low, middle)
+    return low
 
 
 def _merge():
     """Chunks sorted by (shard, lang, first) to frequencies (lang, term, source, n, docs)."""
-    kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-    names = ["lang", "term", "source", "n", "docs"]
 
     def rows(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                part = b.slice(i, 1)
-                yield tuple(c.to_pylist()[0] for c in part.columns)
+            lists = [b.column(c) for c in ("terms", "sources", "n", "docs")]
+            for i, (shard, lang) in enumerate(zip(b.column("shard").to_pylist(), b.column("lang").to_pylist(), strict=True)):
+                yield (shard, lang), pa.Table.from_arrays([c.slice(i, 1).flatten() for c in lists], names=["term", "source", "n", "docs"])
 
     def run(batches):
-        out: list = []
-        for (_, lang), part in groupby(rows(batches), key=lambda r: (r[0], r[1])):
-            for entry in merged(r[2:] for r in part):
-                out.append((lang, *entry))
-                if len(out) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for (_, lang), part in groupby(rows(batches), key=lambda r: r[0]):
+            for table in merged(chunk for _, chunk in part):
+                yield from table.add_column(0, "lang", pa.array([lang], pa.string()).take(pa.array(np.zeros(table.num_rows, np.int32)))).to_batches(max_chunksize=20_000)
 
     return run, "lang string, term binary, source string, n long, docs long"
 
@@ -289,8 +311,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, block: int =
     parts = asked.select("lang", "at", "base", "v", "hist", "others").repartition(n).mapInArrow(far, schema)
 
     own = F.floor(F.col("at") / side)
+    piece = F.greatest(F.lit(POSTINGS), PAIRS * F.pow(F.least("sources", F.lit(side)), 2))
     dealt = shared.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("lang", F.least(own, "o").alias("lo"), F.greatest(own, "o").alias("hi"), F.pmod(F.xxhash64("term"), (F.col("postings") / POSTINGS).cast("long") + 1).alias("part"), "term", "at", "p", "base")
+    dealt = dealt.select("lang", F.least(own, "o").alias("lo"), F.greatest(own, "o").alias("hi"), F.pmod(F.xxhash64("term"), (F.col("postings") / piece).cast("long") + 1).alias("part"), "term", "at", "p", "base")
     near, schema = _both_rows(side)
     parts = parts.union(dealt.repartition(n, "lang", "lo", "hi", "part").sortWithinPartitions("lang", "lo", "hi", "part", "term", "at").mapInArrow(near, schema))
     label = lambda c, name: groups.select("lang", F.col("at").alias(c), F.col("source").alias(name))

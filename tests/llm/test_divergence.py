@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spindrift.llm import divergence
@@ -60,16 +61,21 @@ def test_long_texts_are_split_in_slices(monkeypatch):
     assert set(whole) == {"wörd".encode(), b"x", b"y" * 300}
 
 
-def test_merge_adds_equal_entries_of_overlapping_runs():
+@pytest.mark.parametrize("most", [0, 5, 1_000])
+def test_merge_adds_equal_entries_of_overlapping_runs(most):
     rng = random.Random(3)
     runs, total = [], {}
     for _ in range(9):
         run = sorted({(bytes([97 + rng.randrange(20)]), rng.choice("ab")): rng.randrange(1, 9) for _ in range(30)}.items())
         for key, n in run:
             total[key] = total.get(key, 0) + n
-        runs += [(run[s][0][0], [k[0] for k, _ in run[s : s + 4]], [k[1] for k, _ in run[s : s + 4]], [n for _, n in run[s : s + 4]], [1] * len(run[s : s + 4])) for s in range(0, len(run), 4)]
-    got = list(divergence.merged(sorted(runs, key=lambda r: r[0])))
-    assert [(t, s, n) for t, s, n, _ in got] == [(*k, n) for k, n in sorted(total.items())]
+        for s in range(0, len(run), 4):
+            part = run[s : s + 4]
+            runs.append(pa.table({"term": pa.array([k[0] for k, _ in part], pa.binary()), "source": [k[1] for k, _ in part], "n": [n for _, n in part], "docs": [1] * len(part)}))
+    tables = list(divergence.merged(sorted(runs, key=lambda r: r["term"][0].as_py()), most))
+    got = [(r["term"], r["source"], r["n"]) for t in tables for r in t.to_pylist()]
+    assert sorted(got) == [(*k, n) for k, n in sorted(total.items())]
+    assert len(tables) > 1 or most == 1_000
 
 
 @pytest.mark.parametrize("seed", range(4))
