@@ -72,8 +72,12 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str,
     hot = F.col(count) > max(HOT_LEAST, total // HOT_KEYS)
     carried = values.select(*keys, F.struct(*[c for c in values.columns if c not in keys]).alias("_v"), hot.alias("_hot"))
     few = carried.where("_hot").select(*keys, F.col("_v").alias("_w"))
-    # Rows that have their values by now must not meet in one task of the next join: they are dealt anew there.
-    tagged = rows.join(F.broadcast(few), keys, "left").withColumn("_deal", F.when(F.col("_w").isNull(), F.lit(0).cast("long")).otherwise(F.shiftright(F.xxhash64(*rows.columns), 8) * 2 + 1))
+    # Rows that have their values by now, and those with a null key, which find none, must not meet in one task of the
+    # next join: they are dealt anew there.
+    done = F.col("_w").isNotNull()
+    for key in keys:
+        done = done | F.col(key).isNull()
+    tagged = rows.join(F.broadcast(few), keys, "left").withColumn("_deal", F.when(done, F.shiftright(F.xxhash64(*rows.columns), 8) * 2 + 1).otherwise(F.lit(0).cast("long")))
     joined = tagged.join(carried.where("not _hot").select(*keys, F.lit(0).cast("long").alias("_deal"), "_v"), [*keys, "_deal"], "left")
     out = joined.select(*rows.columns, F.coalesce("_w", "_v").alias("_v"))
     return (out if how == "left" else out.where("_v is not null")).select(*rows.columns, "_v.*")

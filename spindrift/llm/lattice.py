@@ -2,8 +2,9 @@
 
 Unit vectors are rotated at random and cut into blocks of eight coordinates; the blocks of a table, decoded to points of
 the E8 lattice, make the vector's cell there. A vector also probes the cells behind its nearest walls. Two vectors meet
-in a cell if it is the own cell of at least one of them; those that also lie close in eight further coordinates go on,
-with their components, to an exact comparison inside the cell. A pair is counted in the first cell where it meets.
+in a cell if it is the own cell of at least one of them. Eight further coordinates bound the distance of two vectors from
+below: only those that they do not part go on, with their components, to an exact comparison inside the cell. A pair is
+counted and linked in the first cell where it meets, so results depend on the vectors alone.
 
 Equal vectors are folded into one before. A cell of any size is split into parts; every pair of parts is one piece of
 work of bounded size, so a crowded cell is spread over many tasks.
@@ -25,9 +26,8 @@ COSINE = 0.98
 #: Tables, blocks of eight coordinates in a table's cell, cells probed besides the own one, and the lattice's scale
 #: against unit vectors of 64 components.
 TABLES, BLOCKS, PROBES, SCALE = 10, 4, 4, 0.25
-#: How many times its mean the squared distance in the eight further coordinates may be, for a pair right at the threshold.
-CLOSE = 4.0
-#: Rows of a cell that are searched at once by those coordinates (all rows of a larger cell go on); rows in a part of a cell.
+#: Rows of a cell that are searched by those coordinates (all rows of a larger cell go on, which loses and adds no link);
+#: rows in a part of a cell.
 GROUP, PART = 512, 1_024
 SEED = 20_240_801
 
@@ -122,9 +122,15 @@ def cells(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes:
     return own, probed, sketch
 
 
-def limit_of(cosine: float, dim: int) -> float:
-    """Most that squared sketch distances of a linked pair may be: a multiple of their mean at the threshold."""
-    return CLOSE * (2 - 2 * cosine) * 8 / max(dim, 8) * 127**2 * max(dim, 8) / 64
+def limit_of(cosine: float, dim):
+    """Most that the squared distance of a linked pair's sketches can be; `dim` may be a column.
+
+    A projection on orthogonal directions lengthens nothing, nor does clipping; rounding moves each of the eight
+    coordinates of a difference by one at most.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * 127 * (1 + 1e-9)
+    root = (F.sqrt(dim / 64.0) if not isinstance(dim, (int, float)) else float(np.sqrt(dim / 64.0))) * reach + float(np.sqrt(8))
+    return root * root + 1e-6
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -159,16 +165,17 @@ def _hash_rows(tables: int, blocks: int, probes: int, scale: float):
     return run
 
 
-def _meeting(k: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Which of the sorted rows of whole cells meet another that is close, one of the two being at home."""
+def _meeting(k: np.ndarray, own: np.ndarray, sketch: np.ndarray, limit: np.ndarray, most: int) -> np.ndarray:
+    """Which of the sorted rows of whole cells meet another that is close, one of the two being at home; in a cell of more
+    than `most` rows all."""
     n = len(k)
     starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
     sizes = np.diff(np.append(starts, n))
     left = np.repeat(starts + sizes, sizes) - np.arange(n)  # rows of the cell from here on
     codes = sketch.view(np.int8).reshape(n, 8).astype(np.int32)
-    out = np.zeros(n, bool)
-    at = np.arange(n)
-    for d in range(1, int(sizes.max(initial=0))):
+    out = np.repeat(sizes > most, sizes)
+    at = np.flatnonzero(~out)
+    for d in range(1, int(sizes[sizes <= most].max(initial=0))):
         at = at[left[at] > d]
         i = at[own[at] | own[at + d]]
         near = ((codes[i] - codes[i + d]) ** 2).sum(axis=1) <= limit[i]
@@ -201,7 +208,7 @@ def _search(most: int):
             last = np.flatnonzero(rows[0] != rows[0][-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield out([r[:cut] for r in rows], _meeting(rows[0][:cut], *[r[:cut] for r in rows[2:]]))
+                yield out([r[:cut] for r in rows], _meeting(rows[0][:cut], *[r[:cut] for r in rows[2:]], most))
             tail = [r[cut:] for r in rows]
             if len(tail[0]) > most:
                 over = tail[0][0]
@@ -209,7 +216,7 @@ def _search(most: int):
             else:
                 held = tail
         if held is not None and len(held[0]):
-            yield out(held, _meeting(held[0], *held[2:]))
+            yield out(held, _meeting(held[0], *held[2:], most))
 
     return run, "k long, rep long, own boolean"
 
@@ -286,14 +293,15 @@ def _exact(cosine: float):
         shape = (len(unit), -1)
         own = col["cells"].flatten().to_numpy().reshape(shape)
         probed = col["probed"].flatten().to_numpy().reshape(len(unit), own.shape[1], -1)
-        counts = np.zeros(len(unit))
+        counts, linked = np.zeros(len(unit)), np.zeros(near.shape, bool)
         for s in range(0, len(i), 1 << 16):
             x, y = a[i[s : s + (1 << 16)]], b[j[s : s + (1 << 16)]]
             mine = first_cells(own[x], probed[x], own[y], probed[y]) == k
             counts += np.bincount(x[mine], num["times"][y[mine]], len(unit)) + np.bincount(y[mine], num["times"][x[mine]], len(unit))
+            linked[i[s : s + (1 << 16)][mine], j[s : s + (1 << 16)][mine]] = True
         some = np.flatnonzero(counts)
         yield batch(num["rep"][some], np.rint(counts[some]).astype(np.int64), None)
-        x, y = _forest(near | near.T if same else near, same)
+        x, y = _forest(linked | linked.T if same else linked, same)
         yield batch(num["rep"][a[x]], None, num["rep"][b[y]])
 
     def pieces(held: list):
@@ -332,7 +340,7 @@ def hashed_vectors(classes: DataFrame, tables: int = TABLES, blocks: int = BLOCK
 
 def meetings(hashed: DataFrame, cosine: float = COSINE, group: int = GROUP) -> DataFrame:
     """(k, rep, own): the rows of each cell that may link with another row of it."""
-    limit = F.lit(limit_of(cosine, 64))  # sketches are scaled, so that the limit is the same for all lengths of 8 or more
+    limit = limit_of(cosine, F.size("embedding"))
     each = F.concat(F.transform("own", lambda c: F.struct(c.alias("k"), F.lit(True).alias("own"))), F.transform("probed", lambda c: F.struct(c.alias("k"), F.lit(False).alias("own"))))
     rows = hashed.select("rep", "sketch", limit.alias("lim"), F.explode(each).alias("c")).select("c.k", "rep", "c.own", "sketch", "lim")
     search, schema = _search(group)

@@ -154,3 +154,63 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
     assert got(lattice.op8(df)) == brute(rows)
     assert lattice.op8(df.where(F.lit(False))).count() == 0
+
+
+def crowd(n, seed):
+    """Unit vectors around one, apart only along the sketch's own directions: no sketch tells less than their distance."""
+    rng = np.random.default_rng(seed)
+    directions = lattice.plan(64)[2]
+    c = rng.standard_normal(64)
+    c -= directions @ (directions.T @ c)
+    x = c / np.linalg.norm(c) + 0.14 * (lambda a: a / np.linalg.norm(a, axis=1, keepdims=True))(rng.standard_normal((n, 8))) @ directions.T
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_no_sketch_parts_a_linked_pair():
+    for dim in (4, 8, 64, 384):
+        a, b = pairs_at(dim, 2000, 0.98, np.random.default_rng(dim))
+        d = lattice.plan(dim)[2] if dim > 8 else None
+        if d is not None:  # the difference lies within the sketch
+            o = np.random.default_rng(1).standard_normal((2000, 8)) @ d.T
+            o -= (o * a).sum(axis=1, keepdims=True) * a
+            b = 0.98 * a + np.sqrt(1 - 0.98**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        x, y = lattice.cells(a, tables=1)[2].astype(int), lattice.cells(b, tables=1)[2]
+        assert (((x - y) ** 2).sum(axis=1) <= lattice.limit_of(0.98, dim)).all()
+
+
+@pytest.mark.parametrize("group", [4])
+def test_links_do_not_depend_on_partitions_and_batches(spark, group):
+    x = np.concatenate([crowd(60, 1), crowd(9, 2), clouds(0.0, 40, np.random.default_rng(3))])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = []
+    batch, shuffle = (spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"))
+    try:
+        for partitions, rows_a_batch in ((1, 7), (3, 100), (20, 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(got(lattice.near_vectors(df.repartition(partitions), group=group)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    assert found[0] == found[1] == found[2]
+    links, want = sum(r[1] for r in found[0]), sum(r[1] for r in brute(rows))
+    assert want > 100 and 0.98 * want <= links <= want
+    # No component joins vectors without links.
+    alone = {r[0] for r in found[0] if r[1] == 0}
+    assert all(r[2] == r[0] for r in found[0] if r[0] in alone)
+
+
+def test_many_null_keys_are_dealt(spark):
+    from spindrift.llm.common import spread_join
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("k"))
+    values = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = spread_join(rows, values, ["k"], "n", 20_000, "left")
+        sizes = [r["count"] for r in joined.where("k is null").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 15_000 and max(sizes) < 4_000
+    assert joined.count() == 20_000 and joined.where("n is null and k is not null").count() == 0
