@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.catalog import evidence, graph, pipeline, scheduling, searching
+from spindrift.catalog import evidence, graph, pages, pipeline, scheduling, searching
 from spindrift.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "graph", "pipeline", "scheduling", "searching"]
+__all__ = ["ORACLES", "QUERIES", "evidence", "graph", "pages", "pipeline", "scheduling", "searching"]

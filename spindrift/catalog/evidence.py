@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spindrift.catalog.registry import likeness, normal, q, query, sim, tri
 from spindrift.functions import text, vectors
 from spindrift.operators import announcements as ann
-from spindrift.operators import completeness, conversation, retrieval, similarity
+from spindrift.operators import completeness, conversation, postings, retrieval, similarity, vectorindex
 from spindrift.plans.views import NOW, view
+from spindrift.sources.sinks import shared
 
 QUERIES = ["the and of that", "and reer thor edtionnt", "thing with the on"]
 CONCEPTS = ["tion", "reer thor", "zzz"]
@@ -39,14 +42,26 @@ def scope_boost_rank(spark, sf_dir):
 COSINE = "list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_inner_product({a}::double[], {a}::double[])) * sqrt(list_inner_product({b}::double[], {b}::double[])))"
 
 
-def embedded(spark, sf_dir):
+def embedded(spark, sf_dir, name="d_windows"):
     """Chunks without texts, each with the vector that its document's number falls on, and the first vector, which asks."""
     e = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     first = e.orderBy("vec_id").first()
-    chunks = view(spark, sf_dir, "d_chunks").select("chunk_id", "document_id", "canonical_url", "unit", "is_current")
+    chunks = view(spark, sf_dir, name).select("chunk_id", "document_id", "canonical_url", "unit", "is_current")
     return chunks.join(e, F.pmod("document_id", F.lit(max(1, e.count()))) == F.col("vec_id")), vectors.literal(list(first.embedding) if first else [])
 
 
+def nearest_chunks(spark, sf_dir, asked: dict, scope=None):
+    """`retrieval.vector_lists` over all chunks: those of a document share its vector, url and unit, so documents are ranked
+    first, and only the chunks of those that can win are made."""
+    e = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = view(spark, sf_dir, "documents").selectExpr("doc_id * 1000000 as chunk_id", "doc_id as document_id", "concat('https://', source, '.example.org/d/', cast(doc_id as string)) as canonical_url", "source as unit", "doc_id % 7 <> 0 as is_current")
+    own = docs.join(e, F.pmod("document_id", F.lit(max(1, e.count()))) == F.col("vec_id"))
+    lists = retrieval.vector_lists(own, asked, scope)
+    won = lists.select("document_id", "list", "score")
+    texts = view(spark, sf_dir, "documents").join(F.broadcast(lists.select(F.col("document_id").alias("doc_id")).distinct()), "doc_id", "left_semi")  # at most LIST a list
+    return retrieval.best_of(view(spark, sf_dir, "d_windows", documents=texts).join(F.broadcast(won), "document_id"), scope)
+
+
 VECTOR_SQL = f"""
     select *, row_number() over (order by score desc, chunk_id) as rank
     from (select c.*, round({COSINE.format(a="e.embedding", b="(select embedding from embeddings order by vec_id limit 1)")}, 12) as score
@@ -56,8 +71,8 @@ VECTOR_SQL = f"""
 
 @query(f"select chunk_id, round(score, 9) as score, rank from ({VECTOR_SQL})")
 def vector_topk(spark, sf_dir):
-    chunks, asked = embedded(spark, sf_dir)
-    return retrieval.vector_lists(chunks, {0: asked}).select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    first = view(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()
+    return nearest_chunks(spark, sf_dir, {0: vectors.literal(list(first.embedding) if first else [])}).select("chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -73,10 +88,62 @@ def vector_queries(spark, sf_dir):
 
 
 def fused(spark, sf_dir, scope=None):
-    chunks = view(spark, sf_dir, "d_chunks")
-    with_vectors, asked = embedded(spark, sf_dir)
-    lists = retrieval.keyword_lists(chunks, QUERIES, scope).unionByName(retrieval.vector_lists(with_vectors, {len(QUERIES): asked}, scope))
-    return retrieval.fuse(lists, len(QUERIES) + 1, chunks, QUERIES, CONCEPTS, scope)
+    first = view(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()
+    asked = {len(QUERIES): vectors.literal(list(first.embedding) if first else [])}
+    lists = retrieval.keyword_lists(view(spark, sf_dir, "d_chunks"), QUERIES, scope).unionByName(nearest_chunks(spark, sf_dir, asked, scope))
+    lists = retrieval.held(lists, len(QUERIES) + 1)
+    own = lists.select(F.col("document_id").alias("doc_id")).distinct()
+    texts = view(spark, sf_dir, "documents").join(F.broadcast(own), "doc_id", "left_semi")
+    return retrieval.fuse(lists, len(QUERIES) + 1, view(spark, sf_dir, "d_chunks", documents=texts), QUERIES, CONCEPTS, scope)
+
+
+# The same lists from written indexes.
+
+#: Files by gram and blocks of rows, for tables as small as these.
+_BUCKETS, _BLOCKS = 16, 2
+
+
+def _index_path(spark, name: str) -> str:
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"select chunk_id, document_id, round(score, 9) as score, rank from ({keyword_sql(QUERIES[0])})")
+def keyword_index(spark, sf_dir):
+    """`keyword_topk` from an index of trigrams: only the files of the query's grams are read."""
+    chunks = view(spark, sf_dir, "d_chunks").where("is_current")
+    both = F.array(F.struct((F.col("chunk_id") * 2).alias("id"), F.col("content").alias("text")), F.struct((F.col("chunk_id") * 2 + 1).alias("id"), F.col("title").alias("text")))
+    path = _index_path(spark, "grams")
+    postings.build(chunks.select(F.inline(both)), path, _BUCKETS, _BLOCKS)
+    index = postings.load(spark, path)
+    least = postings.bound(index, QUERIES[0], 2 * retrieval.LIST, retrieval.LEAST_SIMILARITY, _BUCKETS)
+    found = postings.matches(index, QUERIES[0], least, _BUCKETS).groupBy(F.shiftright("id", 1).alias("chunk_id")).agg(F.max("likeness").alias("score"))
+    rows = found.select(F.lit(0).alias("list"), "score", "chunk_id", F.expr("chunk_id div 1000000").alias("document_id"))
+    return retrieval.best_of(rows).select("chunk_id", "document_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""
+    with e as (select vec_id, embedding from embeddings where len(embedding) = 64), a as (select vec_id as list, embedding as v from e where vec_id % 100 = 0)
+    select list, vec_id, score, rank from (select list, vec_id, round({COSINE.format(a="e.embedding", b="a.v")}, 9) as score, row_number() over (partition by list order by round({COSINE.format(a="e.embedding", b="a.v")}, 12) desc, vec_id) as rank from a, e) where rank <= 10"""
+)
+def vector_index_exact(spark, sf_dir):
+    """Every hundredth vector against all, from vectors by cell, all cells read."""
+    return _neighbours(spark, sf_dir, True)
+
+
+@query()
+def vector_index(spark, sf_dir):
+    """The same from the nearest cells only; tests measure the recall."""
+    return _neighbours(spark, sf_dir, False)
+
+
+def _neighbours(spark, sf_dir, every):
+    rows = view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cells, path = vectorindex.learned(rows, "vec_id"), _index_path(spark, "cells")
+    vectorindex.build(rows, cells, path)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("vector"))
+    found = vectorindex.search(spark, path, cells, asked, "vec_id", 10, every)
+    return found.select("list", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 KEY = r"regexp_replace(lower({x}), '\s+', '', 'g')"
@@ -218,35 +285,49 @@ def due_sources(spark, sf_dir):
 
 # Completeness
 
-_FACTS_PAGES = "(select concat('https://src', cast(page_id % 20 as string), '.example.org/d/', cast(page_id as string)) as canonical_url, page_type, last_success_s + 150000 as last_success_s, ingestion_status from d_pages)"
+_AGES = "count(*) filter (age <= {soft}) as fresh, count(*) filter (age > {soft} and age <= {hard}) as soft_stale, count(*) filter (age is null or age > {hard}) as hard_stale, count(*) filter (lease_expires_s > {now} or ingestion_lease_expires_s > {now}) as active_refresh"
+_ASKING = "concat('src', cast(doc_id % 20 as {text}))"
 
 
-def _fact_pages(spark, sf_dir):
-    return view(spark, sf_dir, "d_pages").selectExpr("concat('https://src', cast(page_id % 20 as string), '.example.org/d/', cast(page_id as string)) as canonical_url", "page_type", "last_success_s + 150000 as last_success_s", "ingestion_status")
+def _asked_docs(spark, sf_dir):
+    """Documents as evidence for a unit's question, some of several versions of a url."""
+    return view(spark, sf_dir, "d_docs").where("unit is not null").selectExpr(f"{_ASKING.format(text='string')} as asking", "case when doc_id % 8 = 1 then replace(canonical_url, cast(doc_id as string), cast(doc_id - 1 as string)) else canonical_url end as canonical_url", "doc_id", "is_current", "unit", f"{_ASKING.format(text='string')} as scope_unit")
 
 
 _DOC_FACTS = f"""
-    select unit, count(*) as documents, count(page_type) as with_page, count(*) filter (age <= 21600) as fresh, count(*) filter (age > 21600 and age <= 86400) as soft_stale,
-           count(*) filter (age is null or age > 86400) as hard_stale, count(*) filter (ingestion_status = 'pending') as pending, count(*) filter (ingestion_status = 'failed') as failed,
-           cast(count(*) = count(*) filter (page_type = 'unit_homepage') as integer) as homepage_only, cast(count(*) = count(*) filter (page_type = 'announcement_listing') as integer) as listing_only
-    from (select d.*, p.page_type, p.ingestion_status, {NOW} - p.last_success_s as age
-          from (select * from d_docs where is_current qualify row_number() over (partition by canonical_url order by doc_id) = 1) d left join {_FACTS_PAGES} p using (canonical_url))
-    group by unit"""
+    select asking, count(*) filter (one) as documents, count(*) filter (not is_current) as superseded, count(page_type) filter (one) as with_page, count(*) filter (one and unit = asking) as exact_scope,
+           case when count(*) filter (one) = count(*) filter (one and page_type = 'unit_homepage') then count(*) filter (one) else 0 end as homepage_only, case when count(*) filter (one) = count(*) filter (one and page_type = 'announcement_listing') then count(*) filter (one) else 0 end as listing_only,
+           {_AGES.format(soft=21600, hard=86400, now=NOW).replace("filter (", "filter (one and (").replace(") as", ")) as")},
+           count(*) filter (one and content_hash = ingestion_content_hash) as in_sync, count(*) filter (one and ingestion_status = 'pending') as pending, count(*) filter (one and ingestion_status in ('failed', 'partial')) as failed, count(*) filter (one and announcement_ingestion_status = 'incomplete') as incomplete
+    from (select d.*, p.* exclude (canonical_url), {NOW} - p.last_success_s as age, is_current and row_number() over (partition by asking, canonical_url, is_current order by doc_id) = 1 as one
+          from (select {_ASKING.format(text="varchar")} as asking, case when doc_id % 8 = 1 then replace(canonical_url, cast(doc_id as varchar), cast(doc_id - 1 as varchar)) else canonical_url end as canonical_url, doc_id, is_current, unit from d_docs where unit is not null) d left join d_known_pages p using (canonical_url))
+    group by asking"""
 
 
 @query(_DOC_FACTS)
 def doc_facts(spark, sf_dir):
-    return completeness.document_facts(view(spark, sf_dir, "d_docs"), _fact_pages(spark, sf_dir), NOW)
+    return completeness.document_facts(_asked_docs(spark, sf_dir), view(spark, sf_dir, "d_known_pages"), NOW, "asking")
 
 
-@query(
-    f"""
-    select a.*, s.*, round(coalesce(fresh_sources::double / nullif(sources, 0), 0), 9) as coverage
-    from (select count(*) as announcements, count(warning) as incomplete, count(distinct source) as sources_seen from d_announcements) a,
-         (select count(*) as sources, count(*) filter ({NOW} - last_success_s <= 5400) as fresh_sources, count(*) filter ({NOW} - last_success_s > 21600) as hard_stale_sources from d_sources) s"""
-)
+_ANN_FACTS = f"""
+    with r as (select concat('src', cast(a.id % 20 as varchar)) as asking, a.canonical_url, a.source, a.warning, a.last_crawled_s + 60000 as crawled_s, s.unit as s_unit, list_contains(s.canonical_urls, a.canonical_url) as listed, p.* exclude (canonical_url), p.canonical_url is not null as paged, {NOW} - (a.last_crawled_s + 40000 - a.id * 90) as age
+               from d_announcements a join d_snapshots s on s.name = a.source left join d_known_pages p using (canonical_url)),
+         n as (select asking, count(*) as documents, count(*) filter (s_unit = 'unit ' || asking) as exact_scope, {_AGES.format(soft=5400, hard=21600, now=NOW)},
+                      count(*) filter (coalesce(ingestion_status = 'pending', false) or coalesce(announcement_ingestion_status = 'pending', false)) as pending,
+                      count(*) filter (not (coalesce(ingestion_status = 'pending', false) or coalesce(announcement_ingestion_status = 'pending', false)) and (warning is not null or coalesce(ingestion_status in ('failed', 'partial'), false) or coalesce(announcement_ingestion_status in ('failed', 'partial'), false))) as failed,
+                      count(*) filter (announcement_ingestion_status = 'incomplete') as incomplete from r where listed group by asking),
+         a as (select asking, count(*) filter (paged and content_hash = ingestion_content_hash and ingestion_status in ('success', 'partial') and announcement_ingestion_status in ('success', 'incomplete', 'not_applicable')) as in_sync from r group by asking),
+         c as (select asking, count(*) as sources, count(*) filter ({NOW} - last_success_s <= 5400) as fresh_sources from (select unnest([name, 'src' || (cast(substr(name, 4) as integer) + 1) % 20]) as asking, last_success_s from d_snapshots) group by asking)
+    select a.asking, coalesce(n.documents, 0) as documents, coalesce(exact_scope, 0) as exact_scope, coalesce(fresh, 0) as fresh, coalesce(soft_stale, 0) as soft_stale, coalesce(hard_stale, 0) as hard_stale, coalesce(active_refresh, 0) as active_refresh, in_sync, coalesce(pending, 0) as pending, coalesce(failed, 0) as failed,
+           coalesce(incomplete, 0) as incomplete, coalesce(sources, 0) as sources, coalesce(fresh_sources, 0) as fresh_sources, round(coalesce(fresh_sources::double / nullif(sources, 0), 0), 9) as coverage
+    from a left join n using (asking) left join c using (asking)"""
+
+
+@query(_ANN_FACTS)
 def ann_facts(spark, sf_dir):
-    return completeness.announcement_facts(view(spark, sf_dir, "d_announcements"), view(spark, sf_dir, "d_sources"), NOW)
+    rows = view(spark, sf_dir, "d_announcements").selectExpr("concat('src', cast(id % 20 as string)) as asking", "canonical_url", "source", "concat('unit src', cast(id % 20 as string)) as scope_unit", "last_crawled_s + 40000 - id * 90 as last_crawled_s", "warning")
+    sources = view(spark, sf_dir, "d_snapshots").withColumn("keys", F.expr("array(name, concat('src', cast((cast(substring(name, 4) as int) + 1) % 20 as string)))"))
+    return completeness.announcement_facts(rows, sources, view(spark, sf_dir, "d_known_pages"), NOW, "asking")
 
 
 _EVIDENCE = "(select unit, doc_id * 37 % 101 / 50.0::double - 1 as score, text as content from d_docs)"
@@ -278,9 +359,10 @@ def _cases(ten: str, docs: str) -> str:
     return _CASES.format(docs=docs, **{k: ten.format(v) for k, v in (("ten", 10), ("twenty", 20), ("hundred", 100), ("two", 2))})
 
 
-@query(
-    f"""
-    with f as ({_cases("{}.0::double", "documents")}), t as (
+def _decided(facts: str, key: str) -> str:
+    """DuckDB SQL of the decision over facts."""
+    return f"""
+    with f as ({facts}), t as (
       select *, intent in ('topic', 'scoped_topic') as topic, intent not in ('topic', 'scoped_topic') as lst, intent = 'keyword_announcement' as kw,
              intent not in ('topic', 'scoped_topic') and evidence > 0 and documents > 0 as usable, coverage < 0.60 as low, margin >= 0.04 as lead from f
     ), r as (
@@ -296,16 +378,45 @@ def _cases(ten: str, docs: str) -> str:
         when strong >= 2 and fresh > 0 and (lead or strong > 1) then 'U fresh_strong_evidence' when not lead and kw and usable and fresh > 0 then 'R ambiguous_but_usable_announcement_evidence'
         when not lead then 'L insufficient_score_margin' when kw and usable and fresh > 0 then 'R sparse_but_usable_announcement_evidence' else 'L insufficient_result_count' end as d from t
     )
-    select doc_id, substr(d, 3) as reason, case when d[1] = 'L' and seconds_left < 2 then 'deadline_insufficient' end as "limit", greatest(0.0, least(1.0, top_score)) as confidence,
+    select {key}, substr(d, 3) as reason, case when d[1] = 'L' and seconds_left < 2 then 'deadline_insufficient' end as "limit", greatest(0.0, least(1.0, top_score)) as confidence,
            case substr(d, 1, 1) when 'U' then 'use_db' when 'R' then 'use_db_and_schedule_refresh' when 'W' then 'use_db_with_incomplete_warning'
              else case when seconds_left < 2 then 'use_db_with_incomplete_warning' else 'use_bounded_live_fallback' end end as action
     from r"""
-)
+
+
+@query(_decided(_cases("{}.0::double", "documents"), "doc_id"))
 def completeness_decision(spark, sf_dir):
     facts = spark.sql(_cases("{}D", "{documents}"), documents=view(spark, sf_dir, "documents"))
     return completeness.decision(facts).select("doc_id", "action", "reason", "limit", "confidence")
 
 
+_QUALITY = """(select asking, count(*) filter (score >= 0.58 and length(trim(content)) >= 160) as strong, greatest(0, max(score)) as top_score, round(greatest(0, max(score)) - coalesce(greatest(0, max(score) filter (n = 2)), 0), 9) as margin, count(*) as evidence
+    from (select *, row_number() over (partition by asking order by score desc) as n from (select concat('src', cast(doc_id % 20 as varchar)) as asking, doc_id * 37 % 101 / 50.0::double - 1 as score, text as content from d_docs)) group by asking)"""
+_SHARED = "documents, exact_scope, fresh, soft_stale, hard_stale, active_refresh, in_sync, pending, failed, incomplete"
+
+
+@query(
+    _decided(
+        f"""select a.*, q.* exclude (asking), true as ok, 10.0::double as seconds_left from (
+              select asking, unnest(['topic', 'scoped_topic']) as intent, {_SHARED}, homepage_only, listing_only, 0 as sources, case when documents > 0 then 1.0::double else 0.0::double end as coverage from ({_DOC_FACTS})
+              union all select asking, unnest(['announcement', 'keyword_announcement', 'latest']), {_SHARED}, 0, 0, sources, coverage from ({_ANN_FACTS})) a join {_QUALITY} q using (asking)""",
+        "asking, intent",
+    )
+)
+def answer_decisions(spark, sf_dir):
+    """What to do about a question of each kind to each unit, from facts over the stored rows."""
+    shared_cols = _SHARED.split(", ")
+    of = lambda kinds: F.explode(F.array(*map(F.lit, kinds))).alias("intent")
+    docs = doc_facts(spark, sf_dir)
+    a = docs.select("asking", of(completeness.TOPICS), *shared_cols, "homepage_only", "listing_only", F.lit(0).cast("long").alias("sources"), F.when(F.col("documents") > 0, 1.0).otherwise(0.0).alias("coverage"))
+    none = F.lit(0).cast("long")
+    b = ann_facts(spark, sf_dir).select("asking", of(completeness.LISTS), *shared_cols, none.alias("homepage_only"), none.alias("listing_only"), "sources", "coverage")
+    told = view(spark, sf_dir, "d_docs").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("asking"), (F.col("doc_id") * 37 % 101 / F.lit(50.0) - 1).alias("score"), F.col("text").alias("content"))
+    quality = completeness.evidence_quality(told, "asking").join(told.groupBy("asking").agg(F.count("*").alias("evidence")), "asking")
+    facts = a.unionByName(b).join(quality, "asking").withColumn("ok", F.lit(True)).withColumn("seconds_left", F.lit(10.0))
+    return completeness.decision(facts).select("asking", "intent", "action", "reason", "limit", "confidence")
+
+
 # Conversations
 
 _PERSONAL = r"(?i)(?:密碼|password|cookie|學號|成績|身分證|session\s*[:=]|token\s*[:=])|(?:^|[^\p{L}\p{N}_])[A-Z][12]\d{8}(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_])\d{8,10}(?:$|[^\p{L}\p{N}_])"

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from spindrift.catalog.registry import q, query, sim
 from spindrift.functions import text, urls
-from spindrift.operators import sitegraph
+from spindrift.operators import crawling, sitegraph
 from spindrift.plans.views import view
-from spindrift.sources import html
 
 # The rules of urls in DuckDB SQL, over a column url.
 U_AUTH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -114,35 +113,19 @@ def link_outcomes(spark, sf_dir):
     return sitegraph.link_outcomes(sitegraph.recorded_links(one.union(two), _ROOTS))
 
 
-@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
-def html_title(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query()
-def html_clean(spark, sf_dir):
-    return html.cleaned(view(spark, sf_dir, "pages"))
-
-
-@query()
-def html_links(spark, sf_dir):
-    return html.links(view(spark, sf_dir, "pages"))
-
-
-@query()
-def html_listing(spark, sf_dir):
-    return html.listing(view(spark, sf_dir, "pages"), "/[^/]+$")
-
-
 @query(
     """
     select source_page_id, target_page_id, coalesce(arg_min(anchor_text, position) filter (anchor_text <> ''), '') as anchor_text,
            coalesce(arg_min(link_type, position) filter (link_type <> 'unknown'), 'unknown') as link_type, max(seen_s) as last_seen_s
-    from (select source_page_id % 40 as source_page_id, target_page_id % 30 as target_page_id, anchor_text, link_type, position, seen_s from d_links) group by 1, 2"""
+    from (select source_page_id, target_page_id, anchor_text, link_type, position, seen_s from d_links
+          union all select source_page_id, target_page_id, 'again', 'content', position + 1000000000, seen_s + 7 from d_links where (source_page_id + target_page_id) % 3 = 0
+          union all select source_page_id, target_page_id, '', 'unknown', position - 1000000000, seen_s - 7 from d_links where target_page_id % 2 = 0) group by 1, 2"""
 )
 def link_merge(spark, sf_dir):
-    rows = view(spark, sf_dir, "d_links").withColumn("source_page_id", F.col("source_page_id") % 40).withColumn("target_page_id", F.col("target_page_id") % 30)
-    return sitegraph.merged_links(rows)
+    rows = view(spark, sf_dir, "d_links").select("source_page_id", "target_page_id", "anchor_text", "link_type", "position", "seen_s")
+    later = rows.where("(source_page_id + target_page_id) % 3 = 0").selectExpr("source_page_id", "target_page_id", "'again'", "'content'", "position + 1000000000", "seen_s + 7")
+    earlier = rows.where("target_page_id % 2 = 0").selectExpr("source_page_id", "target_page_id", "''", "'unknown'", "position - 1000000000", "seen_s - 7")
+    return sitegraph.merged_links(rows.union(later).union(earlier))
 
 
 def _rank_sql(c: str, table: dict) -> str:
@@ -188,18 +171,24 @@ def page_link_cap(spark, sf_dir):
     return sitegraph.per_page(links, 3).select("source_page_id", "position")
 
 
+_KNOWN = "(select * from d_pages where discovery_source <> 'internal_link')"
+
+
 @query(
-    """
-    with p as (select host, count(*) as pending from d_pages where crawl_status = 'pending' group by host),
-         a as (select l.position, d.host from d_links l join d_pages d on l.target_page_id = d.page_id),
-         h as (select a.position, host, coalesce(pending, 0) as pending, row_number() over (partition by host order by a.position) as n from a left join p using (host))
-    select position, host from h where n <= 8 - pending order by position limit greatest(0, 200 - (select sum(pending) from p))"""
+    f"""
+    with p as (select host, count(*) as pending from {_KNOWN} where is_active and is_indexable and crawl_status in ('discovered', 'queued', 'failed', 'fetching') group by host),
+         a as (select min(l.position) as position, d.host, d.is_indexable, d.discovery_source <> 'internal_link' as known from d_links l join d_pages d on l.target_page_id = d.page_id group by d.page_id, d.host, d.is_indexable, known),
+         h as (select a.position, host, coalesce(pending, 0) as pending, row_number() over (partition by host order by a.position) as n from a left join p using (host) where not known and is_indexable)
+    select position, host from a where known or not is_indexable
+    union all select position, host from (select position, host from h where n <= 8 - pending order by position limit greatest(0, 500 - coalesce((select sum(pending) from p), 0)))"""
 )
 def frontier_caps(spark, sf_dir):
     pages = view(spark, sf_dir, "d_pages")
-    arrivals = view(spark, sf_dir, "d_links").join(pages.select(F.col("page_id").alias("target_page_id"), "host"), "target_page_id").select("position", "host")
-    pending = pages.where("crawl_status = 'pending'").groupBy("host").agg(F.count("*").alias("pending"))
-    return sitegraph.frontier(arrivals, pending, 8, 200).select("position", "host")
+    known = pages.where("discovery_source <> 'internal_link'")
+    targets = pages.select(F.col("page_id").alias("target"), "host", "is_indexable", (F.col("discovery_source") != "internal_link").alias("known"))
+    arrivals = sitegraph.arrived(view(spark, sf_dir, "d_links").select(F.col("target_page_id").alias("target"), "position")).join(targets, "target")
+    pending = crawling.waiting(known).groupBy("host").agg(F.count("*").alias("pending"))
+    return sitegraph.frontier(arrivals, pending, 8, 500).select("position", "host")
 
 
 TERMS = sitegraph.weighted_terms("the thing and of", ["reer thor", "The  thing and of"], ["tion", "文件"])

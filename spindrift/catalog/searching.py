@@ -89,10 +89,17 @@ def best_first(spark, sf_dir):
 _LEX = "(page_id * 13 % 97) / 100.0::double"
 
 
-@query(f"select count(distinct url) as strong, count(distinct url) >= 5 as enough from d_pages where {_LEX} >= 0.25 and failure_count < 5 and unit in ('src3', 'src4', 'src8') and case page_type when 'unit_homepage' then false when 'announcement_listing' then true when 'official_document' then {_LEX} >= 0.45 else true end")
+@query(f"select count(distinct url) as strong, count(distinct url) >= 5 as enough from d_pages where {_LEX} >= 0.25 and failure_count < 5 and unit in ('src3', 'src4', 'src8') and case page_type when 'official_document' then {_LEX} >= 0.45 else true end")
 def candidate_sufficiency(spark, sf_dir):
     lexical = F.col("page_id") * 13 % 97 / F.lit(100.0)
-    rows = view(spark, sf_dir, "d_pages").where(search.strong(lexical, F.col("failure_count"), F.col("unit").isin("src3", "src4", "src8"), F.col("page_type"), {"announcement"}))
+    rows = view(spark, sf_dir, "d_pages").where(search.strong(lexical, F.col("failure_count"), F.col("unit").isin("src3", "src4", "src8"), F.col("page_type"), {"announcement"}, scoped=True))
+    return rows.agg(F.countDistinct("url").alias("strong")).withColumn("enough", F.col("strong") >= 5)
+
+
+@query(f"select count(distinct url) as strong, count(distinct url) >= 5 as enough from d_pages where {_LEX} >= 0.25 and failure_count < 5 and case page_type when 'unit_homepage' then page_id = 7 when 'announcement_listing' then false else true end")
+def unscoped_sufficiency(spark, sf_dir):
+    lexical = F.col("page_id") * 13 % 97 / F.lit(100.0)
+    rows = view(spark, sf_dir, "d_pages").where(search.strong(lexical, F.col("failure_count"), F.lit(True), F.col("page_type"), {"homepage", "document"}, scoped=False, root=F.col("page_id") == 7))
     return rows.agg(F.countDistinct("url").alias("strong")).withColumn("enough", F.col("strong") >= 5)
 
 

@@ -145,11 +145,26 @@ def term_count(text: Column, term: str) -> Column:
     return F.regexp_count(text, F.lit(re.escape(term)))
 
 
-def chunk_spans(length: Column, width: int, overlap: int) -> Column:
-    """(seq, begin, size) of windows of `width` characters that overlap, the last one ending with the text."""
+#: SQL of (seq, content) of the windows of a text, each a step of characters and the beginning of the next one: one walk
+#: cuts the text into blocks, so time is linear in its length. A null or empty text has one window.
+WINDOWS = """transform(array(regexp_extract_all(coalesce({text}, ''), '(?s).{{1,{step}}}', 0)), b -> transform(
+    sequence(0L, greatest(size(b) - 1L - if(size(b) > 1 and length(get(b, size(b) - 1)) <= {rest}, 1, 0), 0L)),
+    i -> named_struct('seq', i, 'content', if({text} is null, null, concat(coalesce(get(b, cast(i as int)), ''), substring(coalesce(get(b, cast(i + 1 as int)), ''), 1, {rest}))))))[0]"""
+
+
+def windows(text: Column, width: int, overlap: int) -> Column:
+    """[(seq, content)] of windows of `width` characters that overlap, the last one ending with the text; none of an empty one.
+
+    The text is cut once into blocks of a step, a window is some of them: linear in the text.
+    """
     step = width - overlap
+    more = -(-overlap // step)  # blocks behind a window's own that it reaches into
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    length = F.length(text)
     n = F.when(length <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((length - overlap) / step))).cast("int")
-    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("seq"), (i * step).alias("begin"), F.least(F.lit(width), length - i * step).cast("int").alias("size")))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cut = lambda b: F.transform(places, lambda i: F.struct(i.cast("long").alias("seq"), F.substring(F.array_join(F.slice(b, i + 1, F.lit(more + 1)), ""), 1, width).alias("content")))
+    return F.transform(F.array(blocks), cut)[0]
 
 
 #: Identifiers that are not shown, and the characters that end a url.

@@ -17,36 +17,84 @@ STRONG_SCORE, STRONG_CHARS = 0.58, 160
 TOPICS, LISTS = ("topic", "scoped_topic"), ("announcement", "keyword_announcement", "latest")
 
 
+def _counters(now: int, age: Column, soft: int, hard: int) -> list[Column]:
+    """Freshness of rows by age, and those under a live lease of crawl or ingestion."""
+    fresh = schedule.freshness(age, soft, hard)
+    live = lambda c: F.coalesce(F.col(c) > now, F.lit(False))
+    return [
+        F.count_if(fresh == "fresh").alias("fresh"),
+        F.count_if(fresh == "soft_stale").alias("soft_stale"),
+        F.count_if(fresh == "hard_stale").alias("hard_stale"),
+        F.count_if(live("lease_expires_s") | live("ingestion_lease_expires_s")).alias("active_refresh"),
+    ]
+
+
+#: Columns of pages that facts are made of.
+PAGE = ("canonical_url", "page_type", "last_success_s", "content_hash", "ingestion_content_hash", "ingestion_status", "announcement_ingestion_status", "lease_expires_s", "ingestion_lease_expires_s")
+#: Ingestion states of a failure, and of announcements whose lists are in step.
+FAILED, IN_STEP, LISTED = ("failed", "partial"), ("success", "partial"), ("success", "incomplete", "not_applicable")
+
+
 def document_facts(docs: DataFrame, pages: DataFrame, now: int, key: str = "unit") -> DataFrame:
-    """Per key the counters over the first current document of each url, joined to its page where there is one.
+    """Per key the counters over the first current document of each url, joined to its page where there is one; documents
+    that are not current are only counted as superseded.
 
-    docs: (canonical_url, doc_id, is_current, key), pages: (canonical_url, page_type, last_success_s, ingestion_status).
+    docs: (key, canonical_url, doc_id, is_current, unit, scope_unit), pages: `PAGE`, one row a url. A document without a
+    page is hard stale and nothing else; all current ones being homepages, or lists, counts them once more.
     """
-    first = Window.partitionBy("canonical_url").orderBy("doc_id")
-    one = docs.where("is_current").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    fresh = schedule.freshness(F.lit(now) - F.col("last_success_s"), DOC_SOFT, DOC_HARD)
-    rows = one.join(pages, "canonical_url", "left").withColumn("_fresh", fresh)
-    every = lambda kind: (F.count("*") == F.count_if(F.col("page_type") == kind)).cast("int")
-    return rows.groupBy(key).agg(
-        F.count("*").alias("documents"),
-        F.count("page_type").alias("with_page"),
-        F.count_if(F.col("_fresh") == "fresh").alias("fresh"),
-        F.count_if(F.col("_fresh") == "soft_stale").alias("soft_stale"),
-        F.count_if(F.col("_fresh") == "hard_stale").alias("hard_stale"),
-        F.count_if(F.col("ingestion_status") == "pending").alias("pending"),
-        F.count_if(F.col("ingestion_status") == "failed").alias("failed"),
-        every("unit_homepage").alias("homepage_only"),
-        every("announcement_listing").alias("listing_only"),
+    c = F.col
+    first = Window.partitionBy(key, "canonical_url").orderBy(F.desc("is_current"), "doc_id")
+    rows = docs.select(key, "canonical_url", "doc_id", c("is_current"), (c("unit") == c("scope_unit")).alias("_exact")).withColumn("_n", F.row_number().over(first))
+    rows = rows.join(pages.select(*PAGE), "canonical_url", "left")
+    one = c("is_current") & (c("_n") == 1)
+    of = lambda condition, name: F.count_if(one & condition).alias(name)
+    counted = rows.groupBy(key).agg(
+        F.count_if(one).alias("documents"),
+        F.count_if(~c("is_current")).alias("superseded"),
+        of(c("page_type").isNotNull(), "with_page"),
+        of(c("_exact"), "exact_scope"),
+        of(c("page_type") == "unit_homepage", "_home"),
+        of(c("page_type") == "announcement_listing", "_list"),
+        of((c("content_hash") != "") & (c("content_hash") == c("ingestion_content_hash")), "in_sync"),
+        of(c("ingestion_status") == "pending", "pending"),
+        of(c("ingestion_status").isin(*FAILED), "failed"),
+        of(c("announcement_ingestion_status") == "incomplete", "incomplete"),
     )
+    ages = rows.where(one).groupBy(key).agg(*_counters(now, F.lit(now) - c("last_success_s"), DOC_SOFT, DOC_HARD))
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    every = lambda n: F.when(c(n) == c("documents"), c(n)).otherwise(0).cast("long")
+    return counted.join(ages, key, "left").select(
+        key, "documents", "superseded", "with_page", "exact_scope", every("_home").alias("homepage_only"), every("_list").alias("listing_only"), *map(zero, ("fresh", "soft_stale", "hard_stale", "active_refresh")), "in_sync", "pending", "failed", "incomplete"
+    )
+
 
+def announcement_facts(rows: DataFrame, sources: DataFrame, pages: DataFrame, now: int, key: str = "unit") -> DataFrame:
+    """Per key the counters over announcements that the latest list of their source holds, each url once, and the share of
+    the key's sources that were crawled within the soft window.
 
-def announcement_facts(rows: DataFrame, sources: DataFrame, now: int) -> DataFrame:
-    """One row: announcements, incomplete ones, and the share of sources that were crawled within the soft window."""
-    a = rows.agg(F.count("*").alias("announcements"), F.count_if(F.col("warning").isNotNull()).alias("incomplete"), F.countDistinct("source").alias("sources_seen"))
-    age = F.lit(now) - F.col("last_success_s")
-    state = schedule.freshness(age, ANN_SOFT, ANN_HARD)
-    s = sources.agg(F.count("*").alias("sources"), F.count_if(state == "fresh").alias("fresh_sources"), F.count_if(state == "hard_stale").alias("hard_stale_sources"))
-    return a.join(s, F.lit(True)).withColumn("coverage", F.round(F.coalesce(F.try_divide(F.col("fresh_sources").cast("double"), F.col("sources").cast("double")), F.lit(0.0)), 9))
+    rows: (key, canonical_url, source, scope_unit, last_crawled_s, warning), sources: (name, unit, last_success_s,
+    canonical_urls, keys), keys being those whose coverage a source counts for. What a source no longer lists proves
+    nothing of the latest state; only `in_sync` counts it too. Lists are taken apart and met by name and url.
+    """
+    c = F.col
+    listed = sources.select(c("name").alias("source"), F.explode("canonical_urls").alias("canonical_url")).distinct().withColumn("_listed", F.lit(True))
+    known = rows.join(sources.select(c("name").alias("source"), c("unit").alias("_unit")), "source").join(listed, ["source", "canonical_url"], "left")
+    known = known.join(pages.select(*PAGE).drop("last_success_s").withColumn("_page", F.lit(True)), "canonical_url", "left")
+    step = c("_page") & c("content_hash").isNotNull() & (c("content_hash") == c("ingestion_content_hash")) & c("ingestion_status").isin(*IN_STEP) & c("announcement_ingestion_status").isin(*LISTED)
+    all_of = known.groupBy(key).agg(F.count_if(step).alias("in_sync"))
+    first = Window.partitionBy(key, "canonical_url").orderBy("source", "last_crawled_s")
+    one = known.where("_listed").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    a, b = c("ingestion_status"), c("announcement_ingestion_status")
+    true = lambda x: F.coalesce(x, F.lit(False))
+    pending = true(a == "pending") | true(b == "pending")
+    failed = ~pending & (c("warning").isNotNull() & (c("warning") != "") | true(a.isin(*FAILED)) | true(b.isin(*FAILED)))
+    now_of = one.groupBy(key).agg(
+        F.count("*").alias("documents"), F.count_if(c("_unit") == c("scope_unit")).alias("exact_scope"), F.count_if(pending).alias("pending"), F.count_if(failed).alias("failed"), F.count_if(true(b == "incomplete")).alias("incomplete"), *_counters(now, F.lit(now) - c("last_crawled_s"), ANN_SOFT, ANN_HARD)
+    )
+    covered = sources.select(F.explode("keys").alias(key), (F.lit(now) - c("last_success_s")).alias("_age")).groupBy(key).agg(F.count("*").alias("sources"), F.count_if(c("_age") <= ANN_SOFT).alias("fresh_sources"))
+    names = ["documents", "exact_scope", "fresh", "soft_stale", "hard_stale", "active_refresh", "in_sync", "pending", "failed", "incomplete", "sources", "fresh_sources"]
+    joined = all_of.join(now_of, key, "left").join(covered, key, "left").select(key, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+    return joined.withColumn("coverage", F.round(F.coalesce(F.try_divide(c("fresh_sources").cast("double"), c("sources").cast("double")), F.lit(0.0)), 9))
 
 
 def evidence_quality(evidence: DataFrame, key: str, strong: float = STRONG_SCORE, chars: int = STRONG_CHARS) -> DataFrame:

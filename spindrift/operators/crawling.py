@@ -14,16 +14,18 @@ def live(now: int):
 
 
 def due(pages: DataFrame, now: int, limit: int, depth: int = DEPTH, per_host: int = 1, active: int = 1) -> DataFrame:
-    """Pages to fetch now, hosts taking turns: of each host the best first, and none while it has `active` live leases.
+    """Pages to fetch now, hosts taking turns: of each host the best first, as many as it has room for.
 
-    Eligible, no resource, due at `now` (a page without a due time is not), without a live lease, within the depth.
+    Eligible, no resource, due at `now` (a page without a due time is not), without a live lease, within the depth. A
+    host has room for `per_host` pages, and for no more than `active` together with its active pages under a live lease.
     """
-    busy = pages.where(live(now)).groupBy("host").agg(F.count("*").alias("busy")).where(F.col("busy") >= active)
+    busy = pages.where(live(now) & F.col("is_active")).groupBy("host").agg(F.count("*").alias("_busy"))
     ready = eligible(pages).where((F.col("next_crawl_s") <= now) & ~live(now) & (F.col("minimum_depth") <= depth) & ~urls.is_resource(F.col("url")))
     order = [F.desc("crawl_priority"), F.asc_nulls_first("next_crawl_s"), F.asc("minimum_depth"), F.asc("failure_count"), F.asc("page_id")]
     turn = F.row_number().over(Window.partitionBy("host").orderBy(*order))
-    chosen = ready.join(busy, "host", "left_anti").withColumn("host_rank", turn).where(F.col("host_rank") <= per_host)
-    return chosen.orderBy("host_rank", *order).limit(limit)
+    room = F.least(F.lit(per_host), F.lit(active) - F.coalesce("_busy", F.lit(0)))
+    chosen = ready.join(busy, "host", "left").withColumn("_room", room).where("_room > 0").withColumn("host_rank", turn).where(F.col("host_rank") <= F.col("_room"))
+    return chosen.drop("_busy", "_room").orderBy("host_rank", *order).limit(limit)
 
 
 def claimed(pages: DataFrame, chosen: DataFrame, owner: str, now: int, seconds: int) -> DataFrame:
@@ -41,12 +43,12 @@ def claimed(pages: DataFrame, chosen: DataFrame, owner: str, now: int, seconds:
 
 
 def finished(pages: DataFrame, reports: DataFrame, now: int) -> DataFrame:
-    """(page_id, outcome): reports count only from the holder of a live lease, others lost it.
+    """(page_id, outcome): reports count only from who holds a live lease by owner and token, others lost it.
 
-    reports: (page_id, lease_owner, outcome).
+    reports: (page_id, lease_owner, lease_token, outcome).
     """
-    held = pages.select("page_id", F.col("lease_owner").alias("_owner"), live(now).alias("_live"))
-    fenced = (F.col("_owner") == F.col("lease_owner")) & F.col("_live")
+    held = pages.select("page_id", F.col("lease_owner").alias("_owner"), F.col("lease_token").alias("_token"), live(now).alias("_live"))
+    fenced = F.coalesce((F.col("_owner") == F.col("lease_owner")) & (F.col("_token") == F.col("lease_token")) & F.col("_live"), F.lit(False))
     return reports.join(held, "page_id", "left").select("page_id", F.when(fenced, F.col("outcome")).otherwise("lease_lost").alias("outcome"))
 
 
@@ -57,18 +59,30 @@ def scheduled(pages: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
     return pages.join(wanted, "page_id", "left").withColumn("next_crawl_s", at).drop("run_at_s")
 
 
+#: Statuses of pages that wait to be fetched, and ingestion states that want work.
+WAITING, UNDONE = ("discovered", "queued", "failed", "fetching"), ("pending", "failed")
+
+
 def status(pages: DataFrame, now: int) -> DataFrame:
-    """One row of counts over one scan."""
-    is_due = (F.col("next_crawl_s") <= now) & ~live(now) & F.col("is_active") & ~F.col("crawl_status").isin(*CLOSED)
+    """One row of counts over one scan.
+
+    Pending pages are those eligible without a live lease, due ones of these those whose time has come; the next time is
+    the earliest of any pending one, past or future.
+    """
+    c = F.col
+    open_to = c("is_active") & c("is_indexable") & ~c("crawl_status").isin(*CLOSED) & ~live(now)
+    hashed = c("content_hash").isNotNull()
+    undone = F.coalesce(c("ingestion_status").isin(*UNDONE), F.lit(False)) | F.coalesce(c("announcement_ingestion_status").isin(*UNDONE), F.lit(False))
     return pages.agg(
-        F.count_if(is_due).alias("due"),
-        F.count_if(F.col("crawl_status") == "pending").alias("pending"),
+        F.count_if(open_to & (c("next_crawl_s") <= now)).alias("due"),
+        F.count_if(open_to).alias("pending"),
         F.count_if(live(now)).alias("leased"),
-        F.count_if(F.col("crawl_status") == "failed").alias("failed"),
-        F.count_if(F.col("crawl_status") == "blocked").alias("blocked"),
-        F.count_if(F.col("ingestion_status") == "pending").alias("ingestion_pending"),
-        F.countDistinct(F.when(live(now), F.col("lease_owner"))).alias("workers"),
-        F.min(F.when(F.col("next_crawl_s") > now, F.col("next_crawl_s"))).alias("next_due_s"),
+        F.count_if(c("crawl_status") == "failed").alias("failed"),
+        F.count_if(c("crawl_status") == "blocked").alias("blocked"),
+        F.count_if(hashed & undone).alias("ingestion_pending"),
+        F.count_if(hashed & (c("announcement_ingestion_status") == "incomplete")).alias("ingestion_incomplete"),
+        F.countDistinct(F.when(live(now), c("lease_owner"))).alias("workers"),
+        F.min(F.when(open_to, c("next_crawl_s"))).alias("next_due_s"),
     )
 
 
@@ -88,9 +102,14 @@ def streaks(attempts: DataFrame) -> DataFrame:
     return rows.where("broken = 0").groupBy("page_id").agg(F.first("now").alias("changed"), F.count("*").alias("streak"))
 
 
+def waiting(pages: DataFrame) -> DataFrame:
+    """Eligible pages that wait to be fetched: these fill the frontier."""
+    return eligible(pages).where(F.col("crawl_status").isin(*WAITING))
+
+
 def host_pending(pages: DataFrame) -> DataFrame:
-    """Pending pages of each host and, with a null host, of all: one rollup."""
-    return pages.where("crawl_status = 'pending'").rollup("host").agg(F.count("*").alias("pending"))
+    """Waiting pages of each host and, with a null host, of all: one rollup."""
+    return waiting(pages).rollup("host").agg(F.count("*").alias("pending"))
 
 
 def _state(changed, outcome):

@@ -31,10 +31,9 @@ def versions(rows: DataFrame) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, seq, content) of windows over the normalised text."""
+    """(doc_id, seq, content) of windows over the normalised text, in time linear in it."""
     t = docs.select("doc_id", text.normalized(F.col("text")).alias("t"))
-    spans = t.select("doc_id", "t", F.explode(text.chunk_spans(F.length("t"), width, overlap)).alias("c"))
-    return spans.select("doc_id", F.col("c.seq").cast("long").alias("seq"), F.substr("t", (F.col("c.begin") + 1).cast("int"), F.col("c.size")).alias("content"))
+    return t.select("doc_id", F.inline(text.windows(F.col("t"), width, overlap)))
 
 
 _HEADING = re.compile(r"(?m)^#{1,6}\s+\S.*$")

@@ -45,6 +45,19 @@ def _top(scored: DataFrame, scope: Scope | None, limit: int) -> DataFrame:
     return placed.where(F.col("rank") <= limit).select("list", "chunk_id", "document_id", "score", "rank")
 
 
+def best_of(scored: DataFrame, scope: Scope | None = None, limit: int = LIST) -> DataFrame:
+    """Ranked lists of scored rows (list, score, chunk_id, document_id, canonical_url, unit)."""
+    return _top(scored, scope, limit)
+
+
+def held(lists: DataFrame, n: int, limit: int = LIST) -> DataFrame:
+    """`n` ranked lists of at most `limit` rows, read by the driver once, so that what follows does not make them again."""
+    rows = lists.collect()
+    if len(rows) > n * limit:
+        raise ValueError(f"{n} lists hold more than {limit} rows each")
+    return lists.sparkSession.createDataFrame(rows, lists.schema)
+
+
 def keyword_lists(chunks: DataFrame, queries: list[str], scope: Scope | None = None, limit: int = LIST) -> DataFrame:
     """(list, chunk_id, document_id, score, rank): current chunks by the better trigram likeness of content and title.
 

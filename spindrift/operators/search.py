@@ -29,9 +29,14 @@ def relevant(score: Column, scoped: Column, page_type: Column, items: Column) ->
     return (score >= LEAST_SCORE) | scoped & (page_type == "announcement_listing") & (items > 0)
 
 
-def strong(lexical: Column, failures: Column, in_scope: Column, page_type: Column, wants: set[str]) -> Column:
-    """Whether a candidate could answer: likely, not failing, in scope, and of a type that is asked for."""
-    fit = F.when(page_type == "unit_homepage", F.lit("homepage" in wants)).when(page_type == "announcement_listing", F.lit("announcement" in wants)).when(page_type == "official_document", F.lit("document" in wants) | (lexical >= STRONG_DOCUMENT)).otherwise(F.lit(True))
+def strong(lexical: Column, failures: Column, in_scope: Column, page_type: Column, wants: set[str], scoped: bool, root: Column | None = None) -> Column:
+    """Whether a candidate could answer: likely, not failing, in scope, and of a type that is asked for.
+
+    A question with a scope takes homepages and lists as well; without one a homepage must be the site's own (`root`)
+    and asked for.
+    """
+    home = F.lit(True) if scoped else (F.lit(False) if root is None else root) & F.lit("homepage" in wants)
+    fit = F.when(page_type == "unit_homepage", home).when(page_type == "announcement_listing", F.lit("announcement" in wants or scoped)).when(page_type == "official_document", F.lit("document" in wants) | (lexical >= STRONG_DOCUMENT)).otherwise(F.lit(True))
     return (lexical >= LEAST_LEXICAL) & (failures < FAILURES) & in_scope & fit
 
 

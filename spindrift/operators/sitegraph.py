@@ -99,17 +99,25 @@ def per_page(links: DataFrame, most: int = PER_PAGE) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n")
 
 
+def arrived(links: DataFrame) -> DataFrame:
+    """(target, position): each target once, where the first link to it stands; links: (target, position)."""
+    return links.groupBy("target").agg(F.min("position").alias("position"))
+
+
 def frontier(arrivals: DataFrame, pending: DataFrame, host_most: int = PER_HOST, most: int = IN_ALL) -> DataFrame:
-    """New targets that find room: within their host's, then all hosts' limit of pending pages, in order of arrival.
+    """Targets whose links are kept, in order of arrival.
 
-    arrivals: (position, host, ...), pending: (host, pending). Rows in excess of their host are gone before the total is
-    counted, which equals taking them one by one. What fits in all is a top-k by position; only the pending total is read.
+    arrivals: (position, host, known, is_indexable, ...), pending: (host, pending). Known targets and those that are no
+    pages to fetch pass and take no room. Others must find room within their host's, then all hosts' limit of pending
+    pages. Rows in excess of their host are gone before the total is counted, which equals taking them one by one. What
+    fits in all is a top-k by position; only the pending total is read.
     """
-    room = arrivals.join(pending, "host", "left").withColumn("_room", F.lit(host_most) - F.coalesce("pending", F.lit(0))).drop("pending")
+    passes = F.col("known") | ~F.col("is_indexable")
+    room = arrivals.where(~passes).join(pending, "host", "left").withColumn("_room", F.lit(host_most) - F.coalesce("pending", F.lit(0))).drop("pending")
     own = Window.partitionBy("host").orderBy("position")
     fits = room.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= F.col("_room")).drop("_n", "_room")
     left = most - (pending.agg(F.sum("pending")).first()[0] or 0)
-    return fits.orderBy("position").limit(max(0, left))
+    return arrivals.where(passes).unionByName(fits.orderBy("position").limit(max(0, left)))
 
 
 def eligible(pages: DataFrame) -> DataFrame:

@@ -19,6 +19,14 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 
 
+_OWN_SLASH = re.compile(r"=\s*+[^\s\"'>]*+$")
+
+
+def closes_itself(rest: str) -> bool:
+    """Whether a start tag ends with a slash that is not part of an attribute."""
+    return rest.endswith("/") and not _OWN_SLASH.search(rest[-200:])
+
+
 def attributes(text: str) -> dict[str, str]:
     """Attributes of a start tag by lower-case name; the first of a name counts, one without a value is empty."""
     out: dict[str, str] = {}
@@ -48,14 +56,12 @@ def events(html: str | None) -> Iterator[tuple[int, str, str]]:
                 return
             tag, rest, at = found[1].lower(), found[2], found.end()
             yield START, tag, rest
-            if tag in RAW and not rest.endswith("/"):
+            if tag in RAW and not closes_itself(rest):
                 close = _CLOSE[tag].search(html, at)
                 end = close.start() if close else len(html)
                 if end > at:
                     yield TEXT, unescape(html[at:end]) if tag in ESCAPED else html[at:end], ""
                 at = end
-            elif rest.endswith("/") and tag not in VOID and tag in ("svg", "path", "circle", "rect", "g", "use"):
-                yield END, tag, ""
         elif html.startswith("<!--", mark):
             end = html.find("-->", mark + 2 if html.startswith("<!-->", mark) else mark + 4)
             at = len(html) if end < 0 else end + 3
