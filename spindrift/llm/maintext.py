@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import shipped
-from spindrift.sources.markup import END, START, VOID, attributes, events
+from spindrift.sources.markup import END, START, VOID, attributes, closes_itself, events
 
 #: Fixed: elements that begin and end a block; elements without text of the page; elements around what is not the article.
 BLOCKS = frozenset(
@@ -122,7 +122,7 @@ def blocks(html: str | None) -> list[Block]:
             if silent:
                 continue
             if tag in SILENT:
-                silent = "" if rest.endswith("/") else tag
+                silent = "" if closes_itself(rest) else tag
             elif tag == "br":
                 parts.append(" ")
             elif tag in BLOCKS or tag == "hr":
