@@ -236,7 +236,18 @@ def ann_total(spark, sf_dir):
     return ann.matching(view(spark, sf_dir, "d_announcements"), "the", "unit src4").agg(F.count("*").alias("total"))
 
 
-@query()
+def _key(x: str) -> str:
+    return rf"lower(regexp_replace(coalesce({x}, ''), '\s+', '', 'g'))"
+
+
+@query(
+    f"""
+    with recursive f as (select id, rank, canonical_url as u, {_key("title")} || '|' || published_day || '|' || {_key("unit")} as t from ({_ann("published_day desc, last_crawled_s desc, id", cols="*")}) where rank <= 20),
+         k as (select 0::bigint as rank, cast(null as bigint) as id, false as stays, []::varchar[] as us, []::varchar[] as ts
+               union all select rank, id, ok, case when ok then list_append(us, u) else us end, case when ok then list_append(ts, t) else ts end
+               from (select f.*, k.us, k.ts, not (list_contains(k.us, f.u) or list_contains(k.ts, f.t)) as ok from k join f on f.rank = k.rank + 1))
+    select id, rank from k where stays order by rank limit 10"""
+)
 def ann_dedup(spark, sf_dir):
     return ann.without_repeats(_listed(spark, sf_dir, "newest"), 10).select("id", "rank")
 
@@ -422,14 +433,21 @@ def answer_decisions(spark, sf_dir):
 _PERSONAL = r"(?i)(?:密碼|password|cookie|學號|成績|身分證|session\s*[:=]|token\s*[:=])|(?:^|[^\p{L}\p{N}_])[A-Z][12]\d{8}(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_])\d{8,10}(?:$|[^\p{L}\p{N}_])"
 
 
+_EVENTS = """select conv_id, turn, case when turn % 4 = 2 then 'tool' else role end as role, case when turn % 4 = 2 then concat('["', cast(turn as {0}), '", "', coalesce(text, ''), '"]') when (conv_id + turn) % 6 = 0 then '' else text end as text from """
+
+
 @query(
     f"""
-    with r as (select conv_id, turn, role, case when regexp_matches(coalesce(text, ''), {q(_PERSONAL)}) then '[已隱去可能的個人或敏感資料]' else coalesce(text, '') end as content from conversations),
-         n as (select *, row_number() over w as n, coalesce(sum(length(content)) over (partition by conv_id order by turn desc, role rows between unbounded preceding and 1 preceding), 0) as before from r window w as (partition by conv_id order by turn desc, role))
-    select conv_id, turn, role, substr(content, 1, cast(3000 - before as bigint)) as content from n where n <= 12 and before < 3000"""
+    with e as ({_EVENTS.replace("{0}", "varchar")} conversations),
+         r as (select conv_id, turn, role, case when regexp_matches(coalesce(text, ''), {q(_PERSONAL)}) then '[已隱去可能的個人或敏感資料]' else coalesce(text, '') end as content from e where role in ('user', 'assistant')),
+         s as (select conv_id, substr('最近工具結果摘要：[' || string_agg(text, ', ' order by turn) || ']', 1, 500) as content from (select *, row_number() over (partition by conv_id order by turn desc, role) as n from e where role = 'tool') where n <= 2 group by conv_id),
+         n as (select *, row_number() over w as n, coalesce(sum(length(content)) over (partition by conv_id order by turn desc, role rows between unbounded preceding and 1 preceding), 0) as before from r where content <> '' window w as (partition by conv_id order by turn desc, role)),
+         l as (select n.*, 3000 - coalesce(length(s.content), 0) - before as room from n left join s using (conv_id) where n <= 12)
+    select conv_id, turn, role, substr(content, 1, cast(room as bigint)) as content from l where room > 0 union all select conv_id, null, 'developer', content from s"""
 )
 def context_window(spark, sf_dir):
-    return conversation.context(view(spark, sf_dir, "conversations"), chars=3000)
+    events = spark.sql(_EVENTS.replace("{0}", "string") + "{rows}", rows=view(spark, sf_dir, "conversations"))
+    return conversation.context(events, chars=3000, tool_chars=500)
 
 
 @query("select conv_id, max(turn) + 1 as next_turn from conversations group by conv_id")
@@ -460,7 +478,14 @@ def session_ttl(spark, sf_dir):
     return conversation.sessions(view(spark, sf_dir, "events"))
 
 
-@query()
+@query(
+    """
+    with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+         r as (select distinct user_id, 0::bigint as n, cast(null as bigint) as event_id, false as allowed, []::bigint[] as kept from e
+               union all select user_id, n, event_id, len(k) < 3, case when len(k) < 3 then list_append(k, us) else k end
+               from (select e.*, list_filter(r.kept, lambda x: x > e.us - 21600000000) as k from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+    select user_id, event_id, allowed from r where n > 0"""
+)
 def rate_limit(spark, sf_dir):
     return conversation.rate_limited(view(spark, sf_dir, "events"), 3, 6 * 3600)
 

@@ -45,9 +45,36 @@ def chunk_fixed(spark, sf_dir):
     return documents.fixed_chunks(view(spark, sf_dir, "documents")).select("doc_id", "seq", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query()
+_HEADED = "replace(text, '. The ', concat('.', chr(10), '## The '))"
+
+
+@query(
+    rf"""
+    with recursive t as (select doc_id, {normal(_HEADED)} as t from documents where text is not null),
+         l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from t),
+         s as (select doc_id, line, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as start from l),
+         h as (select t.doc_id, t.t, length(t.t) as n, heads from t left join (select doc_id, list(cast(start as bigint)) as heads from s where regexp_matches(line, '^#{{1,6}}\s+\S') group by doc_id) using (doc_id) where length(t.t) > 0),
+         c as (select doc_id, 0::bigint as begins, case when 700 < n then coalesce(list_max(list_filter(heads, lambda p: p >= 350 and p <= 700)), 700) else n end as ends from h
+               union all select doc_id, b, case when b + 700 < n then coalesce(list_max(list_filter(heads, lambda p: p >= b + 350 and p <= b + 700)), b + 700) else n end
+               from (select h.*, greatest(c.ends - 100, c.begins + 1) as b from c join h using (doc_id) where c.ends < h.n)),
+         w as (select doc_id, begins, ends, regexp_replace(substr(t, begins + 1, ends - begins), '^\s+|\s+$', '', 'g') as content from c join h using (doc_id))
+    select doc_id, row_number() over (partition by doc_id order by begins) - 1 as seq, md5(content) as content_md5, ends - begins as token_count, begins, ends from w where content <> ''"""
+)
 def chunk_headings(spark, sf_dir):
-    return documents.heading_chunks(view(spark, sf_dir, "documents"))
+    rows = view(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED.replace("chr(10)", "'\\n'")).alias("text"))
+    return documents.heading_chunks(rows).select("doc_id", "seq", F.md5(F.col("content").cast("binary")).alias("content_md5"), "token_count", "begins", "ends")
+
+
+@query(
+    rf"""
+    with t as (select doc_id, {normal("text")} as t from documents where text is not null), k as (select doc_id, t, regexp_extract_all(t, '\s*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])') as tokens from t where t <> ''),
+         c as (select doc_id, tokens, unnest(range(0, greatest(1, cast(ceil((len(tokens) - 20) / 80.0) as bigint)))) as seq from k where len(tokens) > 0)
+    select doc_id, seq, md5(regexp_replace(array_to_string(tokens[seq * 80 + 1 : seq * 80 + 100], ''), '^\s+|\s+$', '', 'g')) as content_md5, least(len(tokens), seq * 80 + 100) - seq * 80 as token_count from c"""
+)
+def chunk_tokens(spark, sf_dir):
+    """Windows of 100 tokens that share 20."""
+    rows = view(spark, sf_dir, "documents")
+    return documents.heading_chunks(rows, 100, 20, documents.token_offsets).select("doc_id", "seq", F.md5(F.col("content").cast("binary")).alias("content_md5"), "token_count")
 
 
 # What SQL without lookaround can say of the same rule.

@@ -202,12 +202,37 @@ def freshness(spark, sf_dir):
     return view(spark, sf_dir, "d_pages").groupBy(schedule.freshness(age, 21600, 86400).alias("freshness")).agg(F.count("*").alias("n"))
 
 
-@query("select count(*) as urls, count(*) filter (canonical_url in (select canonical_url from d_docs where is_current)) as known, case when count(*) > 220 then 'too_many' when count(*) = 0 then 'empty' when count(*) filter (canonical_url in (select canonical_url from d_docs where is_current)) < count(*) then 'unknown_urls' else 'accepted' end as result from (select distinct canonical_url from d_docs where unit = 'src5')")
+_WANTED = "(select distinct 'u' || page_id % 60 as request, canonical_url from (select page_id, url as canonical_url from d_pages union all select page_id + 1, url from d_pages where page_id % 4 = 0) where page_id % 60 <> 7)"
+_FINE = f"(select distinct url as canonical_url from d_pages where {_OPEN} and not coalesce(lease_expires_s > {NOW} + 50000, false) and not regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '(?i)\\.(7z|avi|css|csv|docx?|gif|gz|ico|jpe?g|js|mov|mp3|mp4|odt|pdf|png|pptx?|rar|svg|tar|tiff?|txt|webp|xlsx?|xml|zip)$'))"
+_NAMED = "(select distinct 'u' || first_doc * 7 % 60 as request, name from d_sources)"
+
+
+@query(
+    f"""
+    with q as (select 'u' || r as request from range(60) t(r)),
+         w as (select request, count(*) as urls, count(f.canonical_url) as pages from {_WANTED} w left join {_FINE} f using (canonical_url) group by request),
+         n as (select request, count(*) as names, count(*) filter (name not in ('src3', 'src8')) as sources from {_NAMED} group by request),
+         t as (select q.request, coalesce(urls, 0) as urls, coalesce(pages, 0) as pages, coalesce(names, 0) as names, coalesce(sources, 0) as sources from q left join w using (request) left join n using (request))
+    select request, urls + names > 0 as requested, urls + names = 0 or (urls + names <= 6 and pages = urls and sources = names) as accepted, urls + names as targets, case when urls + names > 6 then 0 else pages + sources end as scheduled,
+           case when urls + names = 0 then 'stale' when urls + names > 6 then 'refresh_target_limit_exceeded' when pages < urls then 'page_schedule_incomplete' when sources < names then 'source_schedule_incomplete' else 'stale' end as reason from t"""
+)
 def refresh_acceptance(spark, sf_dir):
-    docs = view(spark, sf_dir, "d_docs")
-    return crawling.accepted(docs.where("unit = 'src5'"), docs.where("is_current"))
+    pages = view(spark, sf_dir, "d_pages").withColumn("canonical_url", F.col("url")).withColumn("ingestion_lease_expires_s", F.col("lease_expires_s") - 50_000)
+    wanted = pages.select("page_id", "canonical_url").union(pages.where("page_id % 4 = 0").select(F.col("page_id") + 1, "canonical_url")).where("page_id % 60 <> 7").selectExpr("concat('u', page_id % 60) as request", "canonical_url")
+    sources = view(spark, sf_dir, "d_sources")
+    requests = spark.range(60).selectExpr("concat('u', id) as request", "'stale' as reason")
+    return crawling.accepted(requests, wanted, sources.selectExpr("concat('u', first_doc * 7 % 60) as request", "name"), pages, sources.where("name not in ('src3', 'src8')"), NOW, 6)
 
 
-@query("select page_id, count(*) as attempts, count(*) filter (outcome <> 'failed_transient') as successes, count(*) filter (content_changed) as changes, count(*) filter (outcome = 'failed_transient') as failures from d_attempts group by page_id")
+_OUTCOME = "case outcome when 'failed_transient' then case when attempt_id % 3 = 0 then 'blocked' when attempt_id % 3 = 1 then 'lease_lost' else 'failed' end when 'not_modified' then 'lease_not_acquired' when 'success_changed' then 'changed' else case when attempt_id % 5 = 0 then 'skipped' else 'unchanged' end end"
+
+
+@query(
+    f"""
+    with r as (select page_id, {_OUTCOME} as o from d_attempts), s as (select page_id, count(*) filter (o in ('failed', 'blocked', 'lease_lost')) as failed, count(*) filter (o = 'changed') as changed, count(*) filter (o in ('unchanged', 'lease_not_acquired')) as unchanged from r group by page_id)
+    select count(*) as sources_attempted, count(*) filter (failed = 0) as sources_succeeded, count(*) filter (failed > 0) as sources_failed, cast(sum(changed) as bigint) as changed, cast(sum(unchanged) as bigint) as unchanged, cast(sum(failed) as bigint) as failed,
+           case when count(*) filter (failed > 0) > 0 then 'failed' else 'completed' end as status from s"""
+)
 def attempt_report(spark, sf_dir):
-    return crawling.report(view(spark, sf_dir, "d_attempts"))
+    rows = view(spark, sf_dir, "d_attempts").selectExpr("page_id as source", f"{_OUTCOME} as outcome").groupBy("source", "outcome").agg(F.count("*").alias("n"))
+    return crawling.report(rows)

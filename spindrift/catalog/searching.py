@@ -6,43 +6,92 @@ from pyspark.sql import functions as F
 
 from spindrift.catalog.registry import normal, q, query
 from spindrift.functions import text
-from spindrift.operators import announcements, documents, ingestion, resolution, search, sitegraph, sources
+from spindrift.operators import announcements, documents, ingestion, names, resolution, search, sitegraph, sources
 from spindrift.plans.views import NOW, view
 
 DIRECTORY = [("the", "unit the"), ("thethe", "unit double"), ("tion", "unit tion"), ("tion and", "unit joint"), ("that", "unit that"), ("reer", "unit reer"), ("er th", "unit reer")]
 SCOPED = {"unit the", "unit joint"}
 _PATTERN = q(resolution.pattern([a for a, _ in DIRECTORY]))
 _KNOWN = "(values " + ", ".join(f"({q(a)}, {q(u)})" for a, u in DIRECTORY) + ") k(alias, unit)"
-_MENTIONS = f"(select doc_id, unnest(list_distinct(regexp_extract_all(title, {_PATTERN}))) as alias from d_docs)"
+_MENTIONS = f"(select doc_id, unnest(list_distinct(regexp_extract_all(text, {_PATTERN}))) as alias from d_docs)"
 
 
 @query(f"select doc_id, unit, min(alias) as alias from {_MENTIONS} join {_KNOWN} using (alias) group by all")
 def alias_mentions(spark, sf_dir):
-    return resolution.units(view(spark, sf_dir, "d_docs"), "doc_id", "title", DIRECTORY)
+    return resolution.units(view(spark, sf_dir, "d_docs"), "doc_id", "text", DIRECTORY)
 
 
 @query(
     f"""
     with u as (select doc_id, count(distinct unit) as n, min(unit) as unit from {_MENTIONS} join {_KNOWN} using (alias) group by doc_id)
     select d.doc_id, case when n > 1 then 'ambiguous' when n = 1 then case when u.unit in ('unit the', 'unit joint') then 'scoped' else 'unverified' end
-             when regexp_matches(title, '(?i)[a-zA-Z0-9_]+ing') then 'unknown' else 'none' end as status, case when n = 1 then u.unit end as unit
+             when regexp_matches(text, '(?i)[a-zA-Z0-9_]+ing') then 'unknown' else 'none' end as status, case when n = 1 then u.unit end as unit
     from d_docs d left join u on d.doc_id = u.doc_id"""
 )
 def unit_resolution(spark, sf_dir):
-    return resolution.resolution(view(spark, sf_dir, "d_docs"), "doc_id", "title", DIRECTORY, SCOPED, "ing")
+    return resolution.resolution(view(spark, sf_dir, "d_docs"), "doc_id", "text", DIRECTORY, SCOPED, "ing")
 
 
-@query()
+_ANY = "(select string_agg(alias, '|' order by length(alias) desc, alias) as p from d_names)"
+
+
+@query(f"select doc_id, alias, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, p)) as alias from documents, {_ANY}) group by all")
+def unit_mentions(spark, sf_dir):
+    """How often whole texts name the units of a registry, by one automaton."""
+    own = names.names_of(view(spark, sf_dir, "d_names"))
+    found = names.mentions(view(spark, sf_dir, "documents").select("doc_id", "text"), "text", own).select("doc_id", F.explode("mentions").alias("m"))
+    return found.groupBy("doc_id", "m.alias").agg(F.count("*").alias("n"))
+
+
+@query(
+    rf"""
+    with m as (select doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(' || p || ')', '⟦\1⟧', 'g') as t from documents, {_ANY}), d as (select list('⟦' || alias || '⟧|' || unit) as d from d_names)
+    select doc_id, md5(list_reduce(list_prepend(t, d), lambda x, y: replace(x, split_part(y, '|', 1), split_part(y, '|', 2)))) as text_md5 from m, d"""
+)
 def alias_normalize(spark, sf_dir):
-    return view(spark, sf_dir, "d_docs").select("doc_id", resolution.normalized(F.col("title"), DIRECTORY).alias("title"))
+    """Whole texts with each name replaced by its unit."""
+    return names.normalized(view(spark, sf_dir, "documents").select("doc_id", "text"), "text", view(spark, sf_dir, "d_names")).select("doc_id", F.md5(F.col("normal").cast("binary")).alias("text_md5"))
 
 
-@query(f"select unit, list_sort(list(distinct alias))::varchar as aliases from {_KNOWN} group by unit")
+@query("select unit, list_sort(list(distinct alias))::varchar as aliases from (select unit, alias from d_names union all select unit, lower(alias) from d_names) group by unit")
 def alias_groups(spark, sf_dir):
-    out = resolution.aliases_by_unit(spark.createDataFrame(DIRECTORY, "alias string, unit string"))
+    table = view(spark, sf_dir, "d_names")
+    out = resolution.aliases_by_unit(table.select("unit", "alias").union(table.select("unit", F.lower("alias"))))
     return out.select("unit", F.concat(F.lit("["), F.array_join("aliases", ", "), F.lit("]")).alias("aliases"))
 
 
+# Questions about units, one for each document, of all kinds; the registry comes from the table's sources.
+
+_UNIT = "case doc_id % 12 when 0 then source when 3 then '' when 4 then '外星系' when 7 then source when 10 then source when 11 then 'nowhere' end"
+_ASKED = """case doc_id % 12 when 1 then concat('請問', source, '的公告') when 2 then concat(source, ' 和 src3 的公告') when 3 then '今天天氣' when 5 then '外星學系最新公告' when 6 then ' 外星學系在哪' when 7 then '月球中心的消息' when 8 then concat(source, '學系公告') when 9 then '校內獎學金' when 10 then '獎學金說明' end"""
+
+
+def _directory(spark, sf_dir):
+    own = view(spark, sf_dir, "documents").where("source is not null").selectExpr("source as unit", "cast(substring(source, 4) as int) as n").distinct()
+    lists = own.where("n not in (5, 15)").selectExpr("concat('list-', unit) as name", "unit", "n % 4 <> 0 as enabled").union(own.where("n = 7").selectExpr("concat('extra-', unit)", "unit", "true"))
+    units = own.where("n % 2 = 0").selectExpr("unit", "n % 10 <> 8 as enabled", "case n % 6 when 0 then 'listing' when 2 then 'scoped' else 'unsupported' end as strategy", "concat('list-', unit) as source_name")
+    routes = spark.createDataFrame([("校內獎學金", "list-src1"), ("獎學金說明", "list-src2")], "alias string, source string")
+    return names.Directory(own.select(F.col("unit").alias("alias"), "unit"), lists, units, routes)
+
+
+@query(
+    """
+    with d as (select doc_id, source, doc_id % 12 as k, cast(substr(source, 4) as integer) as n from documents where source is not null),
+         b as (select *, case when n % 2 = 0 then case when n % 10 = 8 or n % 6 = 4 then 'known_unit_without_verified_site' when n % 6 = 2 then 'known_unit_with_scoped_search' when n % 4 <> 0 then 'known_unit_with_listing' else 'known_unit_without_verified_site' end
+                              when n in (5, 15) then 'known_unit_without_verified_site' when n = 7 then 'ambiguous' else 'known_unit_with_listing' end as own from d),
+         s as (select *, case when k in (0, 1) then own when k = 2 then case when source = 'src3' then own else 'ambiguous' end when k in (3, 6) then 'none' when k in (4, 5, 8, 11) then 'unknown' when k = 7 then 'ambiguous' when k = 9 then 'known_unit_with_listing' else case when source = 'src2' then 'known_unit_with_listing' else 'ambiguous' end end as status from b)
+    select doc_id, status, case k when 0 then source when 1 then '請問' || source || '的公告' when 2 then source || ' 和 src3 的公告' when 3 then '今天天氣' when 4 then '外星系' when 5 then '外星學系' when 6 then '外星學系在哪' when 7 then source when 8 then source || '學系' when 9 then '校內獎學金' when 10 then source else 'nowhere' end as requested,
+           case when k in (0, 1, 2) and status <> 'ambiguous' then source when k = 9 then 'src1' when k = 10 and status <> 'ambiguous' then 'src2' end as unit,
+           case when status <> 'ambiguous' then '' when k in (0, 1) then source when k = 2 then array_to_string(list_sort([source, 'src3']), ',') when k = 7 then source || ',月球中心' else array_to_string(list_sort([source, 'src2']), ',') end as candidates,
+           case when status <> 'known_unit_with_listing' then null when k = 9 then 'list-src1' when k = 10 then 'list-src2' else 'list-' || source end as source
+    from s"""
+)
+def unit_resolved(spark, sf_dir):
+    """What each question is about: status, requested unit, candidates and source."""
+    asked = view(spark, sf_dir, "documents").where("source is not null").selectExpr("doc_id", f"{_UNIT} as unit", f"{_ASKED} as query")
+    return names.resolved(asked, "doc_id", "unit", "query", _directory(spark, sf_dir)).select("doc_id", "status", "requested", "unit", F.array_join("candidates", ",").alias("candidates"), "source")
+
+
 _KINDS = {"announcement": ["tion"], "document": ["reer", "thor"], "homepage": ["home", "is"]}
 
 
@@ -299,6 +348,6 @@ def hash_embedding(spark, sf_dir):
     return view(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(v[0], 9).alias("first"), F.round(v[31], 9).alias("last"))
 
 
-@query(f"select unit, alias from {_KNOWN} union select unit, substr(unit, 1, length(unit) - 2) || 'xx' from {_KNOWN} where ends_with(unit, 'er') union select unit, substr(unit, 1, length(unit) - 3) from {_KNOWN} where ends_with(unit, 'ion')")
+@query("select alias as unit, alias from d_names union select alias, substr(alias, 1, length(alias) - 2) || 'xx' from d_names where ends_with(alias, 'er') union select alias, substr(alias, 1, length(alias) - 3) from d_names where ends_with(alias, 'ion')")
 def derived_aliases(spark, sf_dir):
-    return resolution.derived(spark.createDataFrame(DIRECTORY, "alias string, unit string"), {"er": "xx", "ion": ""})
+    return resolution.derived(view(spark, sf_dir, "d_names").select("alias", F.col("alias").alias("unit")), {"er": "xx", "ion": ""})

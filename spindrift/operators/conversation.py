@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text
 
-MESSAGES, CHARS = 12, 16_000
+#: Fixed: messages and characters of a context, tool events and their characters, and what stands before these.
+MESSAGES, CHARS, TOOLS, TOOL_CHARS = 12, 16_000, 2, 8_000
+SUMMARY = "最近工具結果摘要："
 LIFETIME_S = 24 * 3600
 
 
-def context(events: DataFrame, messages: int = MESSAGES, chars: int = CHARS) -> DataFrame:
-    """Of each conversation the latest messages that fit a budget of characters, the oldest of them cut to what is left.
+def context(events: DataFrame, messages: int = MESSAGES, chars: int = CHARS, tools: int = TOOLS, tool_chars: int = TOOL_CHARS) -> DataFrame:
+    """(conv_id, turn, role, content): what of each conversation is shown to whom answers next.
 
-    events: (conv_id, turn, role, text). Personal data are redacted first.
+    events: (conv_id, turn, role, text), role one of user, assistant and tool, whose text is JSON; others are left out. The
+    latest `tools` tool events come first, as one row of role developer (turn null) with at most `tool_chars` characters.
+    Then the latest messages that are not empty, as many as fit what is left of `chars`, the oldest of them cut to that.
+    Personal data of messages are redacted first.
     """
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role")
-    rows = events.withColumn("content", text.redacted(F.coalesce("text", F.lit(""))))
+    told = events.where("role = 'tool'").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= tools).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("{}")).alias("text")))).alias("t"))
+    summary = F.substring(F.concat(F.lit(SUMMARY), F.lit("["), F.array_join(F.transform("t", lambda x: x["text"]), ", "), F.lit("]")), 1, tool_chars)
+    told = told.select("conv_id", summary.alias("content"))
+    rows = events.where("role in ('user', 'assistant')").withColumn("content", text.redacted(F.coalesce("text", F.lit("")))).where("content <> ''")
     rows = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= messages)
     before = F.coalesce(F.sum(F.length("content")).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = rows.withColumn("_left", (F.lit(chars) - before).cast("int")).where("_left > 0")
-    return left.select("conv_id", "turn", "role", F.substr("content", F.lit(1), F.col("_left")).alias("content"))
+    rows = rows.withColumn("_before", before).join(told.select("conv_id", F.length("content").alias("_used")), "conv_id", "left")
+    left = rows.withColumn("_left", (F.lit(chars) - F.coalesce("_used", F.lit(0)) - F.col("_before")).cast("int")).where("_left > 0")
+    shown = left.select("conv_id", "turn", "role", F.substr("content", F.lit(1), F.col("_left")).alias("content"))
+    return shown.unionByName(told.select("conv_id", F.lit(None).cast(events.schema["turn"].dataType).alias("turn"), F.lit("developer").alias("role"), "content"))
 
 
 def next_sequence(events: DataFrame) -> DataFrame:

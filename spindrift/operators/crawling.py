@@ -139,20 +139,47 @@ def monotone_watermark(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("page_id").agg(F.max("started_at").alias("watermark"), last.alias("last")).select("page_id", "watermark", F.col("last.outcome").alias("outcome"))
 
 
-def accepted(wanted: DataFrame, known: DataFrame, most: int = 220) -> DataFrame:
-    """One row: whether a list of urls to refresh is taken as a whole, or why none of it is."""
-    total = wanted.select("canonical_url").distinct()
-    counts = total.join(known.select("canonical_url", F.lit(1).alias("_k")).distinct(), "canonical_url", "left").agg(F.count("*").alias("urls"), F.count("_k").alias("known"))
-    reason = F.when(F.col("urls") == 0, "empty").when(F.col("urls") > most, "too_many").when(F.col("known") < F.col("urls"), "unknown_urls").otherwise("accepted")
-    return counts.withColumn("result", reason)
-
-
-def report(attempts: DataFrame) -> DataFrame:
-    """Per page attempts, successes, changes and failures in one pass."""
-    kind = F.col("outcome")
-    return attempts.groupBy("page_id").agg(
-        F.count("*").alias("attempts"),
-        F.count_if(F.startswith(kind, F.lit("success")) | (kind == "not_modified")).alias("successes"),
-        F.count_if(F.col("content_changed")).alias("changes"),
-        F.count_if(F.startswith(kind, F.lit("failed"))).alias("failures"),
-    )
+#: Fixed: targets that one request may name, and why none or not all of them were scheduled.
+TARGETS = 220
+TOO_MANY, PAGES_SHORT, SOURCES_SHORT = "refresh_target_limit_exceeded", "page_schedule_incomplete", "source_schedule_incomplete"
+
+
+def schedulable(pages: DataFrame, now: int) -> DataFrame:
+    """Pages that may be made due: eligible, no resource, under no live lease of crawl or ingestion."""
+    working = F.coalesce(F.col("ingestion_lease_expires_s") > now, F.lit(False))
+    return eligible(pages).where(~live(now) & ~working & ~urls.is_resource(F.col("url")))
+
+
+def accepted(requests: DataFrame, wanted: DataFrame, wanted_sources: DataFrame, pages: DataFrame, sources: DataFrame, now: int, most: int = TARGETS) -> DataFrame:
+    """(request, requested, accepted, targets, scheduled, reason): whether each request is taken as a whole.
+
+    requests: (request, reason), wanted: (request, canonical_url), wanted_sources: (request, name). A request without
+    targets asks for nothing; one with too many, or with a page or a source that cannot be scheduled, is not accepted.
+    sources: (name), those that may be made due.
+    """
+    count = lambda rows, key, name: rows.groupBy("request").agg(F.count("*").alias(name))
+    one, named = wanted.select("request", "canonical_url").distinct(), wanted_sources.select("request", "name").distinct()
+    fine = schedulable(pages, now).select("canonical_url").distinct()
+    parts = [count(one, "canonical_url", "_urls"), count(one.join(fine, "canonical_url"), "canonical_url", "_pages"), count(named, "name", "_names"), count(named.join(sources.select("name").distinct(), "name"), "name", "_sources")]
+    out = requests.select("request", "reason")
+    for part in parts:
+        out = out.join(part, "request", "left")
+    c = {n: F.coalesce(n, F.lit(0)) for n in ("_urls", "_pages", "_names", "_sources")}
+    total, done = c["_urls"] + c["_names"], c["_pages"] + c["_sources"]
+    short = F.when(total > most, TOO_MANY).when(c["_pages"] < c["_urls"], PAGES_SHORT).when(c["_sources"] < c["_names"], SOURCES_SHORT)
+    return out.select("request", (total > 0).alias("requested"), ((total == 0) | short.isNull()).alias("accepted"), total.alias("targets"), F.when(total > most, F.lit(0).cast("long")).otherwise(done).alias("scheduled"), F.when(total == 0, F.col("reason")).otherwise(F.coalesce(short, F.col("reason"))).alias("reason"))
+
+
+#: Which counter of a report an outcome belongs to.
+COUNTED = {"changed": ("changed",), "unchanged": ("unchanged", "lease_not_acquired"), "failed": ("failed", "blocked", "binary", "unsupported", "lease_lost", "ingestion_failed")}
+
+
+def report(results: DataFrame) -> DataFrame:
+    """One row of a run: sources attempted, succeeded and failed, and pages changed, unchanged and failed.
+
+    results: (source, outcome, n) as a run counted them; a source succeeded if it has no page that failed. Other outcomes,
+    such as skipped, count for no page.
+    """
+    own = results.groupBy("source").agg(*[F.coalesce(F.sum(F.when(F.col("outcome").isin(*names), F.col("n"))), F.lit(0)).alias(k) for k, names in COUNTED.items()])
+    total = own.agg(F.count("*").alias("sources_attempted"), F.count_if(F.col("failed") == 0).alias("sources_succeeded"), F.count_if(F.col("failed") > 0).alias("sources_failed"), *[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in COUNTED])
+    return total.withColumn("status", F.when(F.col("sources_failed") > 0, "failed").otherwise("completed"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text
+from spindrift.shipping import ship
 
 CHUNK, OVERLAP = 700, 100
 
@@ -39,31 +41,56 @@ def fixed_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP) ->
 _HEADING = re.compile(r"(?m)^#{1,6}\s+\S.*$")
 
 
-def heading_cuts(t: str, width: int, overlap: int) -> list[str]:
-    """Windows that end before the last heading of their second half where there is one."""
-    out, at, starts = [], 0, [m.start() for m in _HEADING.finditer(t)]
-    while at < len(t):
-        end = min(len(t), at + width)
-        if end < len(t):
-            marks = [p for p in starts if at + width // 2 <= p <= end]
-            if marks:
-                end = marks[-1]
-        out.append(t[at:end].strip())
-        if end >= len(t):
+#: A token of a text: a word or another sign, with the white space before it.
+_TOKEN = re.compile(r"\s*(?:\w+|[^\w\s])")
+
+
+def token_offsets(t: str) -> list[int]:
+    """Where the tokens of a text begin, and its end: what stands between two of them is one token."""
+    found = [m.start() for m in _TOKEN.finditer(t)]
+    return [*found, len(t)] if found else [0, len(t)]
+
+
+def heading_cuts(t: str, width: int, overlap: int, offsets=None) -> list[tuple[str, int, int]]:
+    """(content, begin, end) of windows of so many characters, or tokens where `offsets` says where these begin, that end
+    before the last heading of their second half where there is one; ends are exclusive.
+
+    A text is read once: windows are slices, headings are found by halving. Windows of white space alone are left out.
+    """
+    at_char = None if offsets is None else offsets(t)
+    n = len(t) if at_char is None else len(at_char) - 1
+    heads = [m.start() for m in _HEADING.finditer(t)]
+    if at_char is not None:
+        heads = [bisect_left(at_char, h) for h in heads]
+    out, at = [], 0
+    while at < n and t:
+        end = min(n, at + width)
+        if end < n:
+            last = bisect_right(heads, end) - 1
+            if last >= 0 and heads[last] >= at + width // 2:
+                end = heads[last]
+        content = (t[at:end] if at_char is None else t[at_char[at] : at_char[end]]).strip()
+        if content:
+            out.append((content, at, end))
+        if end >= n:
             break
         at = max(end - overlap, at + 1)
-    return [c for c in out if c]
+    return out
 
 
-def heading_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, seq, content) of windows cut at headings: each cut depends on the one before, hence Python, in batches."""
+def heading_chunks(docs: DataFrame, width: int = CHUNK, overlap: int = OVERLAP, offsets=None) -> DataFrame:
+    """(doc_id, seq, content, token_count, begins, ends) of windows cut at headings, as in `heading_cuts`: each cut depends on
+    the one before, hence Python, in batches. `offsets` is None for characters, or a function such as `token_offsets`."""
+    if width <= 0 or not 0 <= overlap < width:
+        raise ValueError("windows must be longer than what they share")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<content:string,begins:long,ends:long>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: heading_cuts(t, width, overlap) if t else [])
+        return texts.map(lambda t: [{"content": c, "begins": b, "ends": e} for c, b, e in heading_cuts(t, width, overlap, offsets)] if t else [])
 
-    parts = docs.select("doc_id", F.posexplode(cut(text.normalized(F.col("text")))).alias("seq", "content"))
-    return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), "content")
+    ship(docs.sparkSession)
+    parts = docs.select("doc_id", F.posexplode(cut(text.normalized(F.col("text")))).alias("seq", "c"))
+    return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), "c.content", (F.col("c.ends") - F.col("c.begins")).alias("token_count"), "c.begins", "c.ends")
 
 
 def page_body(title, body, most: int = 20_000):

@@ -37,6 +37,9 @@ VIEWS = {
         select source as name, concat('https://', source, '.example.org') as base_url, min(doc_id) as first_doc, count(*) as docs,
                1700000000 + 1000 * (min(doc_id) % 60) as last_success_s, cast(60 + min(doc_id) % 3 * 30 as int) as interval_minutes
         from {documents} where source is not null group by source""",
+    # A registry of names: the first two words of texts, each standing for a unit.
+    "d_names": """
+        select alias, concat('unit ', cast(min(item_id) as string)) as unit from (select item_id, regexp_extract(text, '^[^A-Za-z]*([A-Za-z]+ [A-Za-z]+)', 1) as alias from {benchmark}) b where alias <> '' group by alias""",
     # The latest lists of sources, which leave out a third of their announcements.
     "d_snapshots": """
         select source as name, concat('unit ', source) as unit, 1700000000 + 1000 * (min(doc_id) % 60) as last_success_s, {listed_urls} as canonical_urls
@@ -187,4 +190,5 @@ def duck(sql: str) -> str:
     if not used:
         return sql
     sql = sql.strip()
-    return f"with {', '.join(used)}{', ' + sql[5:] if sql.lower().startswith('with ') else ' ' + sql}"
+    first = "with recursive " if sql.lower().startswith("with recursive ") else "with "
+    return f"{first}{', '.join(used)}{', ' + sql[len(first) :] if sql.lower().startswith(first) else ' ' + sql}"

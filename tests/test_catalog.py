@@ -11,7 +11,7 @@ from spindrift.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 #: Their result is checked elsewhere; here only that it comes.
-UNCHECKED = {"alias_normalize", "ann_dedup", "chunk_headings", "rate_limit", "vector_index"}
+UNCHECKED = {"vector_index"}
 
 
 @pytest.fixture(scope="module")
