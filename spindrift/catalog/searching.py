@@ -115,24 +115,37 @@ def registry_faults(spark, sf_dir):
     return resolution.registry_faults(rows.select("unit", "parent"), rows.select("unit", "alias"))
 
 
-_SCORED = "(select page_id, (page_id * 37 % 101) / 100.0::double as score from d_pages)"
+_OWN = "(page_id * 37 % 101) / 100.0::double"
+_TURNS, _PER_HOST, _DEEP, _MOST = 5, 2, 2, 12
 
 
-def _round(d: int, opened: str, seen: str) -> str:
-    return f"r{d} as (select page_id, {d} as depth, score from {_SCORED} where page_id in ({opened}) {seen} order by score desc, page_id limit 10)"
+def _turn(k: int) -> str:
+    return f"""
+        p{k} as materialized (select search, {k} as turn, page_id, score, depth, host, own from (
+            select o.*, d.host, d.own, row_number() over (partition by o.search order by o.score desc, o.page_id) as r from o{k} o join (select page_id, host, {_OWN} as own from d_pages) d using (page_id)
+              left join (select search, host, count(*) as n from v{k} group by all) h on h.search = o.search and h.host = d.host where coalesce(h.n, 0) < {_PER_HOST}) where r = 1),
+        v{k + 1} as materialized (select * from v{k} union all select search, page_id, host from p{k}),
+        x{k} as materialized (select *, row_number() over (partition by search, known order by position, page_id) as place from (
+            select p.search, l.target_page_id as page_id, least(1.0::double, max(l.score) + 0.3::double * p.own) as score, p.depth + 1 as depth, min(l.position) as position, exists (select 1 from f{k} f where f.search = p.search and f.page_id = l.target_page_id) as known
+              from p{k} p join s l on l.source_page_id = p.page_id where p.depth < {_DEEP} group by p.search, l.target_page_id, p.own, p.depth) q where not exists (select 1 from v{k + 1} v where v.search = q.search and v.page_id = q.page_id)),
+        y{k} as materialized (select x.* from x{k} x join (select search, {_MOST} - count(*) as room from f{k} group by search) f on f.search = x.search where known or place <= room),
+        f{k + 1} as materialized (select search, page_id from f{k} union all select search, page_id from y{k} where not known),
+        o{k + 1} as materialized (select search, page_id, max(score) as score, arg_max(depth, (score, age)) as depth from (
+            select search, page_id, score, depth, 1 as age from o{k} o where not exists (select 1 from v{k + 1} v where v.search = o.search and v.page_id = o.page_id) union all select search, page_id, score, depth, 0 from y{k}) group by search, page_id)"""
 
 
 @query(
     f"""
-    with {_round(0, "select page_id from d_pages where page_id % 16 = 0", "")},
-         {_round(1, "select target_page_id from d_links where source_page_id in (select page_id from r0)", "and page_id not in (select page_id from r0)")},
-         {_round(2, "select target_page_id from d_links where source_page_id in (select page_id from r1)", "and page_id not in (select page_id from r0 union all select page_id from r1)")}
-    select * from r0 union all select * from r1 union all select * from r2"""
+    with s as (select source_page_id, target_page_id, position, length(anchor_text) * 7 % 50 / 100.0::double as score from d_links),
+         o0 as materialized (select unit as search, page_id, max({_OWN}) as score, 0 as depth from d_pages where page_type = 'unit_homepage' or page_id < 20 group by all), f0 as (select search, page_id from o0), v0 as (select search, page_id, '' as host from o0 limit 0), {", ".join(_turn(k) for k in range(_TURNS))}
+    select search, turn, page_id, round(score, 9) as score, depth from ({" union all ".join(f"select search, turn, page_id, score, depth from p{k}" for k in range(_TURNS))})"""
 )
 def best_first(spark, sf_dir):
-    pages = view(spark, sf_dir, "d_pages")
-    scored = pages.select("page_id", (F.col("page_id") * 37 % 101 / F.lit(100.0)).alias("score"))
-    return search.best_first(scored, view(spark, sf_dir, "d_links"), pages.where("page_id % 16 = 0"), 3, 10)
+    pages = view(spark, sf_dir, "d_pages").withColumn("own", F.col("page_id") * 37 % 101 / F.lit(100.0))
+    links = view(spark, sf_dir, "d_links").select("source_page_id", "target_page_id", "position", (F.length("anchor_text") * 7 % 50 / F.lit(100.0)).alias("score"))
+    seeds = pages.where("page_type = 'unit_homepage' or page_id < 20").select(F.col("unit").alias("search"), "page_id", F.col("own").alias("score"))
+    found = search.best_first(pages, links, seeds, _TURNS, _PER_HOST, _DEEP, _MOST)
+    return found.select("search", "turn", "page_id", F.round("score", 9).alias("score"), "depth")
 
 
 _LEX = "(page_id * 13 % 97) / 100.0::double"

@@ -2,26 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.sinks import shared
+
 LEAST_SCORE, LEAST_LEXICAL, STRONG_DOCUMENT, FAILURES = 0.18, 0.25, 0.45, 5
 HIGH, MARGIN, RESULTS = 0.75, 0.15, 2
+#: Share of a page's worth that its links inherit.
+RELAY = 0.3
+
 
+def best_first(pages: DataFrame, links: DataFrame, seeds: DataFrame, turns: int = 20, per_host: int = 5, depth: int = 3, candidates: int = 200, relay: float = RELAY) -> DataFrame:
+    """(search, turn, page_id, score, depth): what each of many searches visits, one page a turn, the best open one first.
 
-def best_first(pages: DataFrame, links: DataFrame, seeds: DataFrame, rounds: int = 3, width: int = 20) -> DataFrame:
-    """(page_id, depth, score): round by round the best `width` pages not seen before, among seeds and what they link to.
+    pages: (page_id, host, own), own being what a page is worth once it is read; links: (source_page_id, target_page_id,
+    position, score); seeds: (search, page_id, score). A target is worth its link's score and `relay` of what its page is
+    worth, 1 at most. A page that is found again with a better score moves up, and its older entry is void; one that was
+    visited stays. A host gives `per_host` pages to a search, links lead `depth` steps from the seeds, and a search opens
+    `candidates` pages at most, in the order of links. Equal scores go by the smaller page.
 
-    pages: (page_id, score). Visited and open pages are few by `rounds` and `width`, and so broadcast; pages and links
-    are read once a round.
+    This is a delta iteration: all searches take their turn in one round of joins, a priority queue being the open pages
+    of a search. State is written each round, so lineage stays short; pages and links are read once a round.
     """
-    seen, opened = None, seeds.select("page_id").distinct()
-    for depth in range(rounds):
-        fresh = opened if seen is None else opened.join(F.broadcast(seen.select("page_id")), "page_id", "left_anti")
-        best = pages.join(fresh, "page_id").select("page_id", F.lit(depth).alias("depth"), "score").orderBy(F.desc("score"), "page_id").limit(width)
-        seen = best if seen is None else seen.unionByName(best)
-        opened = links.join(F.broadcast(best.select(F.col("page_id").alias("source_page_id"))), "source_page_id").select(F.col("target_page_id").alias("page_id")).distinct()
-    return seen
+    spark = pages.sparkSession
+    c = F.col
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = f"{shared(spark)}/search-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    opened = kept(seeds.groupBy("search", "page_id").agg(F.max("score").cast("double").alias("score")).withColumn("depth", F.lit(0)))
+    found = opened.select("search", "page_id")
+    visited = None
+    for turn in range(turns):
+        here = opened.join(pages.select("page_id", "host", "own"), "page_id")
+        if visited is not None:
+            full = visited.groupBy("search", "host").agg(F.count("*").alias("_n")).where(c("_n") >= per_host)
+            here = here.join(full, ["search", "host"], "left_anti")
+        best = Window.partitionBy("search").orderBy(F.desc("score"), "page_id")
+        picked = here.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("search", F.lit(turn).alias("turn"), "page_id", "score", "depth", "host", "own")
+        picked = kept(picked)
+        if picked.isEmpty():
+            break
+        visited = picked if visited is None else visited.unionByName(picked)
+        seen = visited.select("search", "page_id")
+        worth = F.least(F.lit(1.0), F.max("l.score") + relay * c("own"))
+        out = picked.where(c("depth") < depth).alias("p").join(links.alias("l"), c("p.page_id") == c("l.source_page_id")).groupBy("search", c("l.target_page_id").alias("page_id"), "own", "depth").agg(worth.alias("score"), F.min("l.position").alias("position"))
+        out = out.join(seen, ["search", "page_id"], "left_anti").join(found.withColumn("_known", F.lit(True)), ["search", "page_id"], "left")
+        room = found.groupBy("search").agg((F.lit(candidates) - F.count("*")).alias("_room"))
+        place = F.row_number().over(Window.partitionBy("search", c("_known").isNull()).orderBy("position", "page_id"))
+        out = kept(out.join(room, "search").withColumn("_p", place).where(c("_known") | (c("_p") <= c("_room"))).select("search", "page_id", "score", (c("depth") + 1).alias("depth"), c("_known").isNull().alias("_new")))
+        found = kept(found.unionByName(out.where("_new").select("search", "page_id")))
+        older = opened.join(seen, ["search", "page_id"], "left_anti").withColumn("_age", F.lit(1))
+        both = older.unionByName(out.drop("_new").withColumn("_age", F.lit(0)))
+        opened = kept(both.groupBy("search", "page_id").agg(F.max("score").alias("score"), F.max_by("depth", F.struct("score", "_age")).alias("depth")))
+    none = seeds.limit(0).select("search", F.lit(0).alias("turn"), "page_id", c("score").cast("double").alias("score"), F.lit(0).alias("depth"))
+    return none if visited is None else visited.select("search", "turn", "page_id", "score", "depth")
 
 
 def relevant(score: Column, scoped: Column, page_type: Column, items: Column) -> Column:

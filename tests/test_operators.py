@@ -82,8 +82,8 @@ def test_repeats_claim_nothing_once_dropped(spark):
 
 def test_heading_chunks(spark):
     t = "x" * 60 + "\n# head\n" + "y" * 80
-    assert documents.heading_cuts(t, 100, 10) == ["x" * 60, "x" * 9 + "\n# head\n" + "y" * 80]
-    assert documents.heading_cuts("z" * 150, 100, 10) == ["z" * 100, "z" * 60]
+    assert [c for c, _, _ in documents.heading_cuts(t, 100, 10)] == ["x" * 60, "x" * 9 + "\n# head\n" + "y" * 80]
+    assert documents.heading_cuts("z" * 150, 100, 10) == [("z" * 100, 0, 100), ("z" * 60, 90, 150)]
     assert documents.heading_cuts("", 10, 2) == []
     docs = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id for r in documents.heading_chunks(docs, 100, 10).collect()} == {1}
@@ -98,7 +98,7 @@ def test_frontier_equals_one_by_one(spark):
             kept.append(i)
             taken[h] = taken.get(h, 0) + 1
             total += 1
-    got = sitegraph.frontier(spark.createDataFrame(arrivals, "position int, host string"), spark.createDataFrame(list(pending.items()), "host string, pending int"), 10, 30)
+    got = sitegraph.frontier(spark.createDataFrame([(*a, False, True) for a in arrivals], "position int, host string, known boolean, is_indexable boolean"), spark.createDataFrame(list(pending.items()), "host string, pending int"), 10, 30)
     assert sorted(r.position for r in got.collect()) == kept
 
 
