@@ -72,6 +72,8 @@ class Tables:
 
     def commit(self, tables: dict[str, DataFrame], began: int) -> int:
         """Publish tables as the version after `began`, the one that the writer read; LostWriter if that is taken."""
+        if self.version() != began:  # the manifest decides; this only spares a late writer its work
+            raise LostWriter(f"{self.folder} has another version than {began}")
         own = f"data-{uuid.uuid4().hex}"
         try:
             for name, df in tables.items():

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import attempts, crawling, sitegraph
+from spindrift.operators import attempts, crawling, fetched, sitegraph
 from spindrift.sources.sinks import LostWriter, Tables
 
 SCHEMA = "page_id long, at_s long, seq long, event string, owner string, token string, seconds long, status string, next_s long, changed boolean, http_status int, deactivate boolean"
@@ -128,3 +128,58 @@ def test_a_failed_write_publishes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         t.commit({"good": spark.range(2), "bad": bad}, 0)
     assert t.version() == 0 and not [p for p in (tmp_path / "state").glob("data-*")]
+
+
+def crawl(spark):
+    cols = "page_id long, url string, title string, unit string, content_hash string, page_type string, discovery_source string, crawl_priority int, minimum_depth int, is_indexable boolean, lease_owner string, lease_token string, lease_expires_s long, crawl_status string, failure_count int, changed_streak int, unchanged_streak int, next_crawl_s long, last_success_s long, is_active boolean"
+    page = lambda i, url, owner=None, token=None, until=None, status="queued": (i, url, f"old {i}", "u", "h0", "general_page", "manual", 5, 0, True, owner, token, until, status, 2, 0, 0, 1, None, True)
+    pages = spark.createDataFrame([page(1, "https://example.org/", "w", "t", 100, "fetching"), page(2, "https://example.org/b", "v", "s", 5, "fetching"), page(3, "https://example.org/known")], cols)
+    links = spark.createDataFrame([(1, 3, "first", "content", 7, 1)], "source_page_id long, target_page_id long, anchor_text string, link_type string, position long, seen_s long")
+    reports = spark.createDataFrame([(*row(1, 10, "complete", "w", "t", status="success", next_s=900, changed=True, http=200), "New", "h1"), (*row(2, 10, "complete", "v", "s", status="success", next_s=900), "Stolen", "h2")], SCHEMA + ", title string, content_hash string")
+    told = [(1, "t", 0, "/known", "again"), (1, "t", 1, "/new", ""), (1, "t", 2, "/new", "通知"), (1, "t", 3, "/file.pdf", "doc"), (1, "t", 4, "https://other.net/x", "off"), (1, "t", 5, "/more", "m"), (2, "s", 0, "/stolen", "s")]
+    found = spark.createDataFrame([(s, t, p, u if "//" in u else f"https://example.org{u}", a, 0, False) for s, t, p, u, a in told], "source_page_id long, token string, position long, url string, anchor_text string, depth int, listed boolean")
+    return pages, links, spark.createDataFrame([], SCHEMA), reports, found
+
+
+def test_fetched_pages_are_one_change_behind_a_fence(spark, tmp_path):
+    pages, links, log, reports, found = crawl(spark)
+    out = fetched.persisted(pages, links, log, reports, found, 10, ["example.org"], most=3)
+    got = {r.url: r for r in out["pages"].collect()}
+    # Two pages wait after the report, so one of the new targets finds room, the first; documents need none.
+    assert set(got) == {f"https://example.org/{p}" for p in ("", "b", "known", "new", "file.pdf")}
+    one, two, new, doc = (got[f"https://example.org/{p}"] for p in ("", "b", "new", "file.pdf"))
+    assert (one.title, one.content_hash, one.crawl_status, one.changed_streak, one.failure_count, one.lease_owner) == ("New", "h1", "success", 1, 0, None)
+    assert (two.title, two.crawl_status, two.lease_owner) == ("old 2", "fetching", "v")
+    assert (new.crawl_status, new.minimum_depth, new.next_crawl_s, new.is_active) == ("discovered", 1, 40, True) and (doc.crawl_status, doc.page_type) == ("excluded", "official_document")
+    ids = {r.page_id: u for u, r in got.items()}
+    edges = {(e.source_page_id, ids[e.target_page_id].rsplit("/", 1)[1]): (e.anchor_text, e.link_type, e.position) for e in out["links"].collect()}
+    assert edges[1, "known"] == ("first", "content", 7) and edges[1, "new"][:2] == ("通知", "announcement") and edges[1, "file.pdf"][1] == "document"
+    assert {s for s, _ in edges} == {1}
+    # The log holds no claim of this round, so there is no attempt to end; a claim and a late report make one that is lost.
+    log = spark.createDataFrame([row(2, 1, "claim", "v", "s", 4)], SCHEMA)
+    free = pages.where("page_id <> 2").unionByName(pages.where("page_id = 2").withColumn("lease_expires_s", F.lit(0).cast("long")))
+    lost = {r.page_id: r.outcome for r in fetched.persisted(free, links, log, reports, found, 10, ["example.org"])["attempts"].collect()}
+    assert lost == {2: "lease_lost"}
+
+    tables = Tables(spark, f"file://{tmp_path}/crawl")
+    began = tables.commit({"pages": pages, "links": links, "attempts": out["attempts"].limit(0)}, 0)
+    assert fetched.commit(tables, began, log.limit(0), reports, found, 10, ["example.org"]) == 2
+    with pytest.raises(LostWriter):
+        fetched.commit(tables, began, log.limit(0), reports, found, 11, ["example.org"])
+    assert tables.version() == 2 and tables.read("pages").count() == 6 and tables.read("links").count() == 4
+
+
+def test_of_two_writers_at_once_one_is_lost(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/state")
+    other = Tables(spark, f"file://{tmp_path}/state")
+    slow = {"pages": spark.range(9)}
+
+    class Racing(dict):
+        def items(self):  # the other writer commits while this one writes
+            other.commit({"pages": spark.range(2)}, 0)
+            return super().items()
+
+    with pytest.raises(LostWriter):
+        t.commit(Racing(slow), 0)
+    assert t.version() == 1 and t.read("pages").count() == 2
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("data-")]) == 1
