@@ -2,53 +2,99 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: endings that are read as documents, and what their metadata must have.
-ENDINGS = ("md", "txt", "html")
-REQUIRED = ("title", "source_url", "unit")
+from spindrift.functions import urls
+from spindrift.shipping import ship
+from spindrift.sources.dom import Tree, tidy
+from spindrift.sources.folder import DocumentFolder
+from spindrift.sources.html import clean
+
+#: Fixed: what metadata must have, those that are dates, and the two of which one must be there.
+REQUIRED = ("title", "source_url", "unit", "document_type", "version")
+DATES, DATED = ("published_at", "effective_from", "effective_to"), ("published_at", "effective_from")
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, stem, ending, content) of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"), "content")
+_QUOTED = re.compile(r"""(["'])(.*?)\1\s*(?:#.*)?$""")
 
 
-def _pairs(text: str) -> dict[str, str]:
-    """Flat `key: value` lines; others are left out."""
+def pairs(text: str) -> dict[str, str] | None:
+    """Flat `key: value` lines of a metadata file, comments and blank lines left out; None where it says anything else."""
     out = {}
     for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() in ("---", "..."):
+            continue
         k, sep, v = line.partition(":")
-        if sep and k.strip() and not line.startswith((" ", "#")):
-            out[k.strip()] = v.strip().strip("\"'")
+        if not sep or not k.strip() or line.startswith((" ", "\t", "-")):
+            return None
+        v = v.strip()
+        quoted = _QUOTED.match(v)
+        v = quoted[2] if quoted else v.split(" #")[0].strip()
+        out[k.strip()] = "" if not quoted and v in ("null", "~") else v
     return out
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def _parsed(content: bytes | None, ending: str, side: bytes | None, error: str | None) -> tuple[str | None, dict | None, str | None]:
+    """(text, metadata, error) of a document."""
+    if error or content is None:
+        return None, None, error or "no content"
+    if side is None:
+        return None, None, "no metadata"
+    try:
+        meta = pairs(side.decode("utf-8"))
+        text = None if ending == "pdf" else content.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return None, None, f"UnicodeDecodeError: {e.reason}"
+    if meta is None:
+        return None, None, "metadata is no mapping"
+    lacking = [k for k in REQUIRED if not meta.get(k)]
+    wrong = [k for k in DATES if meta.get(k) and not _is_day(meta[k])]
+    if ending == "pdf":
+        error = "no reader for pdf"
+    elif lacking:
+        error = f"no {', '.join(lacking)}"
+    elif wrong:
+        error = f"no date: {', '.join(wrong)}"
+    elif not any(meta.get(k) for k in DATED):
+        error = f"no {' or '.join(DATED)}"
+    if text is not None:
+        text = clean(Tree(text)) if ending in ("html", "htm") else tidy(text)
+    return text, meta, error
+
+
+def _is_day(value: str) -> bool:
+    try:
+        date.fromisoformat(value)
+    except ValueError:
+        return False
+    return True
+
+
+def documents(spark: SparkSession, folder: str, roots: list[str] | None = None, stream: bool = False, **options) -> DataFrame:
     """(path, text, metadata, error) of the documents below a folder, each with the metadata file of its stem.
 
-    .yaml goes before .yml. A file of an unknown kind is left out; one without required metadata has an error.
+    Files of other kinds are left out. A file that cannot be read, one without metadata, with metadata that lacks
+    something, or, where `roots` are given, with a source off them, is a row with an error. Batches come in the order of
+    paths; as a stream every file comes once, when it has arrived, so its metadata must be there before it.
     """
-    from spindrift.sources.html import read
-
-    files = scan(spark, folder)
-
-    @F.pandas_udf("string")
-    def text(contents: pd.Series, endings: pd.Series) -> pd.Series:
-        return pd.Series([read(c.decode("utf-8", "replace"), None)["body"] if e == "html" else c.decode("utf-8", "replace") for c, e in zip(contents, endings, strict=True)], dtype=object)
-
-    @F.pandas_udf("map<string,string>")
-    def pairs(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: _pairs(c.decode("utf-8", "replace")))
-
-    side = files.where(F.col("ending").isin("yaml", "yml")).groupBy("stem").agg(F.min_by("content", "ending").alias("meta"))
-    docs = files.where(F.col("ending").isin(*ENDINGS)).join(side, "stem", "left")
-    rows = docs.select("path", text("content", "ending").alias("text"), F.when(F.col("meta").isNotNull(), pairs(F.coalesce("meta", F.lit("").cast("binary")))).alias("metadata"))
-    lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.col("metadata")[k], F.lit("")) == "", F.lit(k)) for k in REQUIRED]))
-    return rows.withColumn("error", F.when(F.col("metadata").isNull(), "no metadata").when(F.size(lacking) > 0, F.concat(F.lit("no "), F.array_join(lacking, ", "))))
+    ship(spark)
+    spark.dataSource.register(DocumentFolder)
+    rows = (spark.readStream if stream else spark.read).format("document_folder").options(**options).load(folder)
+
+    @F.pandas_udf("text string, metadata map<string,string>, error string")
+    def parse(contents: pd.Series, endings: pd.Series, sides: pd.Series, errors: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_parsed(*r) for r in zip(contents, endings, sides, errors, strict=True)], columns=["text", "metadata", "error"])
+
+    found = rows.select("path", parse("content", "ending", "metadata", "error").alias("p")).select("path", "p.text", "p.metadata", "p.error")
+    if roots is not None:
+        off = F.col("error").isNull() & ~urls.is_allowed(F.col("metadata")["source_url"], roots)
+        found = found.withColumn("error", F.when(off, "source_url is not allowed").otherwise(F.col("error")))
+    return found
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:

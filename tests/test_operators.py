@@ -154,18 +154,7 @@ def test_alias_normalize(spark):
     assert got == ["see the Computing Department", None]
 
 
-def test_files(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "doc.md").write_text("# Head\nbody")
-    (tmp_path / "a" / "doc.yaml").write_text("title: T\nsource_url: https://x/\nunit: 'u'\n")
-    (tmp_path / "page.html").write_text("<p>hello</p>")
-    (tmp_path / "page.yml").write_text("title: P\n")
-    (tmp_path / "lone.txt").write_text("x")
-    (tmp_path / "skip.bin").write_bytes(b"\x00")
-    got = {r.path.rsplit("/", 1)[1]: r for r in files.documents(spark, str(tmp_path)).collect()}
-    assert got["doc.md"].error is None and got["doc.md"].metadata["unit"] == "u" and got["doc.md"].text == "# Head\nbody"
-    assert got["page.html"].text == "hello" and got["page.html"].error == "no source_url, unit"
-    assert got["lone.txt"].error == "no metadata" and "skip.bin" not in got
+def test_feed(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title> A </title><link>http://a</link><pubDate>d</pubDate></item><item><title>no link</title></item></channel></rss>")
     assert [(r.title, r.link) for r in files.feed(spark, str(tmp_path / "feed.xml")).collect()] == [("A", "http://a")]
 
