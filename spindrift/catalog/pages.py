@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.catalog.pipeline import _made
 from spindrift.catalog.registry import normal, query
+from spindrift.functions import tables
 from spindrift.plans.views import view
 from spindrift.sources import html
 
@@ -138,3 +139,14 @@ def html_detail(spark, sf_dir):
     return found.select("page_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.length("body").cast("long").alias("chars"))
 
 
+
+
+@query(
+    f"""
+    with l as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as root, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as a, unnest(range(0, len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) as position from pages)
+    select page_id, cast(position as integer) as position, root || {decoded("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} as url, {normal(decoded("regexp_extract(a, '>([^<]*)<', 1)"))} as label from l"""
+)
+def page_parts(spark, sf_dir):
+    """Every link of every page, by the table function in SQL."""
+    tables.register(spark)
+    return spark.sql("select p.page_id, t.position, t.url, t.label from {pages} p, lateral page_parts(p.html, p.url, 'links') t", pages=view(spark, sf_dir, "pages"))
