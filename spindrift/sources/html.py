@@ -196,13 +196,14 @@ def site_pages(read_pages: DataFrame, roots: list[str], hosts: list[str] | None
     """(page_id, title, body, headings, published_at, items, role) of parsed pages (page_id, url, page).
 
     The title goes before the body, a page without one is called by its url, and `most` bounds a body as the site's
-    index keeps it. read_pages: one row a page_id, written or cached where the parse shall not be repeated.
+    index keeps it.
     """
-    counts = items_of(read_pages, roots, hosts).groupBy("page_id").agg(F.count("*").alias("items"))
+    # As many as `items_of` gives, counted inside the row: no page is parsed or moved for it.
+    told = F.filter("page.items", lambda x: allowed(x["url"], roots, hosts) & (_day(x["told"]).isNotNull() | F.contains(F.lower(urls.path(urls.canonical(x["url"]))), F.lit(DETAIL_PATH))))
+    items = F.size(F.array_distinct(F.transform(told, lambda x: urls.canonical(x["url"])))).cast("long")
     p = lambda c: F.col(f"page.{c}")
     body = documents.page_body(p("title"), p("body"), most)
-    rows = read_pages.select("page_id", "url", "page.title", body.alias("body"), "page.headings", p("dates").alias("dates"), "page.lists", "page.details").join(counts, "page_id", "left")
-    rows = rows.withColumn("items", F.coalesce("items", F.lit(0)))
+    rows = read_pages.select("page_id", "url", "page.title", body.alias("body"), "page.headings", p("dates").alias("dates"), "page.lists", "page.details", items.alias("items"))
     day = F.coalesce(F.get(F.filter(F.transform("dates", _day), lambda d: d.isNotNull()), F.lit(0)), _day(F.substring("body", 1, DAY_WITHIN)))
     rows = rows.withColumn("published_at", day)
     role = documents.page_role(F.col("items"), F.col("lists"), F.col("details"), urls.path(F.col("url")), F.col("title"), F.col("body"), F.col("published_at"))
