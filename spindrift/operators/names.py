@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
@@ -17,7 +17,7 @@ MOST = 100_000
 #: What a unit's name ends with where it keeps shorter names inside it from counting, and what may stand
 #: before it in a request.
 WITHIN = ("學院", "學系", "研究所", "學程", "中心", "系", "所", "處", "組", "室")
-BEFORE = ("國立屏東大學", "屏東大學", "屏大", "請問", "麻煩", "幫我查", "幫我", "查詢", "查", "想知道", "比較", "以及", "還有", "和", "與", "及", "、")
+BEFORE = ("請問", "麻煩", "幫我查", "幫我", "查詢", "查", "想知道", "比較", "以及", "還有", "和", "與", "及", "、")
 #: The same where a name tells of a unit that is not known, and words that ask for announcements.
 UNKNOWN = ("學院", "學系", "學程", "中心", "系", "處", "組", "室")
 UNKNOWN_BEFORE = ("請問", "麻煩", "幫我查", "幫我", "查詢", "查", "想知道", "以及", "還有", "和", "與", "及", "、")
@@ -44,17 +44,21 @@ def unit_like(text: str, endings: tuple[str, ...]) -> list[tuple[int, int]]:
 
 
 class Names:
-    """An automaton that is built again where it is needed; only the names travel."""
+    """An automaton that is built again where it is needed; only the names travel.
 
-    def __init__(self, names: list[str]):
-        self.names = sorted({n for n in names if n})
+    `own` are names of the institution itself, which may stand before a unit's in a request.
+    """
+
+    def __init__(self, names: list[str], own: tuple[str, ...] = ()):
+        self.names, self.own = sorted({n for n in names if n}), tuple(own)
         self._automaton = None
 
     def __getstate__(self):
-        return self.names
+        return self.names, self.own
 
-    def __setstate__(self, names):
-        self.names, self._automaton = names, None
+    def __setstate__(self, state):
+        self.names, self.own = state
+        self._automaton = None
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, name): from the left the longest name that begins there, without overlaps."""
@@ -82,7 +86,7 @@ class Names:
         known, found = set(self.names), self.spans(text)
         if not found:
             return []
-        before = re.compile(f"^(?:{'|'.join(map(re.escape, BEFORE))})+")
+        before = re.compile(f"^(?:{'|'.join(map(re.escape, (*self.own, *BEFORE)))})+")
         others = []
         for start, end in unit_like(text, WITHIN):
             name = before.sub("", text[start:end])
@@ -111,12 +115,12 @@ class Names:
         return sorted(out)
 
 
-def names_of(registry: DataFrame, column: str = "alias", most: int = MOST) -> Names:
+def names_of(registry: DataFrame, column: str = "alias", most: int = MOST, own: tuple[str, ...] = ()) -> Names:
     """The automaton of a registry's names, which must be bounded: it is held by the driver and every task."""
     rows = registry.select(F.trim(column).alias("n")).where("n <> ''").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the registry has more than {most} names")
-    return Names([r.n for r in rows])
+    return Names([r.n for r in rows], own)
 
 
 SPAN = "array<struct<start:int,end:int,alias:string>>"
@@ -166,14 +170,15 @@ class Directory:
     """What a name resolves to.
 
     aliases: (alias, unit); sources: (name, unit, enabled); units: (unit, enabled, strategy, source_name), strategy one of
-    listing, scoped and unsupported; routes: (alias, source). A unit's own name is an alias of it.
+    listing, scoped and unsupported; routes: (alias, source); own: names of the institution, see `Names`. A unit's own name
+    is an alias of it.
     """
 
     aliases: DataFrame
     sources: DataFrame
     units: DataFrame
     routes: DataFrame
-    _names: list = field(default_factory=list, compare=False)
+    own: tuple[str, ...] = ()
 
     def known(self) -> DataFrame:
         """(alias, unit), several rows where an alias stands for several units."""
@@ -196,7 +201,7 @@ def resolved(rows: DataFrame, key: str, unit: str, query: str, directory: Direct
     spark = rows.sparkSession
     ship(spark)
     known = directory.known()
-    own = spark.sparkContext.broadcast((names_of(known), names_of(directory.routes)))
+    own = spark.sparkContext.broadcast((names_of(known, own=directory.own), names_of(directory.routes)))
 
     @F.pandas_udf("aliases array<string>, unknown array<string>, routes array<string>")
     def read(units: pd.Series, queries: pd.Series) -> pd.DataFrame:

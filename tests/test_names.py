@@ -128,3 +128,8 @@ def test_a_registry_has_a_bound(spark):
     with pytest.raises(ValueError):
         names.names_of(table, most=10)
     assert names.Names([]).spans("x") == [] and names.names_of(table.limit(0)).names == []
+
+
+def test_the_institution_may_stand_before_a_unit():
+    known = ["資工系"]
+    assert names.Names(known).told("某大學資工系") == [] and names.Names(known, ("某大學",)).told("某大學資工系") == [(3, 6, "資工系")]
