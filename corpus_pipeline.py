@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard of 0.8 or more) stays."""
+    """One document of each group of near-duplicates stays (balls of fingerprints of five-word shingles, then a Jaccard of 0.8 or more)."""
     return simhash.keep_one(docs)
 
 

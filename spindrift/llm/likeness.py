@@ -1,10 +1,18 @@
-"""Near copies by the likeness of their word shingles: banded minima bring candidates together, exact Jaccard decides.
+"""Near copies by the likeness of their word shingles: balls of fingerprints bring candidates together, exact Jaccard decides.
 
-A text is the set of its word shingles. Equal sets are folded first. Each remaining set gives `BANDS` keys of `ROWS`
-minimal hashes each; two sets of Jaccard 0.8 share a key with probability 1 - (1 - 0.8^4)^24, all but 4 in a million,
-and likelier ones sooner. Candidates are linked only if their exact Jaccard over 64-bit shingle hashes reaches 0.8, in
-whole numbers. A key that gathers more than `SMALL` sets gives pairs with its least member first, so that its rows stay
-linear; where those links leave it in parts, its members are compared with each other, so no candidate is dropped.
+A text is the set of its word shingles. Equal sets are folded first. Each remaining set has `WORDS` SimHash fingerprints
+of 64 bits, and each of these is searched by meet-in-the-middle ball hashing: it emits all variants within one bit of each
+of its `BLOCKS` blocks, so that fingerprints within 11 bits always meet, and wider ones where a block differs in two bits
+or fewer. At a Jaccard of 0.8 a bit differs with a probability of at most 0.152 and a block of 16 in two bits or fewer
+with 0.55, so that of these pairs all but 3 in a million meet in one of the 16 blocks, and likelier ones sooner. Where
+few members make the majority of a bit a coarse thing (at most `TINY` shingles in both together), sets within 0.8 differ
+in one member: those meet exactly, the larger one emitting the sets that lack one of its members.
+
+What meets is compared on two fingerprints (at most `NEAR` bits in one and `WIDE` in both: 1 in 1,000 of the pairs at 0.8
+is lost to that in a block, and one in 10 million others passes), and linked only if its exact Jaccard over 64-bit shingle
+hashes reaches 0.8, in whole numbers. Pairs that the first fingerprint has joined are not looked at again. Where a variant
+gathers more near pairs than a few a row, a spanning forest of them is taken first, so that rows stay linear; where its
+links leave a forest in parts, its members are compared with each other, so no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -17,18 +25,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import simhash
 from spindrift.llm.common import shipped, shuffle_partitions, written
 from spindrift.llm.graph import connected_components
 
 #: Words of a shingle.
 SHINGLE = 5
-ROWS, BANDS = 4, 24
-#: Up to this many members of a key are compared pair by pair at once.
-SMALL = 16
-
-_RNG = np.random.default_rng(42)
-_MASK, _ODD, _FOLD, _SALT = (_RNG.integers(0, 1 << 64, n, np.uint64) for n in (ROWS * BANDS, ROWS * BANDS, ROWS, BANDS))
-_ODD, _FOLD = _ODD | np.uint64(1), _FOLD | np.uint64(1)
+#: Fingerprints of a set, and blocks that each is cut into.
+WORDS, BLOCKS = 4, 4
+#: Differing bits of the fingerprint that met, and of it and the next one, up to which a pair is a candidate.
+NEAR, WIDE = 18, 30
+#: Members of two sets together up to which those of Jaccard 0.8 differ in one member at most.
+TINY = 9
+#: Rows of a variant in one task; with more, pairs of parts of this size are dealt.
+GROUP = 8_192
+#: Up to this many rows of a variant are compared together with those of other variants.
+SMALL = 8
+#: Near pairs a row from which on a variant gives a forest.
+DENSE = 8
+#: Rows compared at once with all others of their variant.
+TILE = 128
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -40,12 +56,19 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams)))
 
 
-def keys(h: np.ndarray) -> np.ndarray:
-    """One key a band of a set that is not empty."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):
-        least = np.minimum(least, ((h[at : at + 1024, None] ^ _MASK) * _ODD).min(axis=0))
-    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) ^ _SALT
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set that is not empty: the first of its hashes as they are, the others of hashes of those."""
+    words = [simhash.majority(h)]
+    for t in range(1, WORDS):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * t % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        words.append(simhash.majority(x ^ (x >> np.uint64(31))))
+    return np.array(words, np.uint64)
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 def alike(shared, n, m):
@@ -56,9 +79,9 @@ def alike(shared, n, m):
 def _sketch(batches):
     for b in batches:
         sets = [shingles(t.as_py()) for t in b.column(1)]
-        bands = pa.array([keys(h).view(np.int64) if len(h) else None for h in sets], pa.list_(pa.int64()))
-        digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), digest, pa.array([len(h) for h in sets], pa.int64()), bands], names=["id", "digest", "n", "bands"])
+        words = pa.array([fingerprints(h).view(np.int64) if len(h) else None for h in sets], pa.list_(pa.int64()))
+        less = pa.array([[_digest(np.delete(h, i)) for i in range(len(h))] if 1 < len(h) <= TINY else None for h in sets], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, sets), pa.binary()), words, less], names=["id", "digest", "words", "less"])
 
 
 def _members(batches):
@@ -67,33 +90,128 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["id", "s"])
 
 
-def _meet(batches):
-    """Candidates (a, b) of sorted (key, rep, n); members of crowded keys come as (key, a) without b as well."""
-    now, head, crowded = None, [], False
-    for batch in batches:
-        k, rep, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-        starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1)) if len(k) else np.empty(0, np.int64)
-        ends = np.append(starts[1:], len(k))
-        out = []
-        for s, e in zip(starts, ends, strict=True):
-            if e - s == 1 and 0 < s and e < len(k):
+def _near(rows, i, j):
+    """Whether rows i and j are to be compared: near, not joined yet, and without a variant that both reach the same way."""
+    _, flip, f, g, _, part = rows
+    bits = np.bitwise_count(f[i] ^ f[j])
+    ok = (bits <= NEAR) & (part[i] != part[j]) & ((flip[i] != flip[j]) | (flip[i] == 0))
+    i, j, bits = i[ok], j[ok], bits[ok]
+    ok = bits + np.bitwise_count(g[i] ^ g[j]) <= WIDE
+    return i[ok], j[ok]
+
+
+def _group(rows, s: int, e: int):
+    """Near pairs of the rows s to e of one variant; None if there are more than `DENSE` a row."""
+    f, left, right, n = rows[2], [], [], 0
+    for at in range(s, e, TILE):
+        met = np.bitwise_count(f[at : min(at + TILE, e), None] ^ f[None, at:e]) <= NEAR
+        i, j = np.nonzero(met)
+        i, j = _near(rows, i[j > i] + at, j[j > i] + at)
+        left.append(i)
+        right.append(j)
+        n += len(i)
+        if n > DENSE * (e - s):
+            return None
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _trees(rows, s: int, e: int):
+    """Trees of near rows, each as its rows and the pairs that span it: every row is searched from once."""
+    f, g = rows[2], rows[3]
+    todo = np.arange(s, e)
+    while len(todo):
+        queue, todo = [todo[0]], todo[1:]
+        own, pairs = list(queue), []
+        while queue and len(todo):
+            at = queue.pop()
+            bits = np.bitwise_count(f[todo] ^ f[at])
+            near = (bits <= NEAR) & (bits + np.bitwise_count(g[todo] ^ g[at]) <= WIDE)
+            hit, todo = todo[near], todo[~near]
+            queue += hit.tolist()
+            own += hit.tolist()
+            pairs += [(at, x) for x in hit.tolist()]
+        yield np.array(own), pairs
+
+
+def _candidates(rows):
+    """(key, a, b) of sorted (key, flip, f, g, rep, part) with whole keys: candidates, and members of trees without b."""
+    key, flip, rep, part = rows[0], rows[1], rows[4], rows[5]
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    left, right, tree, member = [], [], [], []
+    size, end = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes)
+    few = np.flatnonzero((size > 1) & (size <= SMALL))
+    for d in range(1, SMALL):
+        few = few[few + d < end[few]]
+        i, j = _near(rows, few, few + d)
+        left.append(rep[i])
+        right.append(rep[j])
+    for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        e = s + m
+        if flip[s] and (flip[s:e] == flip[s]).all():
+            continue
+        found = _group(rows, s, e)
+        if found is not None:
+            left.append(rep[found[0]])
+            right.append(rep[found[1]])
+            continue
+        for own, pairs in _trees(rows, s, e):
+            if (part[own] == part[own[0]]).all():
                 continue
-            if now is None or k[s] != now:
-                now, head, crowded = k[s], [], False
-            for r, m in zip(rep[s:e].tolist(), n[s:e].tolist(), strict=True):
-                full = len(head) >= SMALL
-                for h, x in head[:1] if full else head:
-                    if r != h and 5 * min(m, x) >= 4 * max(m, x):
-                        out.append((None, r, h))
-                if full:
-                    if not crowded:
-                        crowded = True
-                        out += [(int(now), h, None) for h, _ in head]
-                    out.append((int(now), r, None))
-                else:
-                    head.append((r, m))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "a", "b"])
+            i, j = np.array(pairs).T
+            apart = part[i] != part[j]
+            left.append(rep[i[apart]])
+            right.append(rep[j[apart]])
+            name = xxhash.xxh64_intdigest(np.array([key[s], rep[own[0]]]).tobytes()) >> 1
+            tree.append(np.full(len(own), name, np.int64))
+            member.append(rep[own])
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+    n, none = len(pairs), pa.nulls
+    yield pa.RecordBatch.from_arrays([none(n, pa.int64()), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["key", "a", "b"])
+    if tree:
+        at = np.concatenate(tree)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(member)), none(len(at), pa.int64())], names=["key", "a", "b"])
+
+
+def _meet(batches):
+    """`_candidates` of sorted rows, a key being held until its last row is there."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield from _candidates([r[:cut] for r in rows])
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield from _candidates(held)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """Candidates of (rep, part, f, g), f being searched: (key, a, b) as `_candidates` gives them."""
+    n = shuffle_partitions(nodes.sparkSession)
+    rows = simhash.balls(nodes, "f", BLOCKS)
+    # At most BLOCKS * 2^16 keys, far fewer of them crowded.
+    crowded = written(rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_c")).where("_c > 1"), "crowded")
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64("rep"), F.col("_c")).cast("int")
+        placed = rows.join(F.broadcast(crowded), "key", "left").withColumn("_own", own)
+        each = placed.withColumn("_o", F.explode(F.when(F.col("_c").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_c") - 1))))
+        part = F.xxhash64("key", F.least("_own", "_o"), F.greatest("_own", "_o"))
+        rows = each.select(F.when(F.col("_c").isNull(), F.col("key")).otherwise(part).alias("key"), *rows.columns[1:])
+    rows = rows.select("key", "flip", "f", "g", "rep", "part")
+    return written(_numbers(rows.repartition(n, "key").sortWithinPartitions("key")), "candidates")
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        yield from _meet(pa.RecordBatch.from_arrays([*b.columns[:2], *(b.column(c).view(pa.uint64()) for c in (2, 3)), *b.columns[4:]], names=b.schema.names) for b in batches)
+
+    return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def joins(sets: list[np.ndarray], parts: np.ndarray) -> list[tuple[int, int]]:
@@ -145,27 +263,51 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(_members, "id long, s array<long>"), "sets")
 
 
-def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(digest, rep) of each set of shingles, rep being its least doc_id, and (node, component) of the reps that link."""
-    rows = shipped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    sketches = rows.mapInArrow(_sketch, "id long, digest binary, n long, bands array<long>")
-    classes = written(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    n = shuffle_partitions(docs.sparkSession)
-    banded = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    found = written(banded.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_meet, "key long, a long, b long"), "candidates")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the candidates (a, b) whose sets are alike."""
     sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(both.where(alike(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"), "links")
+    return written(both.where(alike(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"), "links")
+
+
+def _joined(docs: DataFrame, links: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components, members of the trees in `late` (key, rep) that are in parts having been compared with each other."""
     labels = connected_components(links)
-    late = found.where("key is not null").select("key", F.col("a").alias("rep"))
-    if not late.isEmpty():
-        parts = late.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        open_keys = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-        parts = written(parts.join(open_keys, "key", "left_semi"), "parts")
-        if not parts.isEmpty():
-            crowd = _sets(docs, parts.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
-            rows = parts.join(crowd, "rep").select("key", "rep", "part", "s")
-            more = rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_compare, "a long, b long")
-            labels = connected_components(links.union(written(more, "links")))
+    if late.isEmpty():
+        return links, labels
+    parts = late.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    open_keys = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    parts = written(parts.join(open_keys, "key", "left_semi"), "parts")
+    if parts.isEmpty():
+        return links, labels
+    crowd = _sets(docs, parts.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    rows = parts.join(crowd, "rep").select("key", "rep", "part", "s")
+    more = rows.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "rep").mapInArrow(_compare, "a long, b long")
+    links = links.union(written(more, "links"))
+    return links, connected_components(links)
+
+
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, rep) of each set of shingles, rep being its least doc_id, and (node, component) of the reps that link."""
+    rows = shipped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    sketches = rows.mapInArrow(_sketch, "id long, digest binary, words array<long>, less array<binary>")
+    classes = written(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.first("less").alias("less")), "classes")
+    tiny = classes.select(F.explode("less").alias("digest"), F.col("rep").alias("a")).join(classes.select("digest", F.col("rep").alias("b")), "digest").select("a", "b")
+
+    def met(words, parts):
+        nodes = classes.where("words is not null").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        found = None
+        for t in words:
+            f, g = (F.element_at("words", F.lit(x % WORDS + 1)) for x in (t, t + 1))
+            more = _met(nodes.select("rep", F.coalesce("component", "rep").alias("part"), f.alias("f"), g.alias("g")))
+            found = more if found is None else found.union(more)
+        return found.where("b is not null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("rep"))
+
+    # The first fingerprint alone joins most of what is alike; for the others only what it left apart is compared.
+    none = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    pairs, late = met(range(1), none)
+    pairs = written(pairs.union(tiny).distinct(), "pairs")
+    links, labels = _joined(docs, _links(docs, pairs), late)
+    more, late = met(range(1, WORDS), written(labels, "labels"))
+    links, labels = _joined(docs, links.union(_links(docs, more.distinct().join(pairs, ["a", "b"], "left_anti"))), late)
     return classes.select("digest", "rep"), labels

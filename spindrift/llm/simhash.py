@@ -18,7 +18,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm import likeness
 from spindrift.llm.common import hex64, pairs_of_parts, shipped, shuffle_partitions, spread_join, written
 from spindrift.llm.graph import connected_components
 
@@ -31,6 +30,16 @@ SMALL = 6
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes, of which there is at least one."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255 * 64):
+        part = h[at : at + 255 * 64]
+        lanes = np.add.reduceat(_SPREAD[part.view(np.uint8).reshape(-1, 8)], np.arange(0, len(part), 255), axis=0)
+        counts += lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash over word shingles, repeats included; fewer words: the whole sequence; none: zero."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -38,10 +47,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return 0
     grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, n)
-    lanes = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(n, 8)], np.arange(0, n, 255), axis=0)
-    counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, n)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -81,6 +87,20 @@ def _second(rows: DataFrame) -> DataFrame:
     return rest.select("k0", "fp", "rep", "o", F.explode(F.sequence(F.lit(0), F.lit(33))).alias("i")).select("k0", (_variants(16, quarters) + 1).alias("k1"), "fp", "rep")
 
 
+def balls(rows: DataFrame, fp: str, blocks: int) -> DataFrame:
+    """Each row once for every block of its fingerprint and every variant of it within one bit: columns key and flip.
+
+    flip is 0 where the variant is the block itself. Two fingerprints meet on a variant where a block of both differs in
+    two bits or fewer, each side going half of the way; of `blocks` blocks one must, within 3 * blocks - 1 bits in all.
+    """
+    width = 64 // blocks
+    each = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(blocks * (width + 1) - 1))))
+    block, flip = F.expr(f"cast(_i div {width + 1} as int)"), F.col("_i") % (width + 1)
+    value = F.call_function("shiftrightunsigned", F.col(fp), block * width).bitwiseAND(F.lit((1 << width) - 1))
+    flipped = F.when(flip == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (flip - 1).cast("int")))
+    return each.select((block.cast("long") * F.lit(1 << width) + value.bitwiseXOR(flipped)).alias("key"), flip.cast("byte").alias("flip"), *rows.columns)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits, row by row; a row may be several words."""
     n = np.bitwise_count(a ^ b)
@@ -215,10 +235,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents (doc_id, text and any other columns) without near copies: of each component the smallest doc_id stays.
 
-    Documents link by a Jaccard likeness of 0.8 or more of their five-word shingles, see `likeness`; op1's three words
-    and three bits bind op1 alone. Of rows that repeat a doc_id one stays, that with the least hash of its text. Rows
+    Documents link by a Jaccard likeness of 0.8 or more of their five-word shingles. Those that may are found by balls of
+    fingerprints as in op1, wider ones, see `likeness`; op1's three words and three bits bind op1 alone. Of rows that repeat a doc_id one stays, that with the least hash of its text. Rows
     without a doc_id all stay.
     """
+    from spindrift.llm import likeness
+
     classes, labels = likeness.components(docs)
     gone = labels.where("node <> component").select(F.col("node").alias("rep"))
     kept = classes.select("rep").distinct().join(gone, "rep", "left_anti").select(F.col("rep").cast(docs.schema["doc_id"].dataType).alias("doc_id"))

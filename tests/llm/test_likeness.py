@@ -74,3 +74,66 @@ def test_crowded_groups_join_as_all_pairs_do():
         for x in (got, least):
             x[x == max(x[i], x[i + 1])] = min(x[i], x[i + 1])
     assert (got == least).all()
+
+
+def test_near_duplicates_are_found_by_balls_of_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+    fps = np.array([rng.getrandbits(64) for _ in range(40)], np.uint64)
+    far = [int(f) ^ sum(1 << b for b in rng.sample(range(64), 11)) for f in fps]
+    signed = [(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate([*map(int, fps), *far])]
+    met = simhash.balls(spark.createDataFrame(signed, "id long, fp long"), "fp", 4).select("key", "id")
+    met = met.join(met.withColumnRenamed("id", "other"), "key").where("other = id + 40").select("id").distinct()
+    assert met.count() == 40  # pairs within 11 bits always meet
+    whole = simhash.balls
+    monkeypatch.setattr(simhash, "balls", lambda *a: whole(*a).limit(0))
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 3  # nothing else finds them
+
+
+def test_pairs_at_the_bound_meet_and_pass():
+    import numpy as np
+
+    from spindrift.llm import likeness
+
+    rng = np.random.default_rng(7)
+    missed = 0
+    for n in [18, 36, 90, 360] * 250:  # 8/9 of both in common: a Jaccard of exactly 0.8
+        h = rng.integers(0, 1 << 64, n + n // 9, np.uint64)
+        a, b = likeness.fingerprints(np.sort(h[:n])), likeness.fingerprints(np.sort(h[n // 9 :]))
+        d = a ^ b
+        bits = np.bitwise_count(d).astype(int)
+        ok = (bits <= likeness.NEAR) & (bits + np.roll(bits, -1) <= likeness.WIDE)
+        missed += not (ok[:, None] & (np.bitwise_count(d.view(np.uint16).reshape(4, 4)) <= 2)).any()
+    assert missed == 0
+
+
+def test_tiny_sets_link_exactly(spark):
+    rows = []
+    for i in range(60):  # nine words have five shingles, eight have four: 0.8
+        words = [f"t{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1]))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(60)}
+
+
+def test_crowded_variants_link_as_all_pairs_do(spark, monkeypatch):
+    from spindrift.llm import likeness
+
+    monkeypatch.setattr(likeness, "GROUP", 8)
+    monkeypatch.setattr(likeness, "DENSE", 1)
+    monkeypatch.setattr(likeness, "SMALL", 2)
+    rng = random.Random(9)
+    words, rows = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for c in range(50):
+        own = list(words)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(5000)}"
+        rows.append((c, " ".join(own)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_kept(rows)
