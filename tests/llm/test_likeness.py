@@ -137,3 +137,58 @@ def test_crowded_variants_link_as_all_pairs_do(spark, monkeypatch):
         rows.append((c, " ".join(own)))
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == brute_kept(rows)
+
+
+def heard(monkeypatch):
+    """What `likeness` writes from now on: (name, rows, plan)."""
+    out, whole = [], likeness.written
+
+    def written(df, name):
+        done = whole(df, name)
+        out.append((name, done.count(), df._jdf.queryExecution().executedPlan().toString()))
+        return done
+
+    monkeypatch.setattr(likeness, "written", written)
+    return out
+
+
+def test_near_copies_below_the_bar_are_listed_in_proportion(spark, monkeypatch):
+    out, pairs = heard(monkeypatch), []
+    for n in (100, 400):
+        rng = random.Random(6)
+        words, rows = [f"w{rng.randrange(5000)}" for _ in range(150)], []
+        for c in range(n):  # most pairs have a Jaccard of 0.6 to 0.8, some more
+            own, at = list(words), rng.randrange(140)
+            own[at : at + 10] = [f"v{rng.randrange(50000)}" for _ in range(10)]
+            rows.append((c, " ".join(own)))
+        out.clear()
+        kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert kept == brute_kept(rows)
+        pairs.append(sum(m for name, m, _ in out if name == "pairs"))
+    assert pairs[1] < 6 * pairs[0]
+
+
+def test_texts_of_candidates_do_not_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * 9) for i in range(3000)], "doc_id long, text string")
+    out, joins = heard(monkeypatch), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sets = {r.id: r.s for r in likeness._sets(docs, spark.range(0, 3000, 30)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert {*range(0, 3000, 30)} <= set(sets) and len(sets) < 300 and len(sets[30]) == 1
+    assert not any("SortMergeJoin" in plan for name, _, plan in out if name == "sets")
+
+
+def test_chunks_bring_members_of_different_parts_together(spark, monkeypatch):
+    monkeypatch.setattr(likeness, "CHUNK", 4)
+    rng = random.Random(2)
+    rows = [(i, i % 3, 1 if rng.random() < 0.5 else i, 10) for i in range(300)]
+    rows += [(1000 + i, 7, 1, 10) for i in range(50)]  # in one part already
+    got = likeness._chunks(spark.createDataFrame(rows, "rep long, crowd long, part long, n int")).collect()
+    keys, at = {r[0]: set() for r in rows}, {}
+    for r in got:
+        keys[r.rep].add(r.key)
+        at[r.key] = at.get(r.key, 0) + 1
+    assert all(keys[a[0]] & keys[b[0]] for a in rows[:300] for b in rows[:300] if a[1] == b[1] and a[2] != b[2])
+    assert not any(keys[r[0]] for r in rows[300:]) and max(at.values()) <= 40
