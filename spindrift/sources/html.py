@@ -7,7 +7,9 @@ struct. What urls, dates and roles mean is said by column expressions over that
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -135,9 +137,9 @@ def _items(tree: Tree, url: str | None) -> list[dict]:
     return out
 
 
-def read(html: str | None, url: str | None) -> dict:
+def read(html: str | None, url: str | None, decode: Callable[[str], str] = unescape) -> dict:
     """All of a page; broken mark-up gives what was read of it."""
-    tree = Tree(html)
+    tree = Tree(html, decode)
     headings = (tidy(tree.text(i)) for i in tree.select("h1, h2, h3, h4, h5, h6"))
     return {
         "title": _title(tree), "body": clean(tree), "headings": [h for h in dict.fromkeys(headings) if h], "dates": _dates(tree), "links": _links(tree, url), "items": _items(tree, url),
@@ -154,12 +156,12 @@ def _day(told: Column) -> Column:
     return text.parsed_date(F.nullif(F.regexp_extract(told, text.DATE, 0), F.lit("")))
 
 
-def parsed(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """`pages` with a struct column page: all that `read` finds, from one walk over the page."""
+def parsed(pages: DataFrame, html: str = "html", url: str = "url", decode: Callable[[str], str] = unescape) -> DataFrame:
+    """`pages` with a struct column page: all that `read` finds, from one walk over the page; `decode` says what character references mean."""
 
     @F.pandas_udf(PAGE)
     def run(htmls: pd.Series, own: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(h, u) for h, u in zip(htmls, own, strict=True)], columns=[c.split()[0] for c in ("title", "body", "headings", "dates", "links", "items", "lists", "details")])
+        return pd.DataFrame([read(h, u, decode) for h, u in zip(htmls, own, strict=True)], columns=[c.split()[0] for c in ("title", "body", "headings", "dates", "links", "items", "lists", "details")])
 
     ship(pages.sparkSession)
     return pages.withColumn("page", run(html, url))
@@ -210,8 +212,8 @@ def site_pages(read_pages: DataFrame, roots: list[str], hosts: list[str] | None
     return rows.select("page_id", F.when(F.col("title") != "", F.col("title")).otherwise(urls.canonical(F.col("url"))).alias("title"), "body", "headings", "published_at", "items", role.alias("role"))
 
 
-def cleaned(pages: DataFrame) -> DataFrame:
-    return parsed(pages).select("page_id", "page.title", "page.body")
+def cleaned(pages: DataFrame, decode: Callable[[str], str] = unescape) -> DataFrame:
+    return parsed(pages, decode=decode).select("page_id", "page.title", "page.body")
 
 
 def links(pages: DataFrame, roots: list[str], hosts: list[str] | None = None) -> DataFrame:
