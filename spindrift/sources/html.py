@@ -287,11 +287,11 @@ def listings(pages: DataFrame, selectors: Selectors, hosts: list[str], unit: str
     return joined.select("page_id", F.coalesce("failure", F.when(F.col("items").isNull(), NO_VALID)).alias("failure"), F.coalesce("items", F.array().cast("array<struct<title:string,url:string,published_at:date>>")).alias("items"))
 
 
-def detail(pages: DataFrame, selector: str | None = None) -> DataFrame:
+def detail(pages: DataFrame, selector: str | None = None, decode: Callable[[str], str] = unescape) -> DataFrame:
     """(page_id, body): the content of detail pages inside the first element of a selector; null where there is none."""
 
     def one(html):
-        tree = Tree(html)
+        tree = Tree(html, decode)
         root = tree.first_of(selector) if selector else 0
         return None if root is None else clean(tree, root)
 

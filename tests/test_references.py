@@ -36,3 +36,7 @@ def test_only_ended_references_are_decoded():
 
 def test_html_clean(spark, sf):
     assert differing(spark, sf, "html_clean") == (0, set())
+
+
+def test_html_detail(spark, sf):
+    assert differing(spark, sf, "html_detail") == (0, set())
