@@ -116,6 +116,56 @@ def test_odd_vectors_are_left_out(spark, tmp_path):
     assert len(vectorindex.learned(rows.limit(0), "vec_id").centroids) == 0
 
 
+def crowded(n, size, seed=11):
+    """Vectors of which every fifth is the same one."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, size)).astype(np.float32)
+    x[::5] = x[0]
+    return x
+
+
+def brute(x, ids, asked, k, among=None):
+    """(list, id, rank) by plain sums; `among`: for each that asks the rows that count."""
+    sums = lambda a, b: sum((a[:, c] * b[:, c] for c in range(a.shape[1])), np.zeros(len(a)))
+    x, out = x.astype(float), set()
+    for i in asked:
+        q = np.repeat(x[i : i + 1], len(x), axis=0)
+        score = np.round(sums(x, q) / (np.sqrt(sums(x, x)) * np.sqrt(sums(q, q))), 12)
+        rows = [j for j in np.lexsort((ids, -score)) if among is None or among[i][j]][:k]
+        out |= {(int(ids[i]), int(ids[j]), r + 1) for r, j in enumerate(rows)}
+    return out
+
+
+def test_search_by_blocks_is_exact_over_groups_of_questions_and_crowds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectorindex, "QUESTIONS", 40)
+    x, ids = crowded(1_500, 8), np.arange(1_500) * 3
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    cells, path = vectorindex.learned(rows, "vec_id"), f"file://{tmp_path}/cells"
+    vectorindex.build(rows, cells, path)
+    asked, own = np.arange(0, 1_500, 9), cells.nearest(x / np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1)[:, 0]
+    questions = rows.where("vec_id % 27 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("vector"))
+    got = lambda every: {(r["list"], r.vec_id, r["rank"]) for r in vectorindex.search(spark, path, cells, questions, "vec_id", 7, every).collect()}
+    assert got(True) == brute(x, ids, asked, 7)
+    near = cells.nearest(x / np.linalg.norm(x.astype(float), axis=1, keepdims=True), cells.probes)
+    assert 1 <= cells.probes < len(cells.centroids)
+    assert got(False) == brute(x, ids, asked, 7, {i: np.isin(own, near[i]) for i in asked})
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_search_makes_no_row_for_a_pair(spark, tmp_path, every):
+    import time
+
+    rng = np.random.default_rng(4)
+    rows = spark.range(80_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda c: F.xxhash64("id", c) / float(1 << 63)).alias("embedding")).cache()
+    path = f"file://{tmp_path}/cells"
+    cells = vectorindex.Cells(vectorindex._unit(rng.standard_normal((8, 16))), 6)
+    vectorindex.build(rows, cells, path)
+    questions = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("vector"))
+    began = time.perf_counter()
+    assert vectorindex.search(spark, path, cells, questions, "vec_id", 10, every).count() == 16_000
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("width,overlap", [(700, 100), (10, 3), (5, 4), (7, 0), (4, 3)])
 def test_windows_equal_slices(spark, width, overlap):
     texts = ["", "a", "x" * width, "y" * (width + 1), "ab𝒳c\nd " * 57, "z" * (3 * width - overlap)]
