@@ -65,6 +65,30 @@ def test_update_makes_changed_blocks_anew_only(spark, rows, tmp_path):
     assert {p for p in (tmp_path / "grams").rglob("*.parquet")} == set(now)
 
 
+def test_places_come_back():
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(5_000_000) < share) for share in (1e-6, 1e-5, 1e-3)] + [np.array(x) for x in ([0], [254], [255], [256, 256 + 0xFFFF], [1 << 23, (1 << 23) + 255, (1 << 23) + 510])]
+    gaps = np.concatenate([np.diff(r, prepend=0) for r in rows])
+    held = postings._packed(gaps, np.cumsum([0, *map(len, rows)])[:-1])
+    assert all(postings._places(b"\0" + h, 5_000_000).tolist() == r.tolist() for h, r in zip(held, rows, strict=True))
+    assert postings._places(b"\1" + np.packbits([1, 0, 1, 1, 0, 0, 0, 0, 0, 1]).tobytes(), 10).tolist() == [0, 2, 3, 9]
+
+
+def test_runs_of_any_length_say_the_same(spark, rows, tmp_path):
+    for run in (1, 3_000, 1 << 30):
+        path = f"file://{tmp_path}/grams{run}"
+        postings._write(postings.postings(rows.coalesce(2), 4, 2, run), path, 8)
+        index = postings.load(spark, path)
+        assert {r.id: round(r.likeness, 9) for r in postings.matches(index, QUERY, 0.1, 4).collect()} == scanned(rows, QUERY, 0.1)
+
+
+def test_index_is_smaller_than_the_texts(spark, tmp_path):
+    texts = view(spark, SF, "d_chunks").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
+    postings.build(texts, f"file://{tmp_path}/grams", 4, 2)
+    size = sum(p.stat().st_size for p in (tmp_path / "grams").rglob("*.parquet"))
+    assert size < texts.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_recall_and_exactness_of_cells(spark, tmp_path):
     rows = view(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
     cells, path = vectorindex.learned(rows, "vec_id"), f"file://{tmp_path}/cells"
