@@ -30,11 +30,15 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^0-9a-z㐀-鿿]+", "")
 
 
+def set_apart(text: Column) -> Column:
+    """The lower-cased words, three blanks apart, with two before and one behind."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-cased words, each padded with two blanks before and one behind."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "   ")
     # In words that stand three blanks apart, any three characters are a trigram unless the last two are blanks.
-    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit("  "), spaced, F.lit(" ")), F.lit("(?=(.(?!  )..))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(set_apart(text), F.lit("(?=(.(?!  )..))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

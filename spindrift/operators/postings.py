@@ -21,8 +21,8 @@ from spindrift.shipping import ship
 
 #: Files by gram, blocks of rows.
 BUCKETS, BLOCKS = 64, 16
-#: Postings that a task inverts at once, about; the greatest size of a list over the smallest; what a list of ids has for a bucket.
-RUN, SPAN, IDS = 4_000_000, 1.25, -1
+#: Postings that a task inverts at once, about, and texts whose grams it lists at once; the greatest size of a list over the smallest; what a list of ids has for a bucket.
+RUN, PIECE, SPAN, IDS = 4_000_000, 2_048, 1.25, -1
 #: Each task writes its own files of up to so many buckets and blocks; more would be too small, so rows are dealt by file then.
 FILES = 64
 #: A gram's places, or without a gram the ids themselves, of rows with `size` up to `top` grams.
@@ -101,28 +101,57 @@ def _inverted(parts: list[tuple[np.ndarray, ...]], names: list[str], buckets: in
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in INDEX.split(", ")])
 
 
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(size, gram, names): how many distinct trigrams each text of words set apart by three blanks has, these text by text
+    as numbers, and what the numbers stand for."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    signs, letters = _numbered(points, 0x110000)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    # Any three characters of a text are a trigram unless the last two are blanks.
+    blank = points == 32
+    whole = np.flatnonzero((row[2:] == row[:-2]) & ~(blank[1:-1] & blank[2:]))
+    a = len(signs)
+    told, gram = _numbered((letters[whole] * a + letters[whole + 1]) * a + letters[whole + 2], a**3)
+    key = row[whole] << 32 | gram
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    of = [chr(c) for c in signs.tolist()]
+    return np.bincount(key >> 32, minlength=len(texts)), (key & 0xFFFFFFFF).astype(np.int32), [of[t // a // a] + of[t // a % a] + of[t % a] for t in told.tolist()]
+
+
+def _numbered(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct members in order, and the place of each; by a table where the bound of the members is small."""
+    if below > 1 << 22:
+        members, places = np.unique(x, return_inverse=True)
+        return members, places.ravel()
+    seen = np.zeros(below, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+
+
 def postings(rows: DataFrame, buckets: int = BUCKETS, blocks: int = BLOCKS, run: int = RUN) -> DataFrame:
     """Rows of the index (`INDEX`) for rows (id, text); texts without any trigram have none."""
-    grams = rows.select(_block(F.col("id").cast("long"), blocks).alias("block"), F.col("id").cast("long").alias("id"), text.trigrams(F.col("text")).alias("g"))
+    words = rows.select(_block(F.col("id").cast("long"), blocks).alias("block"), F.col("id").cast("long").alias("id"), text.set_apart(F.col("text")).alias("t"))
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, known, n = [], {}, 0
         for b in batches:
-            size = np.diff(b.column("g").offsets.to_numpy())
-            told = b.column("g").flatten().dictionary_encode()
-            number = np.array([known.setdefault(g, len(known)) for g in told.dictionary.to_pylist()], np.int32)
-            any_ = size > 0
-            if any_.any():
-                parts.append((b.column("block").to_numpy()[any_], b.column("id").to_numpy()[any_], size[any_].astype(np.int64), number[told.indices.to_numpy()]))
-            n += len(told)
-            if n >= run:
-                yield from _inverted(parts, list(known), buckets)
-                parts, known, n = [], {}, 0
+            block, ids, texts = b.column("block").to_numpy(), b.column("id").to_numpy(), b.column("t").to_pylist()
+            for s in range(0, len(texts), PIECE):
+                size, grams, names = _grams(texts[s : s + PIECE])
+                number = np.array([known.setdefault(g, len(known)) for g in names], np.int32)
+                some = size > 0
+                if some.any():
+                    parts.append((block[s : s + PIECE][some], ids[s : s + PIECE][some], size[some], number[grams]))
+                n += len(grams)
+                if parts and n >= run:
+                    yield from _inverted(parts, list(known), buckets)
+                    parts, known, n = [], {}, 0
         if parts:
             yield from _inverted(parts, list(known), buckets)
 
     ship(rows.sparkSession)
-    return grams.where("id is not null").mapInArrow(invert, INDEX)
+    return words.where("id is not null").mapInArrow(invert, INDEX)
 
 
 def _write(rows: DataFrame, path: str, files: int) -> None:

@@ -74,6 +74,14 @@ def test_places_come_back():
     assert postings._places(b"\1" + np.packbits([1, 0, 1, 1, 0, 0, 0, 0, 0, 1]).tobytes(), 10).tolist() == [0, 2, 3, 9]
 
 
+def test_trigrams_of_arrays_are_those_of_expressions(spark):
+    texts = [None, "", " ", "...", "a", "the The", "中文 the", "1 22 333 a", "x" * 500, "".join(chr(c) for c in range(33, 700)), "".join(f"{chr(c)}b " for c in range(0x4E00, 0x5000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1).orderBy("id").select(text.set_apart(F.col("text")).alias("t"), text.trigrams(F.col("text")).alias("g")).collect()
+    for some in (rows, rows[:9]):
+        size, grams, names = postings._grams([r.t for r in some])
+        assert [sorted(names[i] for i in part) for part in np.split(grams, np.cumsum(size)[:-1])] == [sorted(r.g) for r in some]
+
+
 def test_runs_of_any_length_say_the_same(spark, rows, tmp_path):
     for run in (1, 3_000, 1 << 30):
         path = f"file://{tmp_path}/grams{run}"
