@@ -30,10 +30,11 @@ QUESTIONS, PRODUCTS = 16_384, 1 << 21
 
 @dataclass(frozen=True)
 class Cells:
-    """Unit centroids (cells, components), and the cells that a question reads."""
+    """Unit centroids (cells, components), the cells that a question reads, and each cell's share of the sample, if known."""
 
     centroids: np.ndarray
     probes: int = 1
+    shares: np.ndarray | None = None
 
     def nearest(self, rows: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each row by cosine, the smaller number first on ties."""
@@ -80,7 +81,8 @@ def learned(rows: DataFrame, ident: str, cells: int | None = None, sample: int =
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1)
         c[norm > 0] = sums[norm > 0] / norm[norm > 0, None]
-    return Cells(c, _probes(x, c, recall))
+    own = np.concatenate([np.argmax(x[s : s + 1024] @ c.T, axis=1) for s in range(0, len(x), 1024)])
+    return Cells(c, _probes(x, c, recall), np.bincount(own, minlength=len(c)) / len(x))
 
 
 def _probes(x: np.ndarray, c: np.ndarray, recall: float) -> int:
@@ -111,9 +113,13 @@ def assigned(rows: DataFrame, cells: Cells, n: int = 1, column: str = "embedding
 
 
 def build(rows: DataFrame, cells: Cells, path: str) -> None:
-    """Write every usable row by its cell."""
+    """Write every usable row by its cell; a cell that is crowded in the sample is dealt to several tasks."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    assigned(rows, cells).repartition(n, "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    shares = np.zeros(len(cells.centroids)) if cells.shares is None else cells.shares
+    crowded = {c: int(np.ceil(2 * n * x)) for c, x in enumerate(shares.tolist()) if 2 * n * x > 2}  # fewer than n
+    pieces = F.element_at(F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair]), F.col("cell")) if crowded else F.lit(1)
+    piece = F.pmod(F.xxhash64(*rows.columns), F.coalesce(pieces, F.lit(1)))
+    assigned(rows, cells).repartition(n, "cell", piece).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 class _Best:

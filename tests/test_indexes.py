@@ -183,6 +183,14 @@ def test_search_by_blocks_is_exact_over_groups_of_questions_and_crowds(spark, tm
     assert got(False) == brute(x, ids, asked, 7, {i: np.isin(own, near[i]) for i in asked})
 
 
+def test_a_crowded_cell_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(crowded(2_000, 8))], "vec_id long, embedding array<float>")
+    cells, path = vectorindex.learned(rows, "vec_id"), tmp_path / "cells"
+    vectorindex.build(rows, cells, f"file://{path}")
+    most = max(path.glob("cell=*"), key=lambda p: spark.read.parquet(f"file://{p}").count())
+    assert len(list(most.glob("*.parquet"))) > 1 and spark.read.parquet(f"file://{path}").count() == 2_000
+
+
 @pytest.mark.parametrize("every", [True, False])
 def test_search_makes_no_row_for_a_pair(spark, tmp_path, every):
     import time
